@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, decontaminate, pii, queries, toxicity
+from framewright.llm import bpe, decontaminate, neardup, pii, queries, toxicity
 from framewright.session import ensure_checkpoint_dir
 
 
@@ -15,6 +15,11 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of every group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return neardup.keep_one(docs)
+
+
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of whose words a twentieth or more are benchmark passages."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -32,6 +37,7 @@ def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", _toxicity),
+    ("near_duplicates", _near_duplicates),
     ("decontaminate", _decontaminate),
     ("pii", _redact),
     ("bpe", _encode),
