@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, chat, decontaminate, neardup, pii, quality, shards, toxicity
+from framewright.llm import bpe, chat, decontaminate, embdup, neardup, pii, quality, shards, toxicity
 
 SHARDS = 40
 
@@ -38,6 +38,10 @@ def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_t(spark, sf_dir, "documents"), k=4)
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.near_duplicates(_t(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_t(spark, sf_dir, "documents"), *tokenizer())
 
@@ -71,7 +75,7 @@ def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op2_pii_crf, op3_stratified_shards, op4_wu_manber, op5_minhash_forest, op7_bpe_tree, op8_nnpu_toxicity, op9_chat_snapshots, op10_ftrl_quality)
+    ops = (op2_pii_crf, op3_stratified_shards, op4_wu_manber, op5_minhash_forest, op6_cover_tree, op7_bpe_tree, op8_nnpu_toxicity, op9_chat_snapshots, op10_ftrl_quality)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
