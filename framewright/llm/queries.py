@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, chat, decontaminate, embdup, neardup, pii, quality, shards, toxicity
+from framewright.llm import bpe, chat, decontaminate, embdup, lm, neardup, pii, quality, shards, toxicity
 
 SHARDS = 40
 
@@ -22,6 +22,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_t(spark, sf_dir, "documents"))
+
+
 def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_t(spark, sf_dir, "documents"), pii.fit(pii.sample_table(spark)))
 
@@ -75,7 +79,7 @@ def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op2_pii_crf, op3_stratified_shards, op4_wu_manber, op5_minhash_forest, op6_cover_tree, op7_bpe_tree, op8_nnpu_toxicity, op9_chat_snapshots, op10_ftrl_quality)
+    ops = (op1_bloom_lm, op2_pii_crf, op3_stratified_shards, op4_wu_manber, op5_minhash_forest, op6_cover_tree, op7_bpe_tree, op8_nnpu_toxicity, op9_chat_snapshots, op10_ftrl_quality)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
