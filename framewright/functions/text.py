@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Forms that the endings don't explain.
-IRREGULAR = dict.fromkeys(("is", "are", "was", "were"), "be") | dict.fromkeys(("has", "had"), "have") | dict.fromkeys(("moving", "moved"), "move")
+#: First words that the endings don't explain.
+IRREGULAR = {
+    "is": "be", "are": "be", "was": "be", "were": "be",
+    "has": "have", "had": "have",
+    "moves": "move", "moving": "move", "moved": "move",
+}
 
 
 def squeeze(c: Column) -> Column:
@@ -41,48 +45,40 @@ def merge_text(c: Column) -> Column:
 
 
 
-
-def _verb(stem_: str, doubled: str = "", rest: str = "") -> str:
-    """A verb with or without -ing, and the word after it; 'take~' drops its last letter before -ing."""
-    if stem_.endswith("~"):
-        word = f"(?:{stem_[:-1]}|{stem_[:-2]}ing)"
-    else:
-        word = f"{stem_}(?:{doubled}ing)?"
-    return rf"\b{word}" + (rf"\s*{rest}" if rest else "") + r"\b"
-
-
-#: Ordered families of actions: the first one with a pattern in the text, or in the text without gaps, names it.
-FAMILIES: list[tuple[str, list[str]]] = [
-    ("watch", [_verb("watch"), _verb("look", rest="at"), "lookat"]),
-    ("listen to", [_verb("listen", rest="to")]),
-    ("talk to", [_verb("talk", rest="to"), _verb("speak", rest="to"), _verb("chat", "t", "with")]),
-    ("carry hold", [_verb("carry"), _verb("hold")]),
-    *[(v, [_verb(v)]) for v in ("touch", "push", "pull")],
-    ("point to", [_verb("point", rest="(?:to|at)")]),
-    ("hit", [_verb("hit", "t"), r"\bstrike\b"]),
-    ("fight", [_verb("fight")]),
-    ("give", [_verb("give~"), r"\bserve\b"]),
-    ("hand", [r"\bhand\b"]),
-    ("grab", [_verb("grab", "b")]),
-    ("hand shake", [r"\bhand\s*shake\b", r"\bshake\s*hands?\b"]),
-    ("hug", [_verb("hug", "g")]),
-    ("kiss", [_verb("kiss")]),
-    ("lift", [_verb("lift"), r"\bpick\s*up\b"]),
-    ("sing to", [_verb("sing", rest="to")]),
-    ("take from", [r"\btak(?:e|ing)\s+.*\s+from\b"]),
-    ("ride", [_verb("ride~")]),
-    ("take a photo", [r"\btake\b.*\bphoto\b", r"\bphotograph\b"]),
-    ("work on", [_verb("work", rest="on")]),
-    ("use", [_verb("use~")]),
-    ("answer phone", [_verb("answer", rest="phone")]),
-]
+#: Families of actions in order; the first with a pattern in the text, or in the text without gaps, names it.
+FAMILIES = {
+    "watch": [r"\bwatch(?:ing)?\b", r"\blook(?:ing)?\s*at\b", r"lookat"],
+    "listen to": [r"\blisten(?:ing)?\s*to\b"],
+    "talk to": [r"\btalk(?:ing)?\s*to\b", r"\bspeak(?:ing)?\s*to\b", r"\bchat(?:ting)?\s*with\b"],
+    "carry hold": [r"\bcarry(?:ing)?\b", r"\bhold(?:ing)?\b"],
+    "touch": [r"\btouch(?:ing)?\b"],
+    "push": [r"\bpush(?:ing)?\b"],
+    "pull": [r"\bpull(?:ing)?\b"],
+    "point to": [r"\bpoint(?:ing)?\s*(?:to|at)\b"],
+    "hit": [r"\bhit(?:ting)?\b", r"\bstrike\b"],
+    "fight": [r"\bfight(?:ing)?\b"],
+    "give": [r"\bgive\b", r"\bgiving\b", r"\bserve\b"],
+    "hand": [r"\bhand\b"],
+    "grab": [r"\bgrab(?:bing)?\b"],
+    "hand shake": [r"\bhand\s*shake\b", r"\bshake\s*hands?\b"],
+    "hug": [r"\bhug(?:ging)?\b"],
+    "kiss": [r"\bkiss(?:ing)?\b"],
+    "lift": [r"\blift(?:ing)?\b", r"\bpick\s*up\b"],
+    "sing to": [r"\bsing(?:ing)?\s*to\b"],
+    "take from": [r"\btak(?:e|ing)\s+.*\s+from\b"],
+    "ride": [r"\bride\b", r"\briding\b"],
+    "take a photo": [r"\btake\b.*\bphoto\b", r"\bphotograph\b"],
+    "work on": [r"\bwork(?:ing)?\s*on\b"],
+    "use": [r"\buse\b", r"\busing\b"],
+    "answer phone": [r"\banswer(?:ing)?\s*phone\b"],
+}
 
 
 def family(c: Column) -> Column:
     text = merge_text(c)
     compact = F.regexp_replace(text, "[^a-z0-9]+", "")
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, patterns in FAMILIES:
+    for name, patterns in FAMILIES.items():
         either = "|".join(patterns)
         out = out.when(text.rlike(either) | compact.rlike(either), name)
     return out
@@ -142,30 +138,6 @@ def clock_seconds(c: Column) -> Column:
     return F.when(F.size(p) == 2, p[0] * 60 + p[1]).when(F.size(p) == 3, p[0] * 3600 + p[1] * 60 + p[2])
 
 
-def answer_body(c: Column) -> Column:
-    """What stands between answer tags, else the text."""
-    inner = F.regexp_extract(c, r"(?is)<answer>(.*?)</answer>", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(c))
-
-
-def json_candidate(c: Column) -> Column:
-    """The fenced part, else from the first to the last brace."""
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*)```", 1)
-    braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    return F.when(fenced != "", fenced).when(braces != "", braces)
-
-
-def temporal_span(c: Column, fps: float = 2.0) -> Column:
-    """A closed frame span from an answer: seconds patterns (times fps), then frame patterns."""
-    num = r"(-?[0-9]+(?:\.[0-9]+)?)"
-    spans = []
-    for pattern, scale in ((rf'"temporal_span"\s*:\s*\[\s*{num}\s*,\s*{num}\s*\]', 1.0), (rf"(?i){num}\s*s(?:ec(?:onds?)?)?\s*(?:to|-|–|and)\s*{num}\s*s", fps), (rf"(?i)from\s+{num}\s+(?:to|until)\s+{num}\s+seconds", fps), (rf"(?i)frames?\s*{num}\s*(?:to|-|–|and)\s*{num}", 1.0), (rf"\[\s*{num}\s*,\s*{num}\s*\]", 1.0)):
-        a, b = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)
-        x, y = F.bround(a.try_cast("double") * scale).cast("long"), F.bround(b.try_cast("double") * scale).cast("long")
-        spans.append(F.when(a != "", F.struct(F.least(x, y).alias("s"), F.greatest(x, y).alias("e"))))
-    return F.coalesce(*spans)
-
-
 def doc_hash63(c: Column) -> Column:
     """First eight bytes of md5, little-endian, without the sign bit."""
     h = F.md5(c)

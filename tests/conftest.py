@@ -3,11 +3,11 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from framewright.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "tests")
+    return local_session(int(os.environ.get("TEST_CPUS", "8")), "tests")
