@@ -92,9 +92,3 @@ def tube_siou(gt: Column, pred: Column) -> Column:
 
 def restrict(tube: Column, s: Column, e: Column) -> Column:
     return F.map_filter(tube, lambda f, _: (f >= s) & (f <= e))
-
-
-def trajectory_text(tube: Column, fps: float) -> Column:
-    """'frame, sec, x1, y1, x2, y2; ... />' by frame."""
-    one = lambda f: F.concat_ws(", ", f.cast("string"), F.format_string("%.2f", f / F.lit(fps)), *[F.format_string("%.4f", F.element_at(tube, f)[i]) for i in range(4)])
-    return F.concat(F.array_join(F.transform(tube_frames(tube), one), "; "), F.lit(" />"))

@@ -87,7 +87,7 @@ def uniform_sample(total: Column, native_fps: Column, fps: float, most: int | No
 ASPECTS = ((1, 2), (9, 16), (2, 3), (3, 4), (4, 5), (1, 1), (5, 4), (4, 3), (3, 2), (16, 10), (5, 3), (16, 9), (2, 1), (21, 9))
 
 
-def bucket_table(spark: SparkSession, pixels: int = 256 * 256, step: int = 64, aspects: tuple[tuple[int, int], ...] = ASPECTS) -> DataFrame:
+def bucket_rows(pixels: int = 256 * 256, step: int = 64, aspects: tuple[tuple[int, int], ...] = ASPECTS) -> list[tuple[int, int, int, float]]:
     """(id, w, h, aspect): for each shape the largest size in whole steps within the pixels, by rising aspect."""
     sizes = set()
     for a, b in aspects:
@@ -97,8 +97,11 @@ def bucket_table(spark: SparkSession, pixels: int = 256 * 256, step: int = 64, a
             w, h = (w - step, h) if w >= h else (w, h - step)
         if min(w, h) >= step:
             sizes.add((w, h))
-    rows = [(i, w, h, w / h) for i, (w, h) in enumerate(sorted(sizes, key=lambda s: s[0] / s[1]))]
-    return spark.createDataFrame(rows, "id int, w int, h int, aspect double")
+    return [(i, w, h, w / h) for i, (w, h) in enumerate(sorted(sizes, key=lambda s: s[0] / s[1]))]
+
+
+def bucket_table(spark: SparkSession, pixels: int = 256 * 256, step: int = 64, aspects: tuple[tuple[int, int], ...] = ASPECTS) -> DataFrame:
+    return spark.createDataFrame(bucket_rows(pixels, step, aspects), "id int, w int, h int, aspect double")
 
 
 def nearest_bucket(images: DataFrame, buckets: DataFrame, width: str, height: str) -> DataFrame:
