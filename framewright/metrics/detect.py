@@ -74,7 +74,7 @@ def matched_segments(truth: DataFrame, guess: DataFrame, thresholds: tuple[float
     cols = ["label", "video"]
     schema = f"label {kinds['label']}, video {kinds['video']}, score double, ord long, threshold double, hit boolean"
     g = guess.select("label", "video", F.col("s").cast("double"), F.col("e").cast("double"), F.col("score").cast("double"))
-    return g.groupBy(*cols).cogroup(truth.select("label", "video", F.col("s").cast("double"), F.col("e").cast("double")).groupBy(*cols)).applyInPandas(match, schema)
+    return g.groupBy(*cols).cogroup(_fresh(truth.select("label", "video", F.col("s").cast("double"), F.col("e").cast("double"))).groupBy(*cols)).applyInPandas(match, schema)
 
 
 def segment_average_precision(truth: DataFrame, guess: DataFrame, thresholds: tuple[float, ...] = TIOU_GRID) -> DataFrame:
@@ -85,6 +85,11 @@ def segment_average_precision(truth: DataFrame, guess: DataFrame, thresholds: tu
     return curves.interpolated_average_precision(m, ["label", "threshold"], "score", "hit", totals, "n", ["video", "ord"])
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same columns under ids of their own, so that both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _grid(spark: SparkSession, thresholds) -> DataFrame:
     return spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
 
@@ -121,7 +126,7 @@ def proposal_recall(truth: DataFrame, proposals: DataFrame, max_avg: float | Non
         return pd.DataFrame(rows, columns=["threshold", "step", "found", "truths"])
 
     d = lambda x, *more: x.select("video", F.col("s").cast("double"), F.col("e").cast("double"), *more)
-    per = d(truth).groupBy("video").cogroup(d(own, F.col("score").cast("double")).groupBy("video")).applyInPandas(count, "threshold double, step int, found long, truths long").where("truths > 0")
+    per = _fresh(d(truth)).groupBy("video").cogroup(_fresh(d(own, F.col("score").cast("double"))).groupBy("video")).applyInPandas(count, "threshold double, step int, found long, truths long").where("truths > 0")
     out = per.groupBy("threshold", "step").agg((F.sum("found") / F.sum("truths")).alias("recall"))
     scale = avg * n_videos / kept * kept / n_videos / 100.0
     return out.select("threshold", "step", (F.col("step") * scale).alias("per_video"), "recall")
@@ -149,7 +154,7 @@ def matched_boxes(truth: DataFrame, guess: DataFrame, threshold: float = 0.5) ->
     cols = ["label", "video", "frame"]
     schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", score double, ord long, hit boolean"
     num = [F.col(c).cast("double") for c in xy]
-    return guess.select(*cols, *num, F.col("score").cast("double")).groupBy(*cols).cogroup(truth.select(*cols, *num).groupBy(*cols)).applyInPandas(match, schema)
+    return guess.select(*cols, *num, F.col("score").cast("double")).groupBy(*cols).cogroup(_fresh(truth.select(*cols, *num)).groupBy(*cols)).applyInPandas(match, schema)
 
 
 def frame_average_precision(truth: DataFrame, guess: DataFrame, threshold: float = 0.5, unscored: tuple = UNSCORED) -> DataFrame:
@@ -294,7 +299,7 @@ def matched_tubes(truth: DataFrame, guess: DataFrame, thresholds: tuple[float, .
 
     cols = ["label", "video"]
     schema = f"label {kinds['label']}, video {kinds['video']}, score double, ord long, threshold double, hit boolean"
-    return guess.select(*cols, F.col("score").cast("double"), "tube").groupBy(*cols).cogroup(truth.select(*cols, "tube").groupBy(*cols)).applyInPandas(match, schema)
+    return guess.select(*cols, F.col("score").cast("double"), "tube").groupBy(*cols).cogroup(_fresh(truth.select(*cols, "tube")).groupBy(*cols)).applyInPandas(match, schema)
 
 
 def video_average_precision(truth: DataFrame, guess: DataFrame, thresholds: tuple[float, ...] = (0.5,), unscored: tuple = UNSCORED) -> DataFrame:
@@ -358,7 +363,7 @@ def tube_errors(truth: DataFrame, guess: DataFrame, threshold: float) -> DataFra
 
     # all classes of a video meet in one group: its tubes are few
     schema = f"label {kinds['label']}, video {kinds['video']}, score double, ord long, hit boolean, error string"
-    return guess.select("label", "video", F.col("score").cast("double"), "tube").groupBy("video").cogroup(truth.select("label", "video", "tube").groupBy("video")).applyInPandas(judge, schema)
+    return guess.select("label", "video", F.col("score").cast("double"), "tube").groupBy("video").cogroup(_fresh(truth.select("label", "video", "tube")).groupBy("video")).applyInPandas(judge, schema)
 
 
 def error_summary(judged: DataFrame, truth: DataFrame) -> DataFrame:

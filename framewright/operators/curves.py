@@ -38,11 +38,11 @@ def running(df: DataFrame, keys: list[str], score: str, order: list, sums: dict[
 
 def pr_curve(df: DataFrame, keys: list[str], score: str, hit: str) -> DataFrame:
     """(keys, threshold, precision, recall) at distinct scores, up to full recall."""
-    points = df.groupBy(*keys, score).agg(F.sum(F.col(hit).cast("long")).alias("__tp"), F.count("*").alias("__n"))
-    ran = running(points, keys, score, [F.col(score).desc()], {"tp": F.col("__tp"), "n": F.col("__n")})
-    total = points.groupBy(*keys).agg(F.sum("__tp").alias("__all"))
-    j = (ran.join(total, keys) if keys else ran.join(F.broadcast(total))).where((F.col("__all") > 0) & (F.col("tp") - F.col("__tp") < F.col("__all")))
-    return j.select(*keys, F.col(score).alias("threshold"), (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("__all")).alias("recall"), (F.col("__tp") / F.col("__all")).alias("gain"))
+    points = df.groupBy(*keys, score).agg(F.sum(F.col(hit).cast("long")).alias("hits"), F.count("*").alias("rows"))
+    ran = running(points, keys, score, [F.col(score).desc()], {"tp": F.col("hits"), "n": F.col("rows")})
+    total = points.groupBy(*keys).agg(F.sum("hits").alias("all_hits"))
+    j = (ran.join(total, keys) if keys else ran.join(F.broadcast(total))).where((F.col("all_hits") > 0) & (F.col("tp") - F.col("hits") < F.col("all_hits")))
+    return j.select(*keys, F.col(score).alias("threshold"), (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("all_hits")).alias("recall"), (F.col("hits") / F.col("all_hits")).alias("gain"))
 
 
 def step_average_precision(df: DataFrame, keys: list[str], score: str, hit: str) -> DataFrame:

@@ -182,7 +182,7 @@ def sample_average_precision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _UNIT = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e)"
-_RANKS = _UNIT + ", p AS (SELECT a.vec_id, a.v AS t, b.v AS w FROM u a JOIN u b ON b.vec_id = a.vec_id + 1), o AS (SELECT vec_id, t, list_dot_product(t, w) AS own FROM p), r AS (SELECT o.vec_id, sum((list_dot_product(o.t, p.w) > own + 1e-9)::INT) AS above, sum((abs(list_dot_product(o.t, p.w) - own) <= 1e-9)::INT) AS ties FROM o CROSS JOIN p GROUP BY 1)"
+_RANKS = _UNIT + ", p AS (SELECT a.vec_id, a.v AS t, b.v AS w FROM u a JOIN u b ON b.vec_id = a.vec_id + 1), o AS (SELECT vec_id, t, list_dot_product(t, w) AS own FROM p), r AS (SELECT o.vec_id, sum((list_dot_product(o.t, p.w) > own + 1e-9)::INT)::BIGINT AS above, sum((abs(list_dot_product(o.t, p.w) - own) <= 1e-9)::INT)::BIGINT AS ties FROM o CROSS JOIN p GROUP BY 1)"
 
 
 def _ranks(spark: SparkSession, sf: str) -> DataFrame:

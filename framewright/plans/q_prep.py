@@ -114,7 +114,7 @@ def rank_partition(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.rank_parts(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 7)
 
 
-@query("contiguous_chunks", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE i // ceil(n / 7) = 2")
+@query("contiguous_chunks", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE i // ceil(n / 7)::BIGINT = 2")
 def contiguous_chunks(spark: SparkSession, sf: str) -> DataFrame:
     from framewright.sources.graphs import chunk
 
@@ -126,7 +126,7 @@ def length_grouped_order(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.length_grouped(docs(spark, sf), "doc_id", "n_chars", 8, 4, 42).select("doc_id", "replica", "chunk")
 
 
-@query("bucket_batches", """WITH b AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, (ceil(n / 3) // 8 * 8 * 3)::BIGINT AS rows_, (ceil(n / 3) // 8 * 3)::BIGINT AS batches FROM b WHERE ceil(n / 3) // 8 > 0""")
+@query("bucket_batches", """WITH b AS (SELECT lang, ceil(count(*) / 3)::BIGINT AS n FROM documents GROUP BY 1) SELECT lang, n // 8 * 8 * 3 AS rows_, n // 8 * 3 AS batches FROM b WHERE n // 8 > 0""")
 def bucket_batches(spark: SparkSession, sf: str) -> DataFrame:
     b = sampling.bucket_batches(docs(spark, sf).select("doc_id", "lang"), "doc_id", "lang", F.lit(8), 3, 42)
     return b.groupBy("lang").agg(F.count("*").alias("rows_"), F.count_distinct("replica", "batch").alias("batches"))

@@ -27,7 +27,7 @@ def spans_array_runs(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("user_id", "event_type", F.size("r").cast("long").alias("n_runs"), F.get("r.s", F.lit(0)).alias("first_s"), F.element_at("r.e", -1).alias("last_e"))
 
 
-@query("spans_merge_adjacent", f"""WITH {FRAMES}, w AS (SELECT user_id, event_type, frame AS s, frame + 2 AS e FROM f),
+@query("spans_merge_adjacent", f"""WITH {FRAMES}, w AS (SELECT DISTINCT user_id, event_type, frame AS s, frame + 2 AS e FROM f),
 o AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS n FROM w),
 g AS (SELECT *, sum(n) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o)
 SELECT user_id, event_type, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, event_type, k""")
