@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and a join on the edges' ends; the edges are
-written to the shared checkpoint folder after each round. Nothing is collected.
+written to the shared checkpoint folder after each round. Nothing is collected
+but a count and a checksum. Edges become fewer with the rounds, so the number of
+tasks follows their number.
 """
 
 from __future__ import annotations
@@ -9,19 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.session import settle
+from framewright.session import few, settle
 
+#: Edges that a task takes at least.
+EDGES = 50_000
 
-def _large_star(e: DataFrame) -> DataFrame:
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    moved = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return few(few(moved, n, EDGES).distinct(), n, EDGES)
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     low = e.groupBy("u").agg(F.min("v").alias("m"))
     moved = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+    return few(few(moved, n, EDGES).union(few(low, n, EDGES).select("u", F.col("m").alias("v"))).distinct(), n, EDGES)
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -38,9 +44,10 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_round
     e = settle(e)
     seen = _mark(e)
     for _ in range(max_rounds):
-        if not seen[0]:
+        n = seen[0]
+        if not n:
             break
-        e = settle(_small_star(_large_star(e)))
+        e = settle(_small_star(_large_star(few(e, n, EDGES), n), n))
         now = _mark(e)
         if now == seen:
             break

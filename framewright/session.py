@@ -50,3 +50,9 @@ def settle(df):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def few(df, rows: int, per_task: int, least: int = 8):
+    """df in as many partitions as its rows ask for, where that is less than a shuffle's: small tables don't pay for the cluster's width."""
+    want = max(least, -(-rows // per_task))
+    return df.coalesce(want) if want < shuffle_partitions(df.sparkSession) else df
