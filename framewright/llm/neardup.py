@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import map_text
-from framewright.llm.components import connected_components
 from framewright.llm.textbytes import NON_SPACE, Powers, buffer_of, counts_by_doc, mix, words
-from framewright.session import settle, shuffle_partitions
+from framewright.operators.components import connected_components
+from framewright.session import few, settle, shuffle_partitions
 
 TREES, DEPTH = 25, 5
 HASHES = TREES * DEPTH
 BLOCK, ORDERS = 256, 3
+#: Members with their sets that a task takes at least.
+MEMBERS = 2000
 #: Ids that may be broadcast to pick the texts of the groups' members; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -313,25 +315,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind, n = dict(docs.dtypes)[id_col], shuffle_partitions(spark)
     base = settle(_described(docs, id_col, text_col, k))
     real = base.where("__n > 0 and __id is not null")
-    reps = real.groupBy("__a", "__b").agg(F.min("__id").alias("node"))
-    sets = real.join(reps, ["__a", "__b"]).where("__id = node").select("node", "__sig")
-    rows = settle(_labels(sets, kind))
+    # copies fall together before anything is shuffled
+    reps = settle(real.groupBy("__a", "__b").agg(F.min("__id").alias("node"), F.first("__sig").alias("__sig")))
+    rows = settle(_labels(reps, kind))
     heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail")
     grown = rows.join(heads.select("bucket", "head"), "bucket").where("node <> head")
-    groups = settle(connected_components(grown, "node", "head").withColumnRenamed("component", "g"))
+    groups = connected_components(grown, "node", "head").withColumnRenamed("component", "g")
     sized = settle(groups.join(groups.groupBy("g").agg(F.count("*").alias("size")), "g").select("node", "g", "size"))
     n_members, largest = sized.agg(F.count("*"), F.max("size")).collect()[0]
     if n_members:
+        sort = lambda d, *by: few(d, n_members, MEMBERS).sortWithinPartitions(*by)
         members = settle(_member_sets(docs, sized, n_members, id_col, text_col, k, kind))
-        small = members.where(F.col("size") <= block).repartition(n, "g").sortWithinPartitions("g")
+        small = sort(members.where(F.col("size") <= block).repartition(n, "g"), "g")
         edges = _compare_runs(small, kind, block * 4, percent)
         if largest > block:
             edges = settle(edges)
             large = members.where(F.col("size") > block)
             for o in range(ORDERS):
-                edges = edges.union(_compare_runs(large.repartitionByRange(n, "g", f"k{o}", "node").sortWithinPartitions("g", f"k{o}", "node"), kind, block, percent))
+                edges = edges.union(_compare_runs(sort(large.repartitionByRange(n, "g", f"k{o}", "node"), "g", f"k{o}", "node"), kind, block, percent))
             first = settle(connected_components(edges))
-            edges = first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_strays(large, first, block, n, kind, percent))
+            edges = first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_strays(large, first, block, n, n_members, kind, percent))
         linked = connected_components(edges)
     else:
         linked = groups.select("node", F.col("g").alias("component"))
@@ -341,17 +344,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("__id") == comp, F.lit(True)).alias("kept"))
 
 
-def _strays(large: DataFrame, first: DataFrame, block: int, n: int, kind: str, percent: int) -> DataFrame:
+def _strays(large: DataFrame, first: DataFrame, block: int, n: int, n_members: int, kind: str, percent: int) -> DataFrame:
     """Edges of all sets outside their group's main component with any set of the group."""
     known = large.drop(*[f"k{o}" for o in range(ORDERS)]).join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    known = settle(known)
+    known = settle(few(known, n_members, MEMBERS))
     per = known.groupBy("g", "comp").agg(F.count("*").alias("c"))
     main = per.groupBy("g").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     blocks = F.ceil(F.col("size") / block).cast("int")
     marked = known.join(main, "g").withColumn("far", F.col("comp") != F.col("main"))
     held = marked.select("g", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "set", F.lit(0).alias("stray"), "comp")
     sent = marked.where("far").select("g", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", "set", F.lit(1).alias("stray"), "comp")
-    rows = held.union(sent).repartition(n, "g", "block").sortWithinPartitions("g", "block", "stray")
+    rows = few(held.union(sent).repartition(n, "g", "block"), n_members, block).sortWithinPartitions("g", "block", "stray")
     return _compare_blocks(rows, kind, percent)
 
 
