@@ -41,9 +41,10 @@ def softmax(a: Column) -> Column:
 
 def weighted_scores(scores: list[Column], weights: list[float]) -> Column:
     """Element by element sum of weight times score."""
-    out = F.transform(scores[0], lambda x: x * weights[0])
+    scaled = lambda s, w: F.transform(s, lambda x: x * w)
+    out = scaled(scores[0], weights[0])
     for s, w in zip(scores[1:], weights[1:], strict=True):
-        out = F.zip_with(out, F.transform(s, lambda x, w=w: x * w), lambda x, y: x + y)
+        out = F.zip_with(out, scaled(s, w), lambda x, y: x + y)
     return out
 
 

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 
 def arrow_function(schema: str) -> Callable[[Callable], Callable[..., Column]]:
-    """Decorates fn(series, ..) -> series; the column function is made at its first use."""
+    """Decorates fn(series, ..) -> series; the column function is made when it is used.
+
+    It is marked so that the optimiser doesn't move it into a lambda, where
+    Python functions can't run.
+    """
 
     def put(fn: Callable) -> Callable[..., Column]:
         @wraps(fn)
         def call(*cols) -> Column:
-            return F.pandas_udf(fn, schema)(*cols)
+            return F.pandas_udf(fn, schema).asNondeterministic()(*cols)
 
         return call
 

@@ -155,7 +155,7 @@ def stacked(packs: DataFrame, by: list[str], lens: tuple[str, ...] = ("seq_lens"
             d = d.withColumn(c, arrays.pad(F.col(c), F.max(F.size(c)).over(w), fill))
     cols = [c for c in (*fixed, *lens) if c in packs.columns]
     rows = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("r"))
-    return rows.select(*by, *[F.transform("r", lambda x, c=c: x[c]).alias(c) for c in cols])
+    return rows.select(*by, *[F.col("r").getField(c).alias(c) for c in cols])
 
 
 def padded_batch(rows: DataFrame, by: list[str], columns: dict[str, int], multiple: int | None = None) -> DataFrame:

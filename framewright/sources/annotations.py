@@ -54,7 +54,7 @@ def queries(spark: SparkSession, path: str, videos: DataFrame | None = None) ->
 
 def _object_of(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(key, a): the entries of one JSON object that fills a file."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "a"))
 
 

@@ -49,7 +49,7 @@ def is_hub_id(name: str) -> bool:
 
 def derived(query: str, columns: list[str]) -> str:
     """The columns of a query as a derived table."""
-    return f"SELECT {', '.join(map(quoted, columns))} FROM ({query.strip().rstrip(';')}) AS q"
+    return f"SELECT {', '.join(map(quoted, columns))} FROM ({query.strip().rstrip('; ')}) AS q"
 
 
 def read(spark: SparkSession, path: str | None = None, columns: list[str] | None = None, version: int | None = None, sql: str | None = None, jdbc: dict[str, str] | None = None) -> DataFrame:
@@ -131,7 +131,7 @@ def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(label, name) of a label map: blocks of name: ".." and id: n (or label_id)."""
-    t = spark.read.option("wholetext", "true").text(path)
+    t = spark.read.text(path, wholetext=True)
     item = r'name:\s*"([^"]*)"\s*(?:label_)?id:\s*(\d+)'
     z = F.arrays_zip(F.regexp_extract_all("value", F.lit(item), F.lit(1)).alias("n"), F.regexp_extract_all("value", F.lit(item), F.lit(2)).alias("i"))
     return t.select(F.explode(z).alias("z")).select(F.col("z.i").cast("int").alias("label"), F.col("z.n").alias("name"))
