@@ -24,6 +24,8 @@ BITS = 20
 #: Bounds of the training sample: confirmed toxic texts, unlabelled texts, distinct features of each kind.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 1500, 6000, 6_000_000
 CLASSIFIERS = 3
+#: Occurrences that a training step handles at once.
+CHUNK = 1 << 20
 #: Features seen in fewer sampled texts have no weight.
 LEAST_TEXTS = 8
 
@@ -44,18 +46,31 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     size = 1 << bits
     if not positive or not unlabelled:
         return Model(np.zeros(size, dtype=np.float32), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))) if unlabelled else 0.0)
-    flat = np.concatenate([*positive, *unlabelled]).astype(np.int64)
-    used = np.flatnonzero(np.bincount(flat, minlength=size) >= least)
-    place = np.full(size, -1)
-    place[used] = np.arange(len(used))
-    rows = np.repeat(np.arange(len(positive) + len(unlabelled)), [len(x) for x in [*positive, *unlabelled]])
-    cols = place[flat]
-    rows, cols = rows[cols >= 0], cols[cols >= 0]
+    texts = [*positive, *unlabelled]
+    seen = np.zeros(size, dtype=np.int32)
+    for x in texts:
+        seen[x] += 1  # a text's features are distinct
+    used = np.flatnonzero(seen >= least)
+    place = np.full(size, -1, dtype=np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    kept = [(c := place[x])[c >= 0] for x in texts]
+    cols = np.concatenate(kept)
+    rows = np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in kept])
+    del kept, seen, place
+    parts = [slice(i, i + CHUNK) for i in range(0, len(cols), CHUNK)]
+
+    def summed(index: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """Sums of values[of] by index, without an array of all occurrences."""
+        out = np.zeros(n)
+        for p in parts:
+            out += np.bincount(index[p], weights=values[of[p]], minlength=n)
+        return out
+
     n_p, n_u = len(positive), len(unlabelled)
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
-        z = b + np.bincount(rows, weights=w[cols], minlength=n_p + n_u)
+        z = b + summed(rows, w, cols, n_p + n_u)
         p = sigmoid(z)
         # loss as 1: log(1 + e^-z), slope p - 1; loss as 0: log(1 + e^z), slope p
         negative = np.logaddexp(0, z[n_p:]).mean() - prior * np.logaddexp(0, z[:n_p]).mean()
@@ -64,7 +79,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
             slope[:n_p] += prior * (p[:n_p] - 1) / n_p
         else:
             slope = -slope
-        g = np.append(np.bincount(cols, weights=slope[rows], minlength=len(used)), slope.sum())
+        g = np.append(summed(cols, slope, rows, len(used)), slope.sum())
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         scale = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
@@ -93,9 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the bound on the sample bounds the ids too
     top = lab.where("y = 1").orderBy(F.xxhash64("__lid")).limit(MAX_POSITIVE)
     extract = word_features(bits)
-    pos = sample(own.join(F.broadcast(top), own.doc_id == top["__lid"]).select("doc_id", "text", "y"), MAX_POSITIVE, extract, bits, MAX_FEATURES)
-    unl = sample(own.withColumn("y", F.lit(0)), MAX_UNLABELLED, extract, bits, MAX_FEATURES)
-    return average([train_nnpu([f for _, f, _ in pos], [f for _, f, _ in unl[k::CLASSIFIERS]] or [f for _, f, _ in unl], prior, bits) for k in range(CLASSIFIERS)])
+    features = lambda d, most: [f for _, f, _ in sample(d, most, extract, bits, MAX_FEATURES)]
+    pos = features(own.join(F.broadcast(top), own.doc_id == top["__lid"]).select("doc_id", "text", "y"), MAX_POSITIVE)
+    unl = features(own.withColumn("y", F.lit(0)), MAX_UNLABELLED)
+    return average([train_nnpu(pos, unl[k::CLASSIFIERS] or unl, prior, bits) for k in range(CLASSIFIERS)])
 
 
 def average(models: list[Model]) -> Model:
