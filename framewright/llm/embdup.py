@@ -133,15 +133,31 @@ def dual(p: Tree, q: Tree, cosine: float, same: bool, weight_p: np.ndarray, weig
     eps = float(np.sqrt(max(2.0 - 2.0 * cosine, 0.0)))
     count_p, count_q = np.zeros(len(p.x), dtype=np.int64), np.zeros(len(q.x), dtype=np.int64)
     links: list[np.ndarray] = []
+    shift = 0 if same else len(p.x)
+    root = np.arange(shift + len(q.x))
     sums_p, sums_q = np.append(0, np.cumsum(weight_p)), np.append(0, np.cumsum(weight_q))
 
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        """Only links between rows that aren't connected yet are kept: their number stays below that of the rows."""
+        nonlocal root
+        la, lb = root[a], root[b + shift]
+        on = la != lb
+        if on.any():
+            lo, hi = np.minimum(la, lb)[on], np.maximum(la, lb)[on]
+            _, first = np.unique(lo * len(root) + hi, return_index=True)
+            links.append(np.stack([a[on][first], b[on][first]], axis=1))
+            ids = np.unique(np.concatenate([lo[first], hi[first]]))
+            table = np.arange(len(root))
+            table[ids] = ids[roots(len(ids), np.searchsorted(ids, np.stack([lo[first], hi[first]], axis=1)))]
+            root = table[root]
+
     def sparse(a0: int, a1: int, b0: int, b1: int) -> None:
         """All of two runs are linked: a star joins them."""
         count_p[a0:a1] += sums_q[b1] - sums_q[b0]
-        links.append(np.stack([np.arange(a0, a1), np.full(a1 - a0, b0)], axis=1))
+        join(np.arange(a0, a1), np.full(a1 - a0, b0))
         if not same:
             count_q[b0:b1] += sums_p[a1] - sums_p[a0]
-            links.append(np.stack([np.full(b1 - b0, a0), np.arange(b0, b1)], axis=1))
+            join(np.full(b1 - b0, a0), np.arange(b0, b1))
 
     def leaf(pairs: np.ndarray) -> None:
         for i in range(0, len(pairs), lot // 8):
@@ -151,7 +167,7 @@ def dual(p: Tree, q: Tree, cosine: float, same: bool, weight_p: np.ndarray, weig
             np.add.at(count_p, a, weight_q[b])
             if not same:
                 np.add.at(count_q, b, weight_p[a])
-            links.append(np.stack([a, b], axis=1))
+            join(a, b)
 
     def descend(level: int, pairs: np.ndarray) -> None:
         ca, ra, _, rows_a = p.levels[level]
