@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import arrays, box
@@ -17,6 +17,12 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def char_ids(text: Column | str) -> Column:
+    """The code points of a text; an empty one has none."""
+    chars = F.split(text, "")
+    return F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.ascii(c))
+
+
 @query("token_vocab_topk", """WITH t AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), n AS (SELECT ascii(c)::BIGINT AS token, count(*) AS n FROM t WHERE c <> '' AND ascii(c) < 256 GROUP BY 1),
 a AS (SELECT token, 1 AS t, -n AS k FROM n WHERE token NOT IN (0, 2) UNION ALL SELECT * FROM (VALUES (2, 0, 0), (0, 0, 1)) v(token, t, k) UNION ALL SELECT x, 2, 0 FROM range(256) r(x) WHERE x NOT IN (SELECT token FROM n) AND x NOT IN (0, 2)), o AS (SELECT row_number() OVER (ORDER BY t, k, token) - 1 AS place, token FROM a) SELECT place, token FROM o WHERE place < 60""")
 def token_vocab_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,9 +56,10 @@ def pack_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("packed_samples")
 def packed_samples(spark: SparkSession, sf: str) -> DataFrame:
-    t = docs(spark, sf).select("doc_id", F.transform(F.split(F.substring("text", 1, 400), ""), lambda c: F.ascii(c)).alias("input_ids")).withColumn("labels", F.col("input_ids"))
-    sized = t.withColumn("n", F.size("input_ids"))
-    s = packing.packed_samples(t, packing.pack(sized, "doc_id", "n", 1024, shards=4), "doc_id", 1024)
+    """Whole texts in packs of 1024 tokens, or of the longest text where that is more: no row is too long for a pack."""
+    t = docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text"))
+    size = max(1024, t.agg(F.max("n")).collect()[0][0] or 0)
+    s = packing.packed_samples(t, packing.pack(t, "doc_id", "n", size, shards=4, too_long="error"), "doc_id", size, ids="text", tokenize=char_ids)
     return s.select("shard", "pack", F.size("input_ids").alias("size"), F.array_max("attention_mask").alias("sequences"), F.array_max("position_ids").alias("longest"))
 
 

@@ -10,6 +10,7 @@ lengths only; tokens are joined back to their packs.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -100,14 +101,18 @@ def pack_limit(packs: DataFrame, most: int) -> DataFrame:
     return packs.join(ids, ["shard", "pack"], "left_semi")
 
 
-def packed_samples(tokens: DataFrame, packs: DataFrame, id_col: str, size: int, pad_id: int = 0, ids: str = "input_ids", labels: str = "labels") -> DataFrame:
+def packed_samples(tokens: DataFrame, packs: DataFrame, id_col: str, size: int, pad_id: int = 0, ids: str = "input_ids", labels: str = "labels", tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
     """(shard, pack, input_ids, labels, attention_mask, position_ids), each of `size`.
 
     The mask numbers sequences from 1 (0 is padding), positions start anew in each,
-    padding is pad_id, -100, 0 and 0.
+    padding is pad_id, -100, 0 and 0. With tokenize, ids is a column of texts:
+    they are shuffled as such, become tokens in their pack, and are the labels too.
     """
-    j = packs.join(tokens.select(id_col, F.col(ids).alias("__i"), F.col(labels).alias("__l")), id_col)
-    rows = j.groupBy("shard", "pack").agg(F.array_sort(F.collect_list(F.struct("slot", "__i", "__l"))).alias("r"))
+    own = F.col(ids).alias("__i"), F.col(labels if tokenize is None else ids).alias("__l")
+    j = packs.join(tokens.select(id_col, *own[: 2 if tokenize is None else 1]), id_col)
+    rows = j.groupBy("shard", "pack").agg(F.array_sort(F.collect_list(F.struct("slot", "__i", *(["__l"] if tokenize is None else [])))).alias("r"))
+    if tokenize is not None:
+        rows = rows.withColumn("t", F.transform("r", lambda x: tokenize(x["__i"]))).select("shard", "pack", F.transform("t", lambda t: F.struct(t.alias("__i"), t.alias("__l"))).alias("r"))
     flat = lambda f: F.flatten(F.transform("r", f))
     n = F.lit(size)
     return rows.select(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import relational, spans
+from framewright.plans import q_prep, registry
 from framewright.prep import blending, chats, packing, retrieval, sampling, tokens
 
 
@@ -158,3 +159,32 @@ def test_truncation(spark):
     d = spark.createDataFrame(rows, "c int, t int, role string, n int")
     kept = lambda budget: [r.t for r in chats.truncated(d, "c", "t", "role", F.col("n"), budget).where("kept").orderBy("t").collect()]
     assert kept(14) == [0, 1, 2, 3, 4] and kept(8) == [0, 3, 4] and kept(1) == [0, 3, 4]
+
+
+def _documents(spark, path, lengths):
+    """doc_id and texts of such lengths, with letters beyond ASCII in them."""
+    letters = "ab é字😀z\n"
+    texts = {k: "".join(letters[(k + i * i) % len(letters)] for i in range(n)) for k, n in enumerate(lengths)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return texts
+
+
+def test_packed_samples_query_keeps_whole_texts(spark, tmp_path):
+    texts = _documents(spark, tmp_path, [5, 399, 400, 401, 1023, 1024, 1025, 2600, 700, 30, 30, 1, 0, 2599, 90])
+    ids = spark.createDataFrame([(k,) for k in texts], "doc_id long")
+    shard = {r.doc_id: r.s for r in ids.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("s")).collect()}
+    want, size = [], max(map(len, texts.values()))
+    for s in set(shard.values()):
+        bins = []
+        for k in sorted((k for k in texts if shard[k] == s), key=lambda k: (-len(texts[k]), k)):
+            least = min(bins, key=lambda b: sum(len(texts[x]) for x in b), default=None)
+            if least is None or sum(len(texts[x]) for x in least) + len(texts[k]) > size:
+                bins.append(least := [])
+            least.append(k)
+        want += [(s, i, size, max([j + 1 for j, k in enumerate(b) if texts[k]], default=0), max(max(len(texts[k]) - 1, 0) for k in b)) for i, b in enumerate(bins)]
+    got = registry.queries()["packed_samples"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    t = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n", F.length("text"))
+    s = packing.packed_samples(t, packing.pack(t, "doc_id", "n", size), "doc_id", size, ids="text", tokenize=q_prep.char_ids).collect()
+    kept = sorted("".join(chr(c) for c, m in zip(r.input_ids, r.attention_mask) if m == k) for r in s for k in range(1, max(r.attention_mask) + 1))
+    assert kept == sorted(x for x in texts.values() if x) and all(r.labels == [i if m else -100 for i, m in zip(r.input_ids, r.attention_mask)] for r in s)
