@@ -257,14 +257,14 @@ def softmax(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("corrupt_uniform")
 def corrupt_uniform(spark: SparkSession, sf: str) -> DataFrame:
-    t = docs(spark, sf).select("doc_id", F.transform(F.split(F.substring("text", 1, 200), ""), lambda c: F.ascii(c)).alias("ids")).withColumn("mask", F.transform("ids", lambda _, i: (i % 3 != 0).cast("int")))
+    t = docs(spark, sf).select("doc_id", char_ids("text").alias("ids")).withColumn("mask", F.transform("ids", lambda _, i: (i % 3 != 0).cast("int")))
     c = sampling.corrupt_uniform(t, "doc_id", "ids", "mask", 999, 7)
     return c.select("doc_id", F.size(F.filter("noise_mask", lambda x: x)).alias("noised"), F.size("noisy_ids").alias("n"))
 
 
 @query("corrupt_blocks")
 def corrupt_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    t = docs(spark, sf).select("doc_id", F.transform(F.split(F.substring("text", 1, 200), ""), lambda c: F.ascii(c)).alias("ids")).withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
+    t = docs(spark, sf).select("doc_id", char_ids("text").alias("ids")).withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
     c = sampling.corrupt_blocks(t, "doc_id", "ids", "mask", 999, 7, 32)
     return c.select("doc_id", F.size(F.filter("noise_mask", lambda x: x)).alias("noised"), F.size("noisy_ids").alias("n"))
 

@@ -6,6 +6,8 @@ needs no state. Draws differ from those of any generator, distributions don't.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +134,10 @@ def corrupt_blocks(df: DataFrame, key: str, ids: str, mask: str, mask_id: int, s
     """
     import math
 
+    def named(value: Column, use: Callable[[Column], Column]) -> Column:
+        """use(value), with value worked out once and not at each of its places."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
     n = F.size(ids)
     width = F.lit(block) if block else F.greatest(n, F.lit(1))
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / width).cast("int") - 1, F.lit(0))), lambda b: b)
@@ -143,11 +149,12 @@ def corrupt_blocks(df: DataFrame, key: str, ids: str, mask: str, mask_id: int, s
         k = F.greatest(F.bround(m * size).cast("int"), F.lit(0 if block else 1))
         slope = (1 - m) * math.log(2.0) / (half_life * width)
         score = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.struct((slope * i - F.log(-F.log(_unit(F.col(key), F.lit(seed + 1), b, i)))).alias("z"), i.alias("i")))
-        top = F.transform(F.slice(F.reverse(F.array_sort(score)), 1, F.greatest(k, F.lit(1))), lambda s: s["i"])
-        return F.when(k > 0, F.transform(top, lambda i: lo + i)).otherwise(F.array().cast("array<int>"))
+        least = lambda z: F.get(F.reverse(F.array_sort(z)), F.greatest(k, F.lit(1)) - 1)
+        drawn = named(score, lambda z: named(least(z), lambda low: F.transform(z, lambda x: x >= low)))
+        return F.when(n == 0, F.array().cast("array<boolean>")).when(k > 0, drawn).otherwise(F.array_repeat(F.lit(False), size))
 
     d = df.withColumn("__at", F.flatten(F.transform(blocks, noise)))
-    d = d.withColumn("noise_mask", F.transform(mask, lambda m, i: (m.cast("int") != 0) & F.array_contains("__at", i))).drop("__at")
+    d = d.withColumn("noise_mask", F.zip_with(mask, "__at", lambda m, h: (m.cast("int") != 0) & h)).drop("__at")
     return d.withColumn("noisy_ids", F.zip_with(ids, "noise_mask", lambda t, h: F.when(h, F.lit(mask_id)).otherwise(t)))
 
 

@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import numpy as np
@@ -188,3 +189,24 @@ def test_packed_samples_query_keeps_whole_texts(spark, tmp_path):
     s = packing.packed_samples(t, packing.pack(t, "doc_id", "n", size), "doc_id", size, ids="text", tokenize=q_prep.char_ids).collect()
     kept = sorted("".join(chr(c) for c, m in zip(r.input_ids, r.attention_mask) if m == k) for r in s for k in range(1, max(r.attention_mask) + 1))
     assert kept == sorted(x for x in texts.values() if x) and all(r.labels == [i if m else -100 for i, m in zip(r.input_ids, r.attention_mask)] for r in s)
+
+
+def test_corruption_queries_take_whole_texts(spark, tmp_path):
+    texts = _documents(spark, tmp_path, [1, 31, 32, 33, 199, 200, 201, 256, 700, 0])
+    at = spark.createDataFrame([(k, i, i // 32, i % 32) for k, t in texts.items() for i in range(len(t))], "doc_id long, i int, b int, j int")
+    unit = lambda *c: sampling._unit("doc_id", *c)
+    rows = at.select("*", unit(F.lit(7)).alias("p"), unit(F.lit(8), "i").alias("u"), unit(F.lit(7), "b").alias("m"), unit(F.lit(8), "b", "j").alias("v")).collect()
+    hit = {k: {r.i for r in rows if r.doc_id == k and r.i % 3 and r.u < 0.001 + 0.999 * r.p} for k in texts}
+    got = registry.queries()["corrupt_uniform"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.noised, r.n) for r in got} == {k: (len(hit[k]), len(t)) for k, t in texts.items()}
+    drawn = {k: set() for k in texts}
+    for k, b in {(r.doc_id, r.b) for r in rows}:
+        own = [r for r in rows if (r.doc_id, r.b) == (k, b)]
+        m = 0.001 + 0.999 * own[0].m
+        z = lambda r: (1 - m) * math.log(2) / 8 * r.j - math.log(-math.log(r.v))
+        drawn[k] |= {r.i for r in sorted(own, key=z, reverse=True)[: round(m * len(own))]}
+    got = registry.queries()["corrupt_blocks"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.noised, r.n) for r in got} == {k: (len(drawn[k]), len(t)) for k, t in texts.items()}
+    t = spark.createDataFrame([(k, [ord(c) for c in t], [1] * len(t)) for k, t in texts.items()], "doc_id long, ids array<int>, m array<int>")
+    c = sampling.corrupt_blocks(t, "doc_id", "ids", "m", -1, 7, 32).collect()
+    assert {r.doc_id: {i for i, h in enumerate(r.noise_mask) if h} for r in c} == drawn and all((x == -1) == h for r in c for x, h in zip(r.noisy_ids, r.noise_mask))
