@@ -6,6 +6,7 @@ from graphs import random_graph, walkers
 from framewright import schemas
 from framewright.graph import engine, queries, solve, tables
 from framewright.graph.templates import CATALOGUE, label_of
+from framewright.plans import q_graphs, registry
 
 
 
@@ -109,3 +110,14 @@ def test_tables(spark):
     assert sorted((r.s, r.tags) for r in m.collect()) == [(3, ["clip_0"]), (20, [])]
     assert tables.pair_infos(df, 1).count() == 0 and tables.visible_ids(df).count() == 4
     assert tables.boxes(df).count() == 4
+
+
+def test_queries_of_graphs_have_no_limit(spark, monkeypatch):
+    """A video of more than 20 target sets: all of them are asked for and exported."""
+    df = spark.createDataFrame([random_graph(2, 8)], schemas.GRAPH)
+    every = queries.dedupe(queries.generate(df)).select("query_id").collect()
+    monkeypatch.setattr(q_graphs, "few_graphs", lambda *_: df)
+    asked = registry.queries()["grounding_queries"](spark, "").collect()
+    told = registry.queries()["training_records"](spark, "").collect()
+    assert len(every) > 20
+    assert sorted(r.query_id for r in asked) == sorted(r.query_id for r in every) == sorted(r.queryid for r in told)
