@@ -1,20 +1,23 @@
 """MinHash near-duplicates with an LSH forest, links confirmed on full shingle sets.
 
 1. Equal sets fall together by a 128-bit hash; one document stands for each set.
-2. Every set has TREES labels of DEPTH MinHash values. Sets that share a label
-   with another one belong to the same region; regions that overlap grow
-   together into groups (connected components of label to smallest member).
-   Two sets of similarity 0.8 share a label with probability 1 - 5e-5.
-3. A group of at most BLOCK sets is compared completely, in one task.
-4. A larger group is sorted by several signature orders, each going deeper in
-   the forest than the label, so that the neighbours with the longest common
-   prefixes stand together; runs of BLOCK neighbours are compared completely.
-   That joins nearly all of the group into one component. Every set outside
-   that component is then compared with every set of the group, block by
-   block; pairs inside it are connected already. So no pair of a group is left
-   out that could join two components, whatever the group's size.
-
-Nothing grows with a group but the number of its blocks.
+2. The forest: every set has TREES labels of DEPTH MinHash values, the roots of
+   its regions. Two sets of similarity 0.8 share a region with probability
+   1 - 5e-5. Only sets that share one go on.
+3. Their signatures are sorted in several orders. Neighbours with the longest
+   common prefixes are the candidates: the sorted rows are cut where the common
+   prefix of two neighbours is shortest, so that a region of the order goes as
+   deep as its density asks for, and the sets of a region are compared in full.
+4. What the sorted orders left apart: in every region of the forest the sets of
+   different components are held against each other by whole signatures, and
+   the pairs that can be alike are confirmed on their full sets. So no pair of
+   a region is left out that could join two components, whatever its size.
+
+Large regions are dealt into blocks; only sets outside a region's largest
+component travel to other blocks, as signatures. Near copies are nearly all in
+that component after step 3. Rows grow with (such sets) x (blocks of a region):
+that is the price of an exact answer for many sets that share their smallest
+hashes and still aren't alike.
 """
 
 from __future__ import annotations
@@ -33,10 +36,13 @@ from framewright.session import few, settle, shuffle_partitions
 
 TREES, DEPTH = 25, 5
 HASHES = TREES * DEPTH
-BLOCK, ORDERS = 256, 3
+#: Sorted orders, the rows of a region of an order at most, and the bytes of sets that a task holds for one.
+BLOCK, ORDERS, HELD_BYTES = 256, 3, 24 << 20
+#: Sets of a forest's region that are held against each other at once.
+LOT = 1024
 #: Members with their sets that a task takes at least.
 MEMBERS = 2000
-#: Ids that may be broadcast to pick the texts of the groups' members; beyond it they are joined by a shuffle.
+#: Ids that may be broadcast after they were counted; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(_SEEDS + np.uint64(99)) | np.uint64(1)
@@ -103,11 +109,8 @@ def bucket_ids(sigs: np.ndarray) -> np.ndarray:
     return out
 
 
-def links(sets: list[np.ndarray], first: int | None = None, percent: int = 80, columns: int = 8192) -> np.ndarray:
-    """Rows (i, j), i < j, with 100 * intersection >= percent * union, by counts over shared members.
-
-    first: only pairs whose i is below it.
-    """
+def links(sets: list[np.ndarray], percent: int = 80, columns: int = 8192) -> np.ndarray:
+    """Rows (i, j), i < j, with 100 * intersection >= percent * union, by counts over shared members."""
     n = len(sets)
     if n < 2:
         return np.zeros((0, 2), dtype=np.int64)
@@ -121,8 +124,7 @@ def links(sets: list[np.ndarray], first: int | None = None, percent: int = 80, c
     col = np.cumsum(new) - 1
     shared = np.bincount(col)[col] > 1
     col, owner = col[shared], owner[shared]
-    top = n if first is None else first
-    inter = np.zeros((top, n), dtype=np.float32)
+    inter = np.zeros((n, n), dtype=np.float32)
     if len(col):
         _, col = np.unique(col, return_inverse=True)
         cuts = np.searchsorted(col, np.arange(0, col[-1] + columns + 1, columns))
@@ -131,9 +133,9 @@ def links(sets: list[np.ndarray], first: int | None = None, percent: int = 80, c
             if len(c):
                 m = np.zeros((n, int(c[-1]) - k * columns + 1), dtype=np.float32)
                 m[o, c - k * columns] = 1
-                inter += m[:top] @ m.T
+                inter += m @ m.T
     inter = inter.astype(np.int64)
-    union = size[:top, None] + size[None] - inter
+    union = size[:, None] + size[None] - inter
     i, j = np.nonzero((100 * inter >= percent * union) & (union > 0))
     keep = i < j
     return np.stack([i[keep], j[keep]], axis=1)
@@ -197,88 +199,62 @@ def _labels(sets: DataFrame, kind: str) -> DataFrame:
     return sets.select("node", "__sig").mapInArrow(run, f"bucket long, node {kind}")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Iterator[list[tuple]]:
-    """Runs of rows with equal first columns of a sorted stream, of at most limit rows each."""
-    run: list[tuple] = []
-    for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns]):
-            if run and (row[:keys] != run[0][:keys] or len(run) >= limit):
-                yield run
-                run = []
-            run.append(row)
-    if run:
-        yield run
-
-
 def _edges(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], names=["u", "v"])
 
 
-def _compare_runs(members: DataFrame, kind: str, limit: int, percent: int) -> DataFrame:
-    """Edges (u, v) to the first row of each component inside the runs of equal g; members: (g, node, set), sorted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(_kept(batches, types := []), 1, limit):
-            to = roots(len(rows), links([np.frombuffer(r[2], dtype=np.uint64) for r in rows], None, percent))
-            found = [(rows[i][1], rows[j][1]) for i, j in enumerate(to) if i != j]
-            if found:
-                yield _edges(found, types[0])
-
-    return members.select("g", "node", "set").mapInArrow(run, f"u {kind}, v {kind}")
+def prefix_lengths(keys: list[bytes]) -> np.ndarray:
+    """Values that each key has in common with the next one."""
+    k = np.frombuffer(b"".join(keys), dtype=">u2").reshape(len(keys), -1)
+    return np.logical_and.accumulate(k[1:] == k[:-1], axis=1).sum(axis=1)
 
 
-def _kept(batches: Iterator[pa.RecordBatch], types: list) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        types[:] = [b.column(1).type]
-        yield b
+def region_end(keys: list[bytes], block: int) -> int:
+    """Rows of the first region of sorted keys, block at most: the cut is at the shortest common prefix, the last of those."""
+    if len(keys) <= block:
+        return len(keys)
+    common = prefix_lengths(keys[: block + 1])
+    return len(common) - int(common[::-1].argmin())
 
 
-def _compare_blocks(rows: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Edges between strays and the members of their blocks; rows: (g, block, node, set, stray, comp), members first.
-
-    Strays pass in small lots, so a task holds one block and one lot.
-    """
+def _neighbours(members: DataFrame, order: int, kind: str, block: int, percent: int, parts: int, n_members: int) -> DataFrame:
+    """Edges (u, v) inside the regions of one sorted order, each to the first row of its component there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types: list = []
-        key, held, lot = None, [], []
-
-        def settle_lot() -> list[tuple]:
-            if not lot or not held:
-                return []
-            both = lot + held
-            found = {}
-            for i, j in links([np.frombuffer(r[3], dtype=np.uint64) for r in both], len(lot), percent).tolist():
-                if j >= len(lot):
-                    found.setdefault((lot[i][2], both[j][5]), both[j][2])  # one link to each component will do
-            return [(s, m) for (s, _), m in found.items()]
+        held: list[tuple] = []
+        size, types = 0, []
+
+        def compared(n: int) -> list[tuple]:
+            rows = held[:n]
+            del held[:n]
+            to = roots(n, links([np.frombuffer(r[2], dtype=np.uint64) for r in rows], percent))
+            return [(rows[i][1], rows[j][1]) for i, j in enumerate(to) if rows[i][1] != rows[j][1]]
 
         for b in batches:
-            types[:] = [b.column(2).type]
+            types[:] = [b.column(1).type]
             out: list[tuple] = []
             for row in zip(*[c.to_pylist() for c in b.columns]):
-                if row[:2] != key:
-                    out += settle_lot()
-                    key, held, lot = row[:2], [], []
-                if row[4]:
-                    lot.append(row)
-                    if len(lot) >= BLOCK:
-                        out += settle_lot()
-                        lot = []
-                else:
-                    held.append(row)
+                if held and row == held[-1]:  # repeated rows of one id
+                    continue
+                held.append(row)
+                size += len(row[2])
+                if len(held) >= 2 * block or size >= HELD_BYTES:
+                    out += compared(region_end([r[0] for r in held], max(1, min(block, len(held) // 2))))
+                    size = sum(len(r[2]) for r in held)
             if out:
                 yield _edges(out, types[0])
-        if out := settle_lot():
-            yield _edges(out, types[0])
+        while held:
+            if out := compared(region_end([r[0] for r in held], block)):
+                yield _edges(out, types[0])
 
-    return rows.select("g", "block", "node", "set", "stray", "comp").mapInArrow(run, f"u {kind}, v {kind}")
+    key = f"k{order}"
+    rows = few(members.select(key, "node", "set").repartitionByRange(parts, key, "node"), n_members, MEMBERS)
+    return rows.sortWithinPartitions(key, "node").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def _member_sets(docs: DataFrame, members: DataFrame, n_members: int, id_col: str, text_col: str, k: int, kind: str) -> DataFrame:
-    """(g, size, node, set, k0, k1, ..): the full sets of the groups' members, with a key for each order."""
+def _member_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, id_col: str, text_col: str, k: int, kind: str) -> DataFrame:
+    """(node, set, k0, k1, ..): the full sets of the nodes, with a key for each order."""
     own = docs.select(docs[id_col].alias("node"), docs[text_col].alias("__text"))
-    few = F.broadcast(members) if n_members <= BROADCAST_IDS else members
     keys = [f"k{o}" for o in range(ORDERS)]
 
     def setup():
@@ -291,18 +267,132 @@ def _member_sets(docs: DataFrame, members: DataFrame, n_members: int, id_col: st
                 return None
             sets = [sets[i] for i in full]
             sigs = signatures(sets)
-            at = pa.array(full)
-            cols = [b.column(c).take(at) for c in ("g", "size", "node")]
-            cols += [pa.array([s.tobytes() for s in sets], pa.binary()), *[pa.array([sort_key(s, o) for s in sigs], pa.binary()) for o in range(ORDERS)]]
-            return pa.RecordBatch.from_arrays(cols, names=["g", "size", "node", "set", *keys])
+            cols = [b.column("node").take(pa.array(full)), pa.array([s.tobytes() for s in sets], pa.binary())]
+            cols += [pa.array([sort_key(s, o) for s in sigs], pa.binary()) for o in range(ORDERS)]
+            return pa.RecordBatch.from_arrays(cols, names=["node", "set", *keys])
 
         return work
 
-    both = own.join(few, "node")
-    return map_text(both, {c: c for c in ("g", "size", "node", "__text")}, "__text", setup, f"g {kind}, size long, node {kind}, set binary, " + ", ".join(f"{c} binary" for c in keys))
+    both = own.join(F.broadcast(nodes) if n_nodes <= BROADCAST_IDS else nodes, "node")
+    return map_text(both, {"node": "node", "__text": "__text"}, "__text", setup, f"node {kind}, set binary, " + ", ".join(f"{c} binary" for c in keys))
+
+
+def least_matches(percent: int) -> int:
+    """Equal signature values that a pair of the asked similarity has but for a chance of 1e-5."""
+    p = percent / 100
+    return max(1, int(np.floor(HASHES * p - 4.4 * np.sqrt(HASHES * p * (1 - p)))))
+
 
+def _alike(rows: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components whose sizes and signatures allow the similarity.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    rows: (bucket, block, guest, node, comp, size, sig), sorted by the first
+    three. A block's own rows are compared with each other and with its guests,
+    which pass in lots, so a task holds one block and one lot.
+    """
+    least = least_matches(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list = []
+        key, own, lot = None, [], []
+        ready: list[tuple] = []  # pairs whose signatures wait for comparison
+        found: list[tuple] = []
+
+        def compare() -> None:
+            if ready:
+                a, b = (np.frombuffer(b"".join(r[x] for r in ready), dtype=np.uint16).reshape(-1, HASHES) for x in (2, 3))
+                on = np.flatnonzero((a == b).sum(axis=1) >= least).tolist()
+                found.extend(ready[i][:2] for i in on)
+                ready.clear()
+
+        def pair_up(left: list[tuple], right: list[tuple] | None) -> None:
+            second = left if right is None else right
+            if not left or not second:
+                return
+            comps = {c: i for i, c in enumerate({r[4] for r in left} | {r[4] for r in second})}
+            ca, cb = (np.array([comps[r[4]] for r in x]) for x in (left, second))
+            na, nb = (np.array([r[5] for r in x]) for x in (left, second))
+            on = (ca[:, None] != cb[None]) & (100 * np.minimum(na[:, None], nb[None]) >= percent * np.maximum(na[:, None], nb[None]))
+            if right is None:
+                on = np.triu(on, 1)
+            for i, j in np.argwhere(on).tolist():
+                ready.append((left[i][3], second[j][3], left[i][6], second[j][6]))
+                if len(ready) >= 1 << 14:
+                    compare()
+
+        def done(last: bool) -> None:
+            pair_up(lot, own)
+            if last and len(own) > 1:
+                pair_up(own, None)
+
+        for b in batches:
+            types[:] = [b.column(3).type]
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                if row[:2] != key:
+                    done(True)
+                    key, own, lot = row[:2], [], []
+                if not row[2]:
+                    own.append(row)
+                else:
+                    lot.append(row)
+                    if len(lot) >= LOT:
+                        done(False)
+                        lot = []
+            if found:
+                yield _edges(found, types[0])
+                found.clear()
+        done(True)
+        compare()
+        if found:
+            yield _edges(found, types[0])
+
+    return rows.select("bucket", "block", "guest", "node", "comp", "size", "sig").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _confirmed(pairs: DataFrame, n_pairs: int, members: DataFrame, kind: str, percent: int) -> DataFrame:
+    """The pairs whose full sets are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for u, v, x, y in zip(*[c.to_pylist() for c in b.columns]):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * n >= percent * (len(x) + len(y) - n):
+                    out.append((u, v))
+            if out:
+                yield _edges(out, b.column(0).type)
+
+    sets = members.select("node", "set")
+    if n_pairs <= BROADCAST_IDS // 2:  # the ids of counted pairs
+        ends = F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        sets = sets.join(ends, "node", "left_semi")
+    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
+    return few(both, n_pairs, MEMBERS).select("u", "v", "x", "y").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _apart(regions: DataFrame, first: DataFrame, reps: DataFrame, members: DataFrame, kind: str, n: int, percent: int, lot: int) -> DataFrame | None:
+    """Links between sets of one region of the forest that are in different components so far."""
+    comp = settle(regions.join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")))
+    per = comp.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("rows"), F.count("*").alias("k")).where("k > 1").drop("k")
+    blocks = F.ceil(F.col("rows") / lot).cast("int")
+    at = comp.join(mixed, "bucket").join(reps.select("node", F.col("__n").alias("size"), F.col("__sig").alias("sig")), "node")
+    at = settle(at.select("bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks"), (F.col("comp") != F.col("main")).alias("far"), "node", "comp", "size", "sig"))
+    total, most = at.agg(F.count("*"), F.max("blocks")).collect()[0]
+    if not total:
+        return None
+    rows = at.select("bucket", "block", F.lit(0).alias("guest"), "node", "comp", "size", "sig")
+    if most > 1:
+        sent = at.where("far and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
+        rows = rows.union(sent.select("bucket", F.col("to").alias("block"), F.lit(1).alias("guest"), "node", "comp", "size", "sig"))
+    rows = few(rows.repartition(n, "bucket", "block"), total, 10 * MEMBERS).sortWithinPartitions("bucket", "block", "guest")
+    pairs = settle(_alike(rows, kind, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    n_pairs = pairs.count()
+    return settle(_confirmed(pairs, n_pairs, members, kind, percent)) if n_pairs else None
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK, lot: int = LOT) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each row of docs.
 
     Texts whose sets of k-word shingles have at least percent hundredths in
@@ -316,46 +406,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = settle(_described(docs, id_col, text_col, k))
     real = base.where("__n > 0 and __id is not null")
     # copies fall together before anything is shuffled
-    reps = settle(real.groupBy("__a", "__b").agg(F.min("__id").alias("node"), F.first("__sig").alias("__sig")))
-    rows = settle(_labels(reps, kind))
-    heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail")
-    grown = rows.join(heads.select("bucket", "head"), "bucket").where("node <> head")
-    groups = connected_components(grown, "node", "head").withColumnRenamed("component", "g")
-    sized = settle(groups.join(groups.groupBy("g").agg(F.count("*").alias("size")), "g").select("node", "g", "size"))
-    n_members, largest = sized.agg(F.count("*"), F.max("size")).collect()[0]
-    if n_members:
-        sort = lambda d, *by: few(d, n_members, MEMBERS).sortWithinPartitions(*by)
-        members = settle(_member_sets(docs, sized, n_members, id_col, text_col, k, kind))
-        small = sort(members.where(F.col("size") <= block).repartition(n, "g"), "g")
-        edges = _compare_runs(small, kind, block * 4, percent)
-        if largest > block:
-            edges = settle(edges)
-            large = members.where(F.col("size") > block)
-            for o in range(ORDERS):
-                edges = edges.union(_compare_runs(sort(large.repartitionByRange(n, "g", f"k{o}", "node"), "g", f"k{o}", "node"), kind, block, percent))
-            first = settle(connected_components(edges))
-            edges = first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_strays(large, first, block, n, n_members, kind, percent))
-        linked = connected_components(edges)
-    else:
-        linked = groups.select("node", F.col("g").alias("component"))
-    found = reps.join(linked, "node", "left").select("__a", "__b", F.coalesce("component", "node").alias("__c"))
-    out = base.withColumn("__real", (F.col("__n") > 0) & F.col("__id").isNotNull()).join(found.withColumn("__real", F.lit(True)), ["__a", "__b", "__real"], "left")
-    comp = F.coalesce("__c", "__id")
-    return out.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("__id") == comp, F.lit(True)).alias("kept"))
-
-
-def _strays(large: DataFrame, first: DataFrame, block: int, n: int, n_members: int, kind: str, percent: int) -> DataFrame:
-    """Edges of all sets outside their group's main component with any set of the group."""
-    known = large.drop(*[f"k{o}" for o in range(ORDERS)]).join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    known = settle(few(known, n_members, MEMBERS))
-    per = known.groupBy("g", "comp").agg(F.count("*").alias("c"))
-    main = per.groupBy("g").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    marked = known.join(main, "g").withColumn("far", F.col("comp") != F.col("main"))
-    held = marked.select("g", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "set", F.lit(0).alias("stray"), "comp")
-    sent = marked.where("far").select("g", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", "set", F.lit(1).alias("stray"), "comp")
-    rows = few(held.union(sent).repartition(n, "g", "block"), n_members, block).sortWithinPartitions("g", "block", "stray")
-    return _compare_blocks(rows, kind, percent)
+    reps = settle(real.groupBy("__a", "__b").agg(F.min("__id").alias("node"), F.first("__n").alias("__n"), F.first("__sig").alias("__sig")))
+    labels = settle(_labels(reps, kind))
+    shared = labels.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("bucket")
+    regions = settle(labels.join(shared, "bucket"))
+    nodes = settle(regions.select("node").distinct())
+    n_nodes = nodes.count()
+    linked = None
+    if n_nodes:
+        members = settle(_member_sets(docs, nodes, n_nodes, id_col, text_col, k, kind))
+        edges = _neighbours(members, 0, kind, block, percent, n, n_nodes)
+        for o in range(1, ORDERS):
+            edges = edges.union(_neighbours(members, o, kind, block, percent, n, n_nodes))
+        linked = settle(connected_components(edges))
+        more = _apart(regions, linked, reps, members, kind, n, percent, lot)
+        if more is not None:
+            linked = connected_components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    found = reps.join(linked, "node", "left").select("__a", "__b", F.coalesce("component", "node").alias("__c")) if linked is not None else reps.select("__a", "__b", F.col("node").alias("__c"))
+    full = base.withColumn("__real", (F.col("__n") > 0) & F.col("__id").isNotNull())
+    # sets of nothing stay out of the join: they would all meet at one key
+    joined = full.where("__real").join(found, ["__a", "__b"]).select("__id", "__n", "__c").union(full.where("not __real").select("__id", "__n", F.col("__id").alias("__c")))
+    return joined.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), F.col("__c").alias("component_id"), F.coalesce(F.col("__id") == F.col("__c"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -364,8 +435,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Repeated rows of a kept id all stay: they are one document.
     """
     found = near_duplicates(docs, id_col, text_col, k, percent)
-    gone = found.where("not kept").select(F.col(id_col).alias("__gone")).distinct()
+    gone = settle(found.where("not kept").select(F.col(id_col).alias("__gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = f"c{names.index(id_col)}"
-    return own.join(gone, own[at] == gone["__gone"], "left_anti").toDF(*names)
+    return own.join(gone, own[at] == F.col("__gone"), "left_anti").toDF(*names)

@@ -46,10 +46,10 @@ def corpus(seed, n_base=12, copies=30):
     return rows
 
 
-@pytest.mark.parametrize("seed,block", [(1, 256), (2, 8)])
-def test_against_brute_force(spark, seed, block):
+@pytest.mark.parametrize("seed,block,lot", [(1, 256, 1024), (2, 8, 4), (3, 3, 2)])
+def test_against_brute_force(spark, seed, block, lot):
     rows = corpus(seed) + [(10_000, None), (10_001, ""), (10_002, "  "), (10_003, "one"), (10_004, "ONE"), (10_005, "x " * 3000)]
-    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4, block=block).collect()}
+    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4, block=block, lot=lot).collect()}
     want = brute(rows, 4)
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
@@ -72,6 +72,34 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100}
 
 
+def test_regions_are_cut_at_the_shortest_prefix():
+    key = lambda *v: b"".join(x.to_bytes(2, "big") for x in v)
+    keys = [key(1, 1, 1), key(1, 1, 2), key(1, 2, 1), key(2, 1, 1), key(2, 1, 2), key(2, 2, 1)]
+    assert neardup.prefix_lengths(keys).tolist() == [2, 1, 0, 2, 1]
+    assert [neardup.region_end(keys, b) for b in (6, 5, 3, 2, 1)] == [6, 3, 3, 2, 1]
+    assert neardup.region_end([key(7, 7)] * 5, 3) == 3  # no shorter prefix anywhere
+
+
+def test_many_of_one_template_stay_apart(spark):
+    """Texts that share 60 hundredths of their words fill regions without being alike."""
+    r = random.Random(7)
+    rows = []
+    for i in range(150):
+        w = ["t%d" % j for j in range(120)]
+        at = r.randrange(60)
+        w[at : at + 60] = ["u%d_%d" % (i, j) for j in range(60)]
+        rows.append((i, " ".join(w)))
+    rows.append((500, rows[3][1] + " end"))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), lot=16, block=16).collect()}
+    assert got == brute(rows, 5)
+
+
+def test_recall_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, k=4).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()], 4)
+
+
 def test_connected_pairs_are_exact():
     import numpy as np
 
