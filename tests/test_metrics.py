@@ -59,6 +59,28 @@ def test_arrays(spark):
     assert one(spark, arrays.jaccard(F.array().cast("array<int>"), F.array().cast("array<int>")))[0] == 0
 
 
+#: Queries and the prompts that they become.
+POINT_PROMPTS = {
+    "Where does who carries it occur in the video?": "point to the person carrying it",
+    "where does   who  makes tea\noccur in the video?": "point to the person making tea",
+    "what is red?": "point to the red",
+    "which dog.": "point to the dog",
+    "the cup": "point to the the cup",
+    "who is there": "point to the person there",
+    "who are running": "point to the person are running",
+    "Who has a hat": "point to the person having a hat",
+    "who does it": "point to the person doing it",
+    "who sits": "point to the person siting",
+    "who use it": "point to the person using it",
+    "who sing": "point to the person sing",
+    "who run fast": "point to the person runing fast",
+    "who yes": "point to the person yeing",
+    "who be": "point to the person being",
+    "who": "point to the who",
+    "": "",
+}
+
+
 def test_answers(spark):
     ask = lambda t: one(spark, answers.temporal_span(F.lit(t)))[0]
     assert tuple(ask("3.5s to 6s")) == (7, 12) and tuple(ask("frames 9 - 4")) == (4, 9) and ask("none") is None
@@ -69,9 +91,12 @@ def test_answers(spark):
     cut = answers.parse_tracks('{"a": {"1": [0, 0, 1, 1], "2": [0, 0, 1')
     assert [(t["s"], t["e"]) for t in cut] == [(1, 1)] and answers.parse_tracks(None) == []
     assert answers.remap_text('{"1": [0], "3": [1], "9": [2]}', [10, 20, 30]) == '{"10": [0], "30": [1], "9": [2]}'
-    assert answers.point_prompt("Where does who carries it occur in the video?") == "point to the person carrying it"
-    assert answers.point_prompt("what is red?") == "point to the red" and answers.point_prompt("who is there") == "point to the person there"
+    for said, want in POINT_PROMPTS.items():
+        assert one(spark, answers.point_prompts(F.lit(said)))[0] == want, said
     assert answers.collect_points({"3": {"point": [1, 2]}, "a": [{"frame": 4, "x": 5, "y": 6}]}) == [(3, 1.0, 2.0), (4, 5.0, 6.0)]
+    nested = {"t": "7", "points": [[1, 2], {"x": "3", "y": 4}, '<point x1="5.5" y1="6">'], "in": {"8": [[0.5, 1, 9], [2]], "z": {"9": {"points": {"x": None, "y": 1}}}}}
+    assert answers.collect_points(nested) == [(7, 1.0, 2.0), (7, 3.0, 4.0), (7, 5.5, 6.0), (8, 0.5, 1.0)]
+    assert answers.collect_points([]) == answers.collect_points(None) == answers.collect_points({"x": 1, "y": 2}) == []
     assert answers.normalise_answer('note {"3": [0, 0, 1, 2]} end', "it") == '{"it": {"3": [0.0, 0.0, 1.0, 1.0]}}'
     m = one(spark, answers.grid_tubes(F.lit("<TEMP-001>:[<WIDTH-000><HEIGHT-099><WIDTH-099><HEIGHT-033>]"), F.array(F.lit(5), F.lit(7))))[0]
     assert list(m) == [7] and m[7] == pytest.approx([0, 1, 1, 1 / 3])
