@@ -9,20 +9,22 @@
    prefix of two neighbours is shortest, so that a region of the order goes as
    deep as its density asks for, and the sets of a region are compared in full.
 4. What the sorted orders left apart: in every region of the forest the sets of
-   different components are held against each other by whole signatures, and
-   the pairs that can be alike are confirmed on their full sets. So no pair of
-   a region is left out that could join two components, whatever its size.
-
-Large regions are dealt into blocks; only sets outside a region's largest
-component travel to other blocks, as signatures. Near copies are nearly all in
-that component after step 3. Rows grow with (such sets) x (blocks of a region):
-that is the price of an exact answer for many sets that share their smallest
-hashes and still aren't alike.
+   different components are held against each other by whole signatures. Where
+   a pair can be alike, one of its sets goes to the other's region of the first
+   sorted order and is compared with all full sets there. So no pair of a region
+   is left out that could join two components, whatever its size.
+
+Large regions of the forest are dealt into blocks; only sets outside a region's
+largest component travel to other blocks, as signatures. Near copies are nearly
+all in that component after step 3. Rows grow with (such sets) x (blocks), never
+with the pairs: that is the price of an exact answer for many sets that share
+their smallest hashes and still aren't alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -218,7 +220,10 @@ def region_end(keys: list[bytes], block: int) -> int:
 
 
 def _neighbours(members: DataFrame, order: int, kind: str, block: int, percent: int, parts: int, n_members: int) -> DataFrame:
-    """Edges (u, v) inside the regions of one sorted order, each to the first row of its component there."""
+    """Edges (u, v, region) inside the regions of one sorted order, each from the first row of its component there.
+
+    region is the region's first node; every row has at least one edge, be it to itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -228,7 +233,10 @@ def _neighbours(members: DataFrame, order: int, kind: str, block: int, percent:
             rows = held[:n]
             del held[:n]
             to = roots(n, links([np.frombuffer(r[2], dtype=np.uint64) for r in rows], percent))
-            return [(rows[i][1], rows[j][1]) for i, j in enumerate(to) if rows[i][1] != rows[j][1]]
+            return [(rows[j][1], rows[i][1], rows[0][1]) for i, j in enumerate(to)]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, types[0]) for c in zip(*rows)], names=["u", "v", "region"])
 
         for b in batches:
             types[:] = [b.column(1).type]
@@ -242,14 +250,13 @@ def _neighbours(members: DataFrame, order: int, kind: str, block: int, percent:
                     out += compared(region_end([r[0] for r in held], max(1, min(block, len(held) // 2))))
                     size = sum(len(r[2]) for r in held)
             if out:
-                yield _edges(out, types[0])
+                yield batch(out)
         while held:
-            if out := compared(region_end([r[0] for r in held], block)):
-                yield _edges(out, types[0])
+            yield batch(compared(region_end([r[0] for r in held], block)))
 
     key = f"k{order}"
     rows = few(members.select(key, "node", "set").repartitionByRange(parts, key, "node"), n_members, MEMBERS)
-    return rows.sortWithinPartitions(key, "node").mapInArrow(run, f"u {kind}, v {kind}")
+    return rows.sortWithinPartitions(key, "node").mapInArrow(run, f"u {kind}, v {kind}, region {kind}")
 
 
 def _member_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, id_col: str, text_col: str, k: int, kind: str) -> DataFrame:
@@ -284,11 +291,12 @@ def least_matches(percent: int) -> int:
 
 
 def _alike(rows: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components whose sizes and signatures allow the similarity.
+    """(node, region): where a set of another component may be alike by size and signature.
 
-    rows: (bucket, block, guest, node, comp, size, sig), sorted by the first
-    three. A block's own rows are compared with each other and with its guests,
-    which pass in lots, so a task holds one block and one lot.
+    rows: (bucket, block, guest, far, node, comp, region, size, sig), sorted by
+    the first three. A block's own rows are compared with each other and with
+    its guests, which pass in lots, so a task holds one block and one lot. Of a
+    pair it is the one outside the main component that travels.
     """
     least = least_matches(percent)
 
@@ -296,100 +304,138 @@ def _alike(rows: DataFrame, kind: str, percent: int) -> DataFrame:
         types: list = []
         key, own, lot = None, [], []
         ready: list[tuple] = []  # pairs whose signatures wait for comparison
-        found: list[tuple] = []
+        found: set[tuple] = set()
 
         def compare() -> None:
             if ready:
-                a, b = (np.frombuffer(b"".join(r[x] for r in ready), dtype=np.uint16).reshape(-1, HASHES) for x in (2, 3))
-                on = np.flatnonzero((a == b).sum(axis=1) >= least).tolist()
-                found.extend(ready[i][:2] for i in on)
+                a, b = (np.frombuffer(b"".join(r[x][8] for r in ready), dtype=np.uint16).reshape(-1, HASHES) for x in (0, 1))
+                for i in np.flatnonzero((a == b).sum(axis=1) >= least).tolist():
+                    x, y = ready[i]
+                    x, y = (x, y) if x[3] else (y, x)
+                    found.add((x[4], y[6]))
                 ready.clear()
 
         def pair_up(left: list[tuple], right: list[tuple] | None) -> None:
             second = left if right is None else right
             if not left or not second:
                 return
-            comps = {c: i for i, c in enumerate({r[4] for r in left} | {r[4] for r in second})}
-            ca, cb = (np.array([comps[r[4]] for r in x]) for x in (left, second))
-            na, nb = (np.array([r[5] for r in x]) for x in (left, second))
+            comps = {c: i for i, c in enumerate({r[5] for r in left} | {r[5] for r in second})}
+            ca, cb = (np.array([comps[r[5]] for r in x]) for x in (left, second))
+            na, nb = (np.array([r[7] for r in x]) for x in (left, second))
             on = (ca[:, None] != cb[None]) & (100 * np.minimum(na[:, None], nb[None]) >= percent * np.maximum(na[:, None], nb[None]))
             if right is None:
                 on = np.triu(on, 1)
             for i, j in np.argwhere(on).tolist():
-                ready.append((left[i][3], second[j][3], left[i][6], second[j][6]))
+                ready.append((left[i], second[j]))
                 if len(ready) >= 1 << 14:
                     compare()
 
-        def done(last: bool) -> None:
+        def batch() -> pa.RecordBatch:
+            rows = sorted(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], types[0]) for x in (0, 1)], names=["node", "region"])
+
+        def end_block() -> None:
             pair_up(lot, own)
-            if last and len(own) > 1:
-                pair_up(own, None)
+            pair_up(own, None)
 
         for b in batches:
-            types[:] = [b.column(3).type]
+            types[:] = [b.column(4).type]
             for row in zip(*[c.to_pylist() for c in b.columns]):
                 if row[:2] != key:
-                    done(True)
+                    end_block()
                     key, own, lot = row[:2], [], []
-                if not row[2]:
-                    own.append(row)
-                else:
+                if row[2]:
                     lot.append(row)
                     if len(lot) >= LOT:
-                        done(False)
+                        pair_up(lot, own)
                         lot = []
-            if found:
-                yield _edges(found, types[0])
-                found.clear()
-        done(True)
+                else:
+                    own.append(row)
+            if len(found) > 1 << 12:
+                yield batch()
+        end_block()
         compare()
         if found:
-            yield _edges(found, types[0])
+            yield batch()
+
+    return rows.select("bucket", "block", "guest", "far", "node", "comp", "region", "size", "sig").mapInArrow(run, f"node {kind}, region {kind}")
 
-    return rows.select("bucket", "block", "guest", "node", "comp", "size", "sig").mapInArrow(run, f"u {kind}, v {kind}")
 
+def shared_members(one: np.ndarray, values: np.ndarray, starts: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many members a set shares with each of n sets, given as their distinct values with the owners of each."""
+    at = np.minimum(np.searchsorted(values, one), len(values) - 1)
+    at = at[values[at] == one]
+    m = starts[at + 1] - starts[at]
+    return np.bincount(owner[np.repeat(starts[at] - np.cumsum(m) + m, m) + np.arange(m.sum())], minlength=n)
 
-def _confirmed(pairs: DataFrame, n_pairs: int, members: DataFrame, kind: str, percent: int) -> DataFrame:
-    """The pairs whose full sets are linked."""
+
+def _visits(rows: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Edges between visiting sets and the sets of a region, one for each component there.
+
+    rows: (region, guest, node, comp, set), sorted by the first two: a region's own sets come first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, index = None, [], None
         for b in batches:
-            out = []
-            for u, v, x, y in zip(*[c.to_pylist() for c in b.columns]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * n >= percent * (len(x) + len(y) - n):
-                    out.append((u, v))
+            out: set[tuple] = set()
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                if row[0] != key:
+                    key, own, index = row[0], [], None
+                if not row[1]:
+                    if not own or row != own[-1]:
+                        own.append(row)
+                    continue
+                if not own:
+                    continue
+                if index is None:
+                    sets = [np.frombuffer(r[4], dtype=np.uint64) for r in own]
+                    size = np.array([len(x) for x in sets])
+                    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                    order = np.argsort(flat, kind="stable")
+                    flat, owner = flat[order], owner[order]
+                    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+                    index = flat[first], np.append(first, len(flat)), owner, len(sets)
+                x = np.frombuffer(row[4], dtype=np.uint64)
+                inter = shared_members(x, *index)
+                on = np.flatnonzero(100 * inter >= percent * (len(x) + size - inter))
+                # one link to each component will do
+                out.update((row[2], v) for v in {own[i][3]: own[i][2] for i in on.tolist() if own[i][3] != row[3]}.values())
             if out:
-                yield _edges(out, b.column(0).type)
+                yield _edges(sorted(out), b.column(2).type)
+
+    return rows.select("region", "guest", "node", "comp", "set").mapInArrow(run, f"u {kind}, v {kind}")
 
-    sets = members.select("node", "set")
-    if n_pairs <= BROADCAST_IDS // 2:  # the ids of counted pairs
-        ends = F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        sets = sets.join(ends, "node", "left_semi")
-    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
-    return few(both, n_pairs, MEMBERS).select("u", "v", "x", "y").mapInArrow(run, f"u {kind}, v {kind}")
 
+def _apart(forest: DataFrame, places: DataFrame, reps: DataFrame, members: DataFrame, kind: str, n: int, n_nodes: int, percent: int, lot: int) -> DataFrame | None:
+    """Links between sets of one region of the forest that are in different components so far.
 
-def _apart(regions: DataFrame, first: DataFrame, reps: DataFrame, members: DataFrame, kind: str, n: int, percent: int, lot: int) -> DataFrame | None:
-    """Links between sets of one region of the forest that are in different components so far."""
-    comp = settle(regions.join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")))
-    per = comp.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("rows"), F.count("*").alias("k")).where("k > 1").drop("k")
+    forest: (bucket, node); places: (node, comp, region) of every node.
+    """
+    comp = settle(forest.join(places, "node"))
+    mixed = comp.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("rows"), F.count("*").alias("k")).where("k > 1").drop("k")
     blocks = F.ceil(F.col("rows") / lot).cast("int")
     at = comp.join(mixed, "bucket").join(reps.select("node", F.col("__n").alias("size"), F.col("__sig").alias("sig")), "node")
-    at = settle(at.select("bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks"), (F.col("comp") != F.col("main")).alias("far"), "node", "comp", "size", "sig"))
+    at = settle(at.select("bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks"), (F.col("comp") != F.col("main")).alias("far"), "node", "comp", "region", "size", "sig"))
     total, most = at.agg(F.count("*"), F.max("blocks")).collect()[0]
     if not total:
         return None
-    rows = at.select("bucket", "block", F.lit(0).alias("guest"), "node", "comp", "size", "sig")
+    cols = ["far", "node", "comp", "region", "size", "sig"]
+    rows = at.select("bucket", "block", F.lit(0).alias("guest"), *cols)
     if most > 1:
         sent = at.where("far and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
-        rows = rows.union(sent.select("bucket", F.col("to").alias("block"), F.lit(1).alias("guest"), "node", "comp", "size", "sig"))
+        rows = rows.union(sent.select("bucket", F.col("to").alias("block"), F.lit(1).alias("guest"), *cols))
     rows = few(rows.repartition(n, "bucket", "block"), total, 10 * MEMBERS).sortWithinPartitions("bucket", "block", "guest")
-    pairs = settle(_alike(rows, kind, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    n_pairs = pairs.count()
-    return settle(_confirmed(pairs, n_pairs, members, kind, percent)) if n_pairs else None
+    visits = settle(_alike(rows, kind, percent).distinct())
+    n_visits = visits.count()
+    if not n_visits:
+        return None
+    sets = members.select("node", "set").join(places, "node")
+    guests = visits.join(sets.drop("region"), "node").select("region", F.lit(1).alias("guest"), "node", "comp", "set")
+    hosts = sets.join(visits.select("region").distinct(), "region", "left_semi").select("region", F.lit(0).alias("guest"), "node", "comp", "set")
+    both = few(hosts.union(guests).repartition(n, "region"), n_visits + n_nodes, MEMBERS).sortWithinPartitions("region", "guest", "node")
+    return settle(_visits(both, kind, percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK, lot: int = LOT) -> DataFrame:
@@ -409,17 +455,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = settle(real.groupBy("__a", "__b").agg(F.min("__id").alias("node"), F.first("__n").alias("__n"), F.first("__sig").alias("__sig")))
     labels = settle(_labels(reps, kind))
     shared = labels.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("bucket")
-    regions = settle(labels.join(shared, "bucket"))
-    nodes = settle(regions.select("node").distinct())
+    forest = settle(labels.join(shared, "bucket"))
+    nodes = settle(forest.select("node").distinct())
     n_nodes = nodes.count()
     linked = None
     if n_nodes:
         members = settle(_member_sets(docs, nodes, n_nodes, id_col, text_col, k, kind))
-        edges = _neighbours(members, 0, kind, block, percent, n, n_nodes)
-        for o in range(1, ORDERS):
-            edges = edges.union(_neighbours(members, o, kind, block, percent, n, n_nodes))
-        linked = settle(connected_components(edges))
-        more = _apart(regions, linked, reps, members, kind, n, percent, lot)
+        edges = [_neighbours(members, o, kind, block, percent, n, n_nodes) for o in range(ORDERS)]
+        edges[0] = settle(edges[0])
+        linked = settle(connected_components(reduce(DataFrame.union, edges)))
+        # equal ids with different sets stand in several regions of the order
+        places = edges[0].select(F.col("v").alias("node"), "region").distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "region")
+        more = _apart(forest, settle(places), reps, members, kind, n, n_nodes, percent, lot)
         if more is not None:
             linked = connected_components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     found = reps.join(linked, "node", "left").select("__a", "__b", F.coalesce("component", "node").alias("__c")) if linked is not None else reps.select("__a", "__b", F.col("node").alias("__c"))
