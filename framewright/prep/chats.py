@@ -18,6 +18,12 @@ from framewright.operators.records import map_records
 #: Speakers of share-style turns.
 ROLES = {"system": "system", "human": "user", "user": "user", "gpt": "assistant", "assistant": "assistant", "chatgpt": "assistant", "model": "assistant", "bot": "assistant"}
 
+#: Speakers of agents' share-style turns.
+AGENT_ROLES = {
+    "system": "system", "human": "user", "user": "user", "gpt": "assistant", "assistant": "assistant",
+    "function_call": "tool_call", "tool_call": "tool_call", "observation": "tool_response", "tool_response": "tool_response", "tool": "tool_response",
+}
+
 
 def role_of(c: Column) -> Column:
     """The chat role of a speaker; an unknown one is an error."""
@@ -141,8 +147,8 @@ def agent_messages(messages: list[dict], example: str | int | None = None, last_
     return out
 
 
-def messages_of(row: dict) -> list[dict]:
-    """Messages of a row, from messages or conversations (texts are JSON)."""
+def messages_of(row: dict, roles: dict[str, str] = ROLES) -> list[dict]:
+    """Messages of a row, from messages or conversations (texts are JSON); a turn's reasoning_content stays with it."""
     m = _loaded(row.get("messages"))
     if m is None:
         turns = _loaded(row.get("conversations"))
@@ -151,9 +157,10 @@ def messages_of(row: dict) -> list[dict]:
         m = []
         for t in _listed(turns, "conversations"):
             who = t.get("from", t.get("role"))
-            if who not in ROLES:
+            if who not in roles:
                 raise ValueError(f"unknown role: {who!r}")
-            m.append({"role": ROLES[who], "content": t.get("value", t.get("content", ""))})
+            thought = {k: t[k] for k in ("reasoning_content",) if t.get(k)}
+            m.append({"role": roles[who], "content": t.get("value", t.get("content", ""))} | thought)
     return _listed(m, "messages")
 
 
@@ -179,9 +186,13 @@ def normalised(df: DataFrame, id_col: str, messages: str = "messages", tools: st
     return map_records(df.select(*cols), one, f"id {dict(df.dtypes)[id_col]}, messages string, tools string, error string").withColumnRenamed("id", id_col)
 
 
-def agent_positions(df: DataFrame, id_col: str, messages: str = "messages", tools: str | None = None) -> DataFrame:
-    """(id, turn_index, prompt_messages, tools, gt_tool_calls): a row for each assistant message that calls tools."""
-    cols = [F.col(id_col).alias("id"), F.col(messages).alias("messages"), (F.col(tools) if tools else F.lit(None)).cast("string").alias("tools")]
+def agent_positions(df: DataFrame, id_col: str, messages: str | None = "messages", tools: str | None = None, conversations: str | None = None) -> DataFrame:
+    """(id, turn_index, prompt_messages, tools, gt_tool_calls): a row for each assistant message that calls tools.
+
+    Rows come with chat messages or, where those are null, with share-style turns (conversations).
+    """
+    named = {"messages": messages, "conversations": conversations, "tools": tools}
+    cols = [F.col(id_col).alias("id"), *[(F.col(c) if c else F.lit(None)).cast("string").alias(n) for n, c in named.items()]]
 
     def args(v):
         try:
@@ -191,7 +202,7 @@ def agent_positions(df: DataFrame, id_col: str, messages: str = "messages", tool
         return got
 
     def one(r: dict):
-        m = agent_messages(messages_of(r), r["id"])
+        m = agent_messages(messages_of(r, AGENT_ROLES), r["id"])
         t = tools_of(r["tools"])
         calls = [i for i, x in enumerate(m) if x.get("tool_calls")]
         for k, i in enumerate(calls):
