@@ -2,23 +2,28 @@
 
 On unit vectors a cosine of at least c is a distance of at most
 sqrt(2 - 2c). Equal vectors fall together first. The others are dealt into
-blocks by their nearest centre (farthest-first centres of a bounded sample);
-each block gets a cover tree of nested levels with halving radii. Pairs of
-trees are traversed together: a pair of nodes is pruned when the distance of
-its centres is more than both covering radii and the threshold allow, and
-accepted whole when it is less by both radii; only what remains is compared,
-in double precision. Pairs of blocks are pruned by the same bound first.
-
-Tasks give a count and one link to its component for each vector, never the
-pairs, so rows grow with the vectors and not with the square of a group. In
-data without near neighbours in low dimension no bound prunes, and the number
+blocks by their nearest centres (farthest-first centres of a bounded sample,
+more of them for more vectors; full cells are cut by the second nearest). Each
+block gets a cover tree, built once: nested levels whose radii halve, as many as
+its vectors ask for. Pairs of trees are traversed together: a pair of nodes is
+pruned when the distance of its centres is more than both covering radii and
+the threshold allow, and accepted whole when it is less by both radii; only
+what remains is compared, in double precision. Pairs of blocks are pruned by the
+same bound first, in tasks of their own.
+
+Links are merged into components while they are found, so a task holds two
+trees and never the links. Tasks give a count and one link to its component for
+each vector, so rows grow with the vectors and not with the square of a group.
+In data without near neighbours in low dimension no bound prunes, and the number
 of compared pairs grows with the square of the vectors: that is the price of
 an exact answer by this method.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +31,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.components import connected_components
-from framewright.llm.neardup import roots
 from framewright.session import settle, shuffle_partitions
 
 #: Vectors that a block aims at, and the number of blocks in small data.
 BLOCK_ROWS, LEAST_BLOCKS = 4096, 12
-#: Rows that the centres are chosen from, by hash order.
-SAMPLE = 2048
-LEVELS = (0.6, 0.3, 0.15)
+#: Centres at most, and rows that they are chosen from by hash order: for each centre so many, but these at least.
+MAX_CENTRES, SAMPLE_EACH, SAMPLE = 2048, 8, 2048
+#: The coarsest radius of a tree; radii halve from there until a level has no more than a few rows a node.
+TOP_RADIUS, ROWS_A_NODE, MOST_LEVELS = 0.6, 2, 6
+#: Blocks whose middles are broadcast at once to plan the pairs.
+PLAN_BLOCKS = 50_000
 _SLACK = 1e-9
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is divided out first, so that no square over- or underflows."""
     x = rows.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -87,33 +96,51 @@ class Tree:
 
     def __init__(self, x: np.ndarray) -> None:
         order = np.arange(len(x))
-        labels = []
-        points = np.arange(len(x))
-        up: list[np.ndarray] = []
-        of_row = np.arange(len(x))
-        for radius in reversed(LEVELS):  # from the leaves up: centres of a level are among those below
+        points, of_row = np.arange(len(x)), np.arange(len(x))
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        for radius in reversed(self.radii(x)):  # from the leaves up: centres of a level are among those below
             c, of = net(x[points], radius)
-            points = points[c]
-            of_row = of[of_row]
-            up.append(points)
-            labels.append(of_row)
-        order = np.lexsort(labels)  # the coarsest level first
+            points, of_row = points[c], of[of_row]
+            steps.append((points, of_row))
+        order = np.lexsort([of for _, of in steps])  # the coarsest level first
         self.order, self.x = order, x[order]
         self.levels = []
         below = np.arange(len(x) + 1)
-        for points, label in zip(up, labels):
+        for points, label in steps:
             run = label[order]
             start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
             rows = np.append(start, len(x))
             c = x[points][run[start]]
             gap = np.sqrt(np.maximum(((self.x - np.repeat(c, np.diff(rows), axis=0)) ** 2).sum(axis=1), 0))
-            radius = np.maximum.reduceat(gap, start)
-            self.levels.append((c, radius, np.searchsorted(below, rows), rows))
+            self.levels.append((c, np.maximum.reduceat(gap, start), np.searchsorted(below, rows), rows))
             below = rows
         self.levels.reverse()
 
-    def pack(self) -> bytes:
-        return self.x.tobytes()
+    def down_to(self, depth: int) -> list:
+        """The levels, and below them as many of single rows as are wanted."""
+        n = len(self.x)
+        return self.levels + [(self.x, np.zeros(n), np.arange(n + 1), np.arange(n + 1))] * (depth - len(self.levels))
+
+    @staticmethod
+    def radii(x: np.ndarray) -> list[float]:
+        """Halving radii, three at least, and on while the rows of a sample still share nodes with many others."""
+        some = x[:: max(1, len(x) // 256)]
+        gaps = distances(some, some)
+        out = [TOP_RADIUS / 2**k for k in range(3)]
+        while len(out) < MOST_LEVELS and np.median((gaps <= out[-1]).sum(axis=1)) * (len(x) / len(some)) > ROWS_A_NODE * 16:
+            out.append(out[-1] / 2)
+        return out
+
+
+def merge(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of the pairs (a, b); up[i] leads to the first row of i's component, in place."""
+    while len(a):
+        ra, rb = up[a], up[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(up, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(further := up[up], up):
+            up[:] = further
 
 
 def _children(pairs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,22 +153,30 @@ def _children(pairs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def dual(p: Tree, q: Tree, cosine: float, same: bool, weight_p: np.ndarray, weight_q: np.ndarray, lot: int = 1 << 19):
-    """Linked weights of both trees' rows, and sparse links (row of p, row of q) that join the same components.
+    """Linked weights of both trees' rows, and for each row of p, then of q, the first row of its component.
 
-    Rows and weights are in tree order. With same, p is q and rows don't link with themselves.
+    Rows and weights are in tree order. With same, p is q: its rows don't link
+    with themselves and stand once.
     """
     eps = float(np.sqrt(max(2.0 - 2.0 * cosine, 0.0)))
     count_p, count_q = np.zeros(len(p.x), dtype=np.int64), np.zeros(len(q.x), dtype=np.int64)
-    links: list[np.ndarray] = []
+    shift = 0 if same else len(p.x)
+    up = np.arange(len(p.x) + (0 if same else len(q.x)))
     sums_p, sums_q = np.append(0, np.cumsum(weight_p)), np.append(0, np.cumsum(weight_q))
+    depth = max(len(p.levels), len(q.levels))
+    levels_p, levels_q = p.down_to(depth), q.down_to(depth)
 
-    def sparse(a0: int, a1: int, b0: int, b1: int) -> None:
+    def whole_runs(runs: list[tuple[int, int, int, int]]) -> None:
         """All of two runs are linked: a star joins them."""
-        count_p[a0:a1] += sums_q[b1] - sums_q[b0]
-        links.append(np.stack([np.arange(a0, a1), np.full(a1 - a0, b0)], axis=1))
-        if not same:
-            count_q[b0:b1] += sums_p[a1] - sums_p[a0]
-            links.append(np.stack([np.full(b1 - b0, a0), np.arange(b0, b1)], axis=1))
+        ends: list[np.ndarray] = []
+        for a0, a1, b0, b1 in runs:
+            count_p[a0:a1] += sums_q[b1] - sums_q[b0]
+            ends.append(np.stack([np.arange(a0, a1), np.full(a1 - a0, b0 + shift)]))
+            if not same:
+                count_q[b0:b1] += sums_p[a1] - sums_p[a0]
+                ends.append(np.stack([np.full(b1 - b0, a0), np.arange(b0, b1) + shift]))
+        if ends:
+            merge(up, *np.concatenate(ends, axis=1))
 
     def leaf(pairs: np.ndarray) -> None:
         for i in range(0, len(pairs), lot // 8):
@@ -151,11 +186,11 @@ def dual(p: Tree, q: Tree, cosine: float, same: bool, weight_p: np.ndarray, weig
             np.add.at(count_p, a, weight_q[b])
             if not same:
                 np.add.at(count_q, b, weight_p[a])
-            links.append(np.stack([a, b], axis=1))
+            merge(up, a, b + shift)
 
     def descend(level: int, pairs: np.ndarray) -> None:
-        ca, ra, _, rows_a = p.levels[level]
-        cb, rb, _, rows_b = q.levels[level]
+        ca, ra, _, rows_a = levels_p[level]
+        cb, rb, _, rows_b = levels_q[level]
         for i in range(0, len(pairs), lot):
             part = pairs[i : i + lot]
             keep, whole = [], []
@@ -168,39 +203,36 @@ def dual(p: Tree, q: Tree, cosine: float, same: bool, weight_p: np.ndarray, weig
                 inside = near & (d + r <= eps - 1e-7)
                 keep.append(part[j : j + lot // 8][near & ~inside])
                 whole.append(part[j : j + lot // 8][inside])
-            for a, b in np.concatenate(whole).tolist():
-                sparse(rows_a[a], rows_a[a + 1], rows_b[b], rows_b[b + 1])
+            whole_runs([(rows_a[a], rows_a[a + 1], rows_b[b], rows_b[b + 1]) for a, b in np.concatenate(whole).tolist()])
             rest = np.concatenate(keep)
             if len(rest):
                 expand(level, rest)
 
     def expand(level: int, rest: np.ndarray) -> None:
-        ka, kb = p.levels[level][2], q.levels[level][2]
+        ka, kb = levels_p[level][2], levels_q[level][2]
         n = (ka[rest[:, 0] + 1] - ka[rest[:, 0]]) * (kb[rest[:, 1] + 1] - kb[rest[:, 1]])
         start, total = 0, np.cumsum(n)
         while start < len(rest):
             base = total[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(total, base + lot, "right")))
             some = _children(rest[start:end], ka, kb)
-            if level + 1 < len(p.levels):
+            if level + 1 < depth:
                 descend(level + 1, some)
             else:
                 leaf(some)
             start = end
 
     # the top levels meet in one matrix product, in strips
-    ca, ra = p.levels[0][:2]
-    cb, rb = q.levels[0][:2]
+    ca, ra = levels_p[0][:2]
+    cb, rb = levels_q[0][:2]
     for i in range(0, len(ca), 512):
         near = np.argwhere(distances(ca[i : i + 512], cb) <= eps + ra[i : i + 512, None] + rb[None] + _SLACK)
         if len(near):
             near[:, 0] += i
             descend(0, near)
-    both = np.concatenate(links) if links else np.zeros((0, 2), dtype=np.int64)
     if same:
         count_p -= weight_p  # every vector is linked with itself
-        both = both[both[:, 0] != both[:, 1]]
-    return count_p, count_q, both
+    return count_p, count_q, up
 
 
 def _valid(vec):
@@ -210,23 +242,21 @@ def _valid(vec):
 
 
 def _assign(reps: DataFrame, shared, kind: str) -> DataFrame:
-    """(node, w, cell, vec): the nearest centre of every vector."""
+    """(node, w, cell, second, vec): the two nearest centres of every vector, which comes as a unit vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column(2)
-            x = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1)
-            cell = np.concatenate([distances(unit(x[i : i + 2048]), c).argmin(axis=1) for i in range(0, len(x), 2048)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "w", "cell", "vec"])
-
-    return reps.select("node", "w", "vec").mapInArrow(run, f"node {kind}, w long, cell int, vec binary")
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                x = unit(np.asarray(part.column(2).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(part.num_rows, -1))
+                d = distances(x, c)
+                cell = d.argmin(axis=1)
+                d[np.arange(len(x)), cell] = np.inf
+                second = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.astype(np.int32)), pa.array(second.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "w", "cell", "second", "vec"])
 
-
-def _read(b: pa.RecordBatch, names: tuple[str, ...]) -> list:
-    return [b.column(n) for n in names]
+    return reps.select("node", "w", "vec").mapInArrow(run, f"node {kind}, w long, cell int, second int, vec binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
@@ -236,93 +266,78 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     vectors and those with null or non-finite components are linked with
     nothing; vectors of different lengths aren't compared. Rows with one id count
     as rows; a null id is linked with nothing and kept. An empty table gives no
-    rows.
+    rows. Finite magnitudes of any size are compared.
     """
     spark = df.sparkSession
     kind, n_parts = dict(df.dtypes)[id_col], shuffle_partitions(spark)
     own = df.select(df[id_col].alias("__id"), df[vec_col].cast("array<double>").alias("vec"))
-    own = own.withColumn("__ok", _valid(F.col("vec")) & F.col("__id").isNotNull())
-    good = own.where("__ok")
-    reps = settle(good.groupBy("vec").agg(F.min("__id").alias("node"), F.count("*").alias("w"), F.min("__id").alias("first")))
-    outs = []
-    for (size,) in reps.select(F.size("vec")).distinct().collect():  # one, as a rule
-        outs.append(_links(reps.where(F.size("vec") == size), cosine, kind, n_parts, block_rows, least_blocks))
-    if outs:
-        found = outs[0]
-        for o in outs[1:]:
-            found = found.union(o)
-        found = settle(found)
-        linked = connected_components(found.select("node", "root"), "node", "root")
+    ok = F.coalesce(_valid(F.col("vec")), F.lit(False)) & F.col("__id").isNotNull()
+    # vectors travel once; equal ones are known by 128 bits from here on
+    good = own.where(ok).withColumn("__a", F.xxhash64("vec")).withColumn("__b", F.xxhash64(F.lit(1), "vec"))
+    reps = settle(good.groupBy("__a", "__b").agg(F.min("__id").alias("node"), F.count("*").alias("w"), F.first("vec").alias("vec")))
+    sizes = [r[0] for r in reps.select(F.size("vec")).distinct().collect()]  # one, as a rule
+    alone = F.col("__id").alias("__comp")
+    rest = own.where(~ok).select("__id", F.lit(0).cast("long").alias("__n"), alone)
+    if sizes:
+        found = settle(reduce(DataFrame.union, [_links(reps.where(F.size("vec") == d), d, cosine, kind, n_parts, block_rows, least_blocks) for d in sizes]))
+        linked = connected_components(found, "node", "root")
         counts = found.groupBy("node").agg(F.sum("c").alias("c"))
-        at = reps.join(counts, "node", "left").join(linked, "node", "left").select("vec", F.col("w").alias("__w"), F.coalesce("c", F.lit(0)).alias("__c"), F.coalesce("component", "node").alias("__comp"))
-        out = own.join(at.withColumn("__ok", F.lit(True)), ["vec", "__ok"], "left")
-    else:
-        out = own.select("*", F.lit(None).cast("long").alias("__w"), F.lit(None).cast("long").alias("__c"), F.lit(None).cast(kind).alias("__comp"))
-    comp = F.coalesce("__comp", "__id")
-    links = F.coalesce(F.col("__w") - 1 + F.col("__c"), F.lit(0)).cast("long")
-    return out.select(F.col("__id").alias(id_col), links.alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("__id") == comp, F.lit(True)).alias("kept"))
+        at = reps.select("__a", "__b", "node", "w").join(counts, "node", "left").join(linked, "node", "left").select("__a", "__b", (F.col("w") - 1 + F.coalesce("c", F.lit(0))).alias("__n"), F.coalesce("component", "node").alias("__comp"))
+        rest = good.select("__id", "__a", "__b").join(at, ["__a", "__b"]).select("__id", "__n", "__comp").union(rest)
+    return rest.select(F.col("__id").alias(id_col), F.col("__n").cast("long").alias("n_links"), F.col("__comp").alias("component_id"), F.coalesce(F.col("__id") == F.col("__comp"), F.lit(True)).alias("kept"))
 
 
-def _links(reps: DataFrame, cosine: float, kind: str, n_parts: int, block_rows: int, least_blocks: int) -> DataFrame:
+def _links(reps: DataFrame, dims: int, cosine: float, kind: str, n_parts: int, block_rows: int, least_blocks: int) -> DataFrame:
     """(node, c, root): linked weight beside the vector's own copies, and a linked node."""
     spark = reps.sparkSession
-    sample = [r.vec for r in reps.orderBy(F.xxhash64("vec")).limit(SAMPLE).select("vec").collect()]
     total = reps.count()
     want = max(least_blocks, -(-total // block_rows))
-    c = centres(unit(np.array(sample)), min(64, want))
-    dims = len(sample[0])
+    n_centres = min(MAX_CENTRES, want)
+    sample = [r.vec for r in reps.orderBy("__a", "__b").limit(max(SAMPLE, SAMPLE_EACH * n_centres)).select("vec").collect()]
+    c = centres(unit(np.array(sample)), n_centres)
     cells = settle(_assign(reps, spark.sparkContext.broadcast(c), kind))
-    sizes = {r.cell: r.n for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    # cells are cut so that blocks are of like size however full a cell is
+    # cells are cut by the second nearest centre, so that blocks are of like size however full a cell is; a row for each pair of centres
     each = max(1, total // want)
-    cuts, base = {}, 0
-    for cell in sorted(sizes):
-        cuts[cell] = (base, max(1, round(sizes[cell] / each)))
-        base += cuts[cell][1]
-    table = F.create_map(*[F.lit(x) for cell, v in cuts.items() for x in (cell, F.struct(F.lit(v[0]).alias("b"), F.lit(v[1]).alias("k")))])
-    cut = F.element_at(table, F.col("cell"))
-    dealt = cells.withColumn("block", (cut["b"] + F.pmod(F.xxhash64("node"), cut["k"])).cast("int"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))  # MAX_CENTRES rows at most
+    parts = F.greatest(F.lit(1), F.bround(F.col("n") / each)).cast("int")
+    dealt = cells.join(F.broadcast(sizes.select("cell", parts.alias("parts"))), "cell").withColumn("part", F.pmod(F.col("second"), F.col("parts")))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each run of a block: its vectors in tree order with their centre and radius."""
+        """A row for each run of a block: its tree with the nodes in tree order, its middle and radius."""
         key, nodes, ws, vecs = None, [], [], []
 
         def done():
-            x = unit(np.frombuffer(b"".join(vecs), dtype=np.float64).reshape(len(vecs), dims))
+            x = np.frombuffer(b"".join(vecs), dtype=np.float64).reshape(len(vecs), dims)
+            t = Tree(x)
             mean = x.mean(axis=0)
             length = np.sqrt((mean * mean).sum())
             mid = mean / length if length > 0 else x[0]
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([nodes], pa.list_(types[0])), pa.array([ws], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([mid.tobytes()], pa.binary()), pa.array([float(distances(x, mid[None]).max())])], names=["block", "nodes", "ws", "xs", "mid", "radius"])
+            order = t.order.tolist()
+            return pa.RecordBatch.from_arrays([pa.array([[nodes[i] for i in order]], pa.list_(types[0])), pa.array([[ws[i] for i in order]], pa.list_(pa.int64())), pa.array([pickle.dumps((t.x, t.levels), 5)], pa.binary()), pa.array([mid.tobytes()], pa.binary()), pa.array([float(distances(x, mid[None]).max())])], names=["nodes", "ws", "tree", "mid", "radius"])
 
         types: list = []
         for b in batches:
-            types[:] = [b.column(1).type]
-            for k, node, w, v in zip(*[col.to_pylist() for col in b.columns]):
-                if k != key or len(vecs) >= 2 * block_rows:
+            types[:] = [b.column(2).type]
+            for cell, part, node, w, v in zip(*[col.to_pylist() for col in b.columns]):
+                if (cell, part) != key or len(vecs) >= 2 * block_rows:
                     if vecs:
                         yield done()
-                    key, nodes, ws, vecs = k, [], [], []
+                    key, nodes, ws, vecs = (cell, part), [], [], []
                 nodes.append(node)
                 ws.append(w)
                 vecs.append(v)
         if vecs:
             yield done()
 
-    sorted_rows = dealt.select("block", "node", "w", "vec").repartition(n_parts, "block").sortWithinPartitions("block", "node")
-    planted = settle(sorted_rows.mapInArrow(plant, f"block int, nodes array<{kind}>, ws array<long>, xs binary, mid binary, radius double").withColumn("run", F.monotonically_increasing_id()))
-    tops = planted.select("run", "mid", "radius").collect()  # a row for each block_rows vectors
-    runs = [r.run for r in tops]
-    mids = np.array([np.frombuffer(r.mid) for r in tops]).reshape(len(tops), dims)
-    radii = np.array([r.radius for r in tops])
-    eps = float(np.sqrt(max(2.0 - 2.0 * cosine, 0.0)))
-    order = np.argsort(runs)
-    pairs = []
-    for n, i in enumerate(order):
-        near = distances(mids[i : i + 1], mids[order[n:]])[0] <= eps + radii[i] + radii[order[n:]] + _SLACK
-        pairs += [(runs[i], runs[j]) for j in order[n:][near]]
-    plan = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(pairs)], "a long, b long, pair long")
+    # a range partitioning splits a full block between tasks
+    by = ["cell", "part", "second", "node"]
+    sorted_rows = dealt.select(*by, "w", "vec").repartitionByRange(max(1, min(n_parts, want)), *by).sortWithinPartitions(*by)
+    planted = sorted_rows.select("cell", "part", "node", "w", "vec").mapInArrow(plant, f"nodes array<{kind}>, ws array<long>, tree binary, mid binary, radius double")
+    planted = settle(planted.withColumn("run", F.monotonically_increasing_id()))
+    plan = settle(_plan(planted.select("run", "mid", "radius"), dims, cosine))
     sides = plan.select("pair", F.explode(F.array_distinct(F.array("a", "b"))).alias("run"))
-    sent = planted.drop("mid", "radius", "block").join(sides, "run").repartition(n_parts, "pair").sortWithinPartitions("pair", "run")
+    n_pairs = plan.count()
+    sent = planted.drop("mid", "radius").join(sides, "run").repartition(max(n_parts, min(n_pairs, 4 * n_parts)), "pair").sortWithinPartitions("pair", "run")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -330,34 +345,59 @@ def _links(reps: DataFrame, cosine: float, kind: str, n_parts: int, block_rows:
 
         def done():
             sides = []
-            for _, nodes, ws, xs in held:
-                x = np.frombuffer(xs, dtype=np.float64).reshape(len(nodes), dims)
-                t = Tree(x)
-                sides.append((t, [nodes[i] for i in t.order], np.array(ws, dtype=np.int64)[t.order]))
+            for _, nodes, ws, tree in held:
+                t = Tree.__new__(Tree)
+                t.x, t.levels = pickle.loads(tree)
+                sides.append((t, nodes, np.array(ws, dtype=np.int64)))
             same = len(sides) == 1
             (p, np_, wp), (q, nq, wq) = sides[0], sides[-1]
-            cp, cq, both = dual(p, q, cosine, same, wp, wq)
-            shift = 0 if same else len(np_)
+            cp, cq, root = dual(p, q, cosine, same, wp, wq)
             nodes = np_ + ([] if same else nq)
             counts = cp if same else np.concatenate([cp, cq])
-            both = np.unique(both + np.array([0, shift]), axis=0)
-            root = roots(len(nodes), both)
             low: dict = {}
-            for i, r in enumerate(root):
+            for i, r in enumerate(root.tolist()):
                 low[r] = min(low.get(r, nodes[i]), nodes[i])
             on = np.flatnonzero(counts > 0).tolist()
-            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in on], types[0]), pa.array(counts[on], pa.int64()), pa.array([low[root[i]] for i in on], types[0])], names=["node", "c", "root"])
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in on], types[0]), pa.array(counts[on], pa.int64()), pa.array([low[int(root[i])] for i in on], types[0])], names=["node", "c", "root"])
 
         pair = None
         for b in batches:
             types[:] = [b.column(1).type.value_type]
-            for k, nodes, ws, xs in zip(*[col.to_pylist() for col in b.columns]):
+            for i in range(b.num_rows):
+                k, nodes, ws, tree = (col[i].as_py() for col in b.columns)  # a row is a tree
                 if k != pair:
                     if held:
                         yield done()
                     pair, held = k, []
-                held.append((k, nodes, ws, xs))
+                held.append((k, nodes, ws, tree))
         if held:
             yield done()
 
-    return sent.select("pair", "nodes", "ws", "xs").mapInArrow(traverse, f"node {kind}, c long, root {kind}")
+    return sent.select("pair", "nodes", "ws", "tree").mapInArrow(traverse, f"node {kind}, c long, root {kind}")
+
+
+def _plan(runs: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """(pair, a, b): the pairs of blocks, each with itself too, that the covering bound can't exclude.
+
+    Every task holds its own blocks' middles against a broadcast part of all.
+    """
+    spark = runs.sparkSession
+    eps = float(np.sqrt(max(2.0 - 2.0 * cosine, 0.0)))
+    ids = [r.run for r in runs.select("run").orderBy("run").collect()]  # a number for each block_rows vectors
+
+    def against(lo: int) -> DataFrame:
+        part = ids[lo : lo + PLAN_BLOCKS]
+        rows = sorted(runs.where(F.col("run").between(part[0], part[-1])).collect())
+        shared = spark.sparkContext.broadcast((np.array(part, dtype=np.int64), np.array([np.frombuffer(r.mid) for r in rows]).reshape(len(rows), dims), np.array([r.radius for r in rows])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            other, mids, radii = shared.value
+            for b in batches:
+                for k, mid, radius in zip(*[c.to_pylist() for c in b.columns]):
+                    near = distances(np.frombuffer(mid)[None], mids)[0] <= eps + radius + radii + _SLACK
+                    to = other[near & (other >= k) | (other == k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), k, dtype=np.int64)), pa.array(to)], names=["a", "b"])
+
+        return runs.mapInArrow(run, "a long, b long")
+
+    return reduce(DataFrame.union, [against(i) for i in range(0, len(ids), PLAN_BLOCKS)]).withColumn("pair", F.monotonically_increasing_id())

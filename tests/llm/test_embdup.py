@@ -58,9 +58,48 @@ def test_traversal_finds_exactly_the_pairs(cosine):
     x = np.unique(x, axis=0)
     t = embdup.Tree(x)
     w = np.ones(len(x), dtype=np.int64)
-    count, _, _ = embdup.dual(t, t, cosine, True, w, w, lot=64)
-    assert (count == (t.x @ t.x.T >= cosine).sum(axis=1) - 1).all()
-    a, b = embdup.Tree(x[::2]), embdup.Tree(x[1::2])
-    ca, cb, _ = embdup.dual(a, b, cosine, False, w[::2], w[1::2])
+    count, _, root = embdup.dual(t, t, cosine, True, w, w, lot=64)
+    on = t.x @ t.x.T >= cosine
+    assert (count == on.sum(axis=1) - 1).all() and root.tolist() == first_rows(on)
+    a, b = embdup.Tree(x[::2]), Shallow(x[1::2])
+    ca, cb, root = embdup.dual(a, b, cosine, False, w[::2], w[1::2])
     on = a.x @ b.x.T >= cosine
     assert (ca == on.sum(axis=1)).all() and (cb == on.sum(axis=0)).all()
+    n, m = on.shape
+    assert root.tolist() == first_rows(np.block([[np.eye(n, dtype=bool), on], [on.T, np.eye(m, dtype=bool)]]))
+
+
+class Shallow(embdup.Tree):
+    """A tree of another depth."""
+
+    radii = staticmethod(lambda x: [0.6, 0.3])
+
+
+def first_rows(on):
+    """The first row of every row's component."""
+    at = list(range(len(on)))
+    for _ in on:
+        new = [min(at[j] for j in np.flatnonzero(on[i])) if on[i].any() else at[i] for i in range(len(on))]
+        if new == at:
+            break
+        at = new
+    return at
+
+
+def test_levels_go_on_where_rows_are_dense():
+    r = np.random.default_rng(3)
+    assert len(embdup.Tree.radii(embdup.unit(r.normal(size=(500, 32))))) == 3
+    assert len(embdup.Tree.radii(embdup.unit(1 + r.normal(size=(2000, 8)) * 0.01))) > 3
+
+
+def test_magnitudes_do_not_matter(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1e308, -1e308]), (6, [0.0, -0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
+def test_many_blocks_and_centres(spark):
+    v = vectors(9)
+    got = embdup.near_duplicates(spark.createDataFrame(v + [(9000, v[0][1])] * 3, "vec_id long, embedding array<float>"), block_rows=20, least_blocks=5).collect()
+    want = brute(v + [(9000 + k, v[0][1]) for k in range(3)])
+    assert {r.vec_id: r.n_links for r in got} == {i: n for i, (n, _) in want.items() if i < 9001}
