@@ -6,13 +6,15 @@ filter together with each of 1..q; probing 1, 2, .. until the first miss gives
 q back, never less and rarely more. Probabilities are interpolated from the
 counts that the probes stand for.
 
-Counts travel as packed arrays: every task sums up its n-grams, deals them by
-hash into slices, and each slice becomes a filter of its own size beside the
-exact word counts (for the base score). Slices are broadcast in segments of at
-most SEGMENT_BYTES. One segment needs one pass over the texts; more segments
-take a pass each, with the quantised counts found so far kept as two bytes a
-token. So a worker's memory is bounded and the bits an n-gram gets don't
-depend on the size of the corpus.
+Counts travel as packed arrays: every task sums up its n-grams and deals them by
+hash into slices, whose number follows the bytes of the training text, so a
+slice and what a task gathers for it are of bounded size. Each slice becomes a
+filter of its own size beside the exact word counts (for the base score). Slices
+are broadcast in segments of at most SEGMENT_BYTES. One pass over the texts
+probes all of them, one segment after the other for each chunk of text, so a
+worker holds one segment and two bytes a token of the chunk, and the bits an
+n-gram gets don't depend on the size of the corpus. All segments lie on every
+executor's disk: that is the bound of a filter that is broadcast.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import fold_of, map_text
 from framewright.llm.features import segment_sum
-from framewright.llm.textbytes import NON_SPACE, Powers, buffer_of, counts_by_doc, mix, words
+from framewright.llm.textbytes import NON_SPACE, Powers, buffer_of, counts_by_doc, mix, pieces, words
 from framewright.session import settle, shuffle_partitions
 
-#: Bytes of filters and counts that one broadcast holds.
-SEGMENT_BYTES = 160 << 20
+#: Bytes of filters and counts that one broadcast holds, and of training text that a slice stands for.
+SEGMENT_BYTES, SLICE_BYTES = 64 << 20, 8 << 20
+#: Bytes of text that are probed in one go: with one segment, and with several that are loaded for each chunk.
+CHUNK, LARGE_CHUNK = 4 << 20, 24 << 20
 BITS_PER_ENTRY, PROBES, BASE = 10, 5, 1.5
-#: Entries that a task sums up before it sends them.
-PENDING = 2_500_000
+#: Entries that a task sums up before it sends or keeps them, and tokens, so that their counts fit into 32 bits.
+PENDING, PENDING_TOKENS = 1_500_000, 1 << 31
 #: Weight of the word's own probability against a history's count.
 BACKOFF = 4.0
 END = mix(np.array([0x5EED], dtype=np.uint64))[0]
@@ -72,6 +76,7 @@ def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their summed counts."""
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
@@ -109,7 +114,7 @@ class Segment:
         self.size = (size * 8).astype(np.uint64)
         self.start = ((np.cumsum(size) - size) * 8).astype(np.uint64)
         self.keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-        self.counts = np.concatenate(counts) if counts else np.zeros(0, dtype=np.uint32)
+        self.counts = np.concatenate(counts) if counts else np.zeros(0, dtype=np.uint64)
 
     def mine(self, keys: np.ndarray) -> np.ndarray:
         """Which keys this segment knows about; None if all."""
@@ -152,45 +157,53 @@ def count_slices(train: DataFrame, text_col: str, slices: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(np.full(len(on), kind), pa.int32()), pa.array([part(keys, s) for s in on], pa.binary()), pa.array([part(small, s) for s in on], pa.binary())], names=["slice", "kind", "keys", "counts"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from framewright.llm.textbytes import pieces
-
         powers = Powers()
         held: dict[int, list] = {1: [], 2: []}
-        size = 0
+        size = total = 0
         for b in batches:
             for i, n in pieces(b.column(0)):
                 tokens, _ = _stream(b.column(0).slice(i, n), powers)
+                total += len(tokens)
                 for kind, keys in ((1, tokens), (2, _pairs(tokens))):
                     held[kind].append(np.unique(keys, return_counts=True))
                     size += len(held[kind][-1][0])
-                if size >= PENDING:
+                if size >= PENDING or total >= PENDING_TOKENS:
                     for kind, v in held.items():
                         yield emit(kind, *_summed(np.concatenate([k for k, _ in v]), np.concatenate([c for _, c in v])))
-                    held, size = {1: [], 2: []}, 0
+                    held, size, total = {1: [], 2: []}, 0, 0
         for kind, v in held.items():
             if v:
                 yield emit(kind, *_summed(np.concatenate([k for k, _ in v]), np.concatenate([c for _, c in v])))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[int, list] = {1: [], 2: []}
+        size = 0
         at: int | None = None
 
-        def done() -> pa.RecordBatch:
-            both = {}
+        def compact() -> None:
             for kind, v in state.items():
-                both[kind] = _summed(np.concatenate([np.frombuffer(k, dtype=np.uint64) for k, _ in v]) if v else np.zeros(0, dtype=np.uint64), np.concatenate([np.frombuffer(c, dtype=np.uint32) for _, c in v]).astype(np.int64) if v else np.zeros(0, dtype=np.int64))
-            (k1, c1), (k2, c2) = both[1], both[2]
+                if len(v) > 1:
+                    state[kind] = [_summed(np.concatenate([k for k, _ in v]), np.concatenate([c for _, c in v]))]
+
+        def done() -> pa.RecordBatch:
+            compact()
+            none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+            (k1, c1), (k2, c2) = (state[kind][0] if state[kind] else none for kind in (1, 2))
             # words and pairs share the filter: their keys are hashes of different things
             bits = Filter.build(np.concatenate([k1, k2]), np.minimum(quantise(np.concatenate([c1, c2])), _Q_MAX - 1))
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(c1.sum())], pa.int64()), pa.array([len(k1)], pa.int64()), pa.array([k1.tobytes()], pa.binary()), pa.array([np.minimum(c1, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary()), pa.array([bits.tobytes()], pa.binary())], names=["slice", "n", "v", "keys", "counts", "filter"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(c1.sum())], pa.int64()), pa.array([len(k1)], pa.int64()), pa.array([k1.tobytes()], pa.binary()), pa.array([c1.astype(np.uint64).tobytes()], pa.binary()), pa.array([bits.tobytes()], pa.binary())], names=["slice", "n", "v", "keys", "counts", "filter"])
 
         for b in batches:
             for s, kind, k, c in zip(*[col.to_pylist() for col in b.columns]):
                 if s != at:
                     if at is not None:
                         yield done()
-                    at, state = s, {1: [], 2: []}
-                state[kind].append((k, c))
+                    at, state, size = s, {1: [], 2: []}, 0
+                state[kind].append((np.frombuffer(k, dtype=np.uint64), np.frombuffer(c, dtype=np.uint32).astype(np.int64)))
+                size += len(k) // 8
+                if size >= PENDING:
+                    compact()
+                    size = 0
         if at is not None:
             yield done()
 
@@ -211,12 +224,12 @@ def _segments(table: DataFrame, slices: int, limit: int):
     cuts.append((lo, slices))
 
     def load(lo: int, hi: int) -> Segment:
-        rows = {r.slice: (np.frombuffer(r.filter, dtype=np.uint8), np.frombuffer(r.keys, dtype=np.uint64), np.frombuffer(r["counts"], dtype=np.uint32)) for r in table.where((F.col("slice") >= lo) & (F.col("slice") < hi)).select("slice", "keys", "counts", "filter").toLocalIterator()}
-        none = (np.zeros(8, dtype=np.uint8), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32))
+        rows = {r.slice: (np.frombuffer(r.filter, dtype=np.uint8), np.frombuffer(r.keys, dtype=np.uint64), np.frombuffer(r["counts"], dtype=np.uint64)) for r in table.where((F.col("slice") >= lo) & (F.col("slice") < hi)).select("slice", "keys", "counts", "filter").toLocalIterator()}
+        none = (np.zeros(8, dtype=np.uint8), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64))
         got = [rows.get(s, none) for s in range(lo, hi)]
         return Segment(lo, slices, *map(list, zip(*got)))
 
-    return len(cuts), (load(*c) for c in cuts)
+    return (load(*c) for c in cuts)
 
 
 def interpolated(q_word: np.ndarray, q_pair: np.ndarray, q_history: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -237,59 +250,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     often as they stand; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    slices = slices or max(64, 2 * shuffle_partitions(spark))
     out = fold_of(docs[id_col], held[0]) == held[1]
-    table = settle(count_slices(docs.where(~out), text_col, slices))
+    train = docs.where(~out)
+    if not slices:
+        size = train.agg(F.sum(F.octet_length(docs[text_col]).cast("long"))).collect()[0][0] or 0
+        slices = max(64, -(-size // SLICE_BYTES))
+    table = settle(count_slices(train, text_col, slices))
     n, v = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).collect()[0]
-    kind = dict(docs.dtypes)[id_col]
-    state = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"), out.alias("__held"), F.lit(0.0).alias("__base"), F.lit(0).cast("long").alias("__known"), F.lit(None).cast("binary").alias("__q"))
-    names = ["__id", "__text", "__held", "__base", "__known", "__q"]
-    many, segments = _segments(table, slices, segment_bytes)
-    for k, segment in enumerate(segments):
-        last = k == many - 1
-        shared = spark.sparkContext.broadcast(segment)
-        del segment
-
-        def setup(shared=shared, last=last):
-            powers = Powers()
-            seg: Segment = shared.value
-
-            def work(b: pa.RecordBatch) -> pa.RecordBatch:
-                tokens, bounds = _stream(b.column("__text"), powers)
-                had = b.column("__q")
-                if had.null_count == len(had):
-                    q = np.zeros((len(tokens), 2), dtype=np.uint8)
-                else:
-                    q = np.frombuffer(b"".join(had.to_pylist()), dtype=np.uint8).reshape(-1, 2).copy()
-                kinds, of = np.unique(tokens, return_inverse=True)
-                mine = seg.mine(kinds)
-                exact, q1 = np.zeros(len(kinds), dtype=np.int64), np.zeros(len(kinds), dtype=np.uint8)
-                exact[mine], q1[mine] = seg.exact(kinds[mine]), seg.quantised(kinds[mine])
-                q[:, 0] = np.maximum(q[:, 0], q1[of])
-                pair = _pairs(tokens)
-                on = seg.mine(pair)
-                if on.all():
-                    q[:, 1] = seg.quantised(pair)
-                else:
-                    q[on, 1] = seg.quantised(pair[on])
-                base = b.column("__base").to_numpy() + segment_sum(np.log10(exact + 1.0)[of], bounds)
-                known = b.column("__known").to_numpy() + segment_sum((exact > 0).astype(np.float64)[of], bounds).astype(np.int64)
-                if not last:
-                    packed = [q[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(bounds) - 1)]
-                    return pa.RecordBatch.from_arrays([b.column("__id"), b.column("__text"), b.column("__held"), pa.array(base), pa.array(known), pa.array(packed, pa.binary())], names=names)
-                size = np.diff(bounds)
-                base = base - size * np.log10(n + v + 1.0)
-                end = np.uint8(0)
-                if len(bounds) > 1:
-                    end = q[bounds[1] - 1, 0]  # the end's own count
-                logs = interpolated(q[:, 0], q[:, 1], np.append(end, q[:-1, 0]), n, v)
-                return pa.RecordBatch.from_arrays([b.column("__id"), b.column("__held"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(size), n), pa.int64()), pa.array(base), pa.array(segment_sum(logs, bounds))], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-            return work
-
-        schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" if last else f"__id {kind}, __text string, __held boolean, __base double, __known long, __q binary"
-        state = map_text(state, {x: x for x in names}, "__text", setup, schema)
-        if not last:
-            state = settle(state)
-            shared.destroy()
-    return state
+    shared = [spark.sparkContext.broadcast(x) for x in _segments(table, slices, segment_bytes)]
+    several = len(shared) > 1
+    own = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"), out.alias("__held"))
+
+    def setup():
+        powers = Powers()
+
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            tokens, bounds = _stream(b.column("__text"), powers)
+            kinds, of = np.unique(tokens, return_inverse=True)
+            pair = _pairs(tokens)
+            exact, q1 = np.zeros(len(kinds), dtype=np.int64), np.zeros(len(kinds), dtype=np.uint8)
+            q2 = np.zeros(len(pair), dtype=np.uint8)
+            for one in shared:
+                segment: Segment = one.value
+                on = segment.mine(kinds)
+                exact[on], q1[on] = segment.exact(kinds[on]), segment.quantised(kinds[on])
+                on = segment.mine(pair)
+                q2[on] = segment.quantised(pair[on])
+                if several:
+                    del segment
+                    one.__dict__.pop("_value", None)  # it is read from the executor's disk for the next chunk
+            size = np.diff(bounds)
+            base = segment_sum(np.log10(exact + 1.0)[of], bounds) - size * np.log10(n + v + 1.0)
+            known = segment_sum((exact > 0).astype(np.float64)[of], bounds).astype(np.int64)
+            word = q1[of]
+            end = word[bounds[1] - 1] if len(bounds) > 1 else np.uint8(0)  # the end's own count
+            logs = interpolated(word, q2, np.append(end, word[:-1]), n, v)
+            return pa.RecordBatch.from_arrays([b.column("__id"), b.column("__held"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(size), n), pa.int64()), pa.array(base), pa.array(segment_sum(logs, bounds))], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        return work
+
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return map_text(own, {x: x for x in own.columns}, "__text", setup, schema, LARGE_CHUNK if several else CHUNK)

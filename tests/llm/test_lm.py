@@ -44,7 +44,7 @@ def test_filter_gives_counts_back():
     keys = np.unique(r.integers(0, 1 << 63, 20000).astype(np.uint64))
     counts = r.geometric(0.3, len(keys)) ** 3
     q = lm.quantise(counts)
-    s = lm.Segment(0, 1, [lm.Filter.build(keys, q)], [keys], [counts.astype(np.uint32)])
+    s = lm.Segment(0, 1, [lm.Filter.build(keys, q)], [keys], [counts.astype(np.uint64)])
     got = s.quantised(keys)
     assert (got >= q).all() and (got == q).mean() > 0.97
     other = np.setdiff1d(r.integers(0, 1 << 63, 20000).astype(np.uint64), keys)
@@ -54,6 +54,45 @@ def test_filter_gives_counts_back():
     assert m[0] == 0 and m[1] == 1 and all(lm.quantise(np.array([c]))[0] == i for i, c in enumerate(m[1:20], 1) if c == int(c))
 
 
+def test_counts_beyond_32_bits(spark):
+    """A slice gathered from two tasks of 2^32 - 1 occurrences each."""
+    big = 2**32 + 12345
+    s = lm.Segment(0, 1, [lm.Filter.build(np.array([5], dtype=np.uint64), lm.quantise(np.array([big])))], [np.array([5], dtype=np.uint64)], [np.array([big], dtype=np.uint64)])
+    assert s.exact(np.array([5], dtype=np.uint64)).tolist() == [big]
+    k, c = lm._summed(np.array([5, 5], dtype=np.uint64), np.array([2**32 - 1, 2**32 - 1], dtype=np.int64))
+    assert k.tolist() == [5] and c.tolist() == [2**33 - 2]
+
+
+def test_smoothed_score_against_brute_force(spark):
+    """Where the filter has no false hit the score is the interpolation of quantised counts."""
+    rows = corpus()[:120]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), slices=64).collect()}
+    _, toks, held = brute(rows)
+    words, pairs = Counter(), Counter()
+    for i, t in toks.items():
+        if not held[i]:
+            words.update(t)
+            pairs.update(zip([None, *t], t))
+    n, v = sum(words.values()), len(words)
+    mean = lambda c: float(lm._meaning()[lm.quantise(np.array([c]))[0]]) if c else 0.0
+    same = 0
+    for i, t in toks.items():
+        want = 0.0
+        for a, b in zip([None, *t], t):
+            h = mean(words[a])
+            rest = lm.BACKOFF / (h + lm.BACKOFF)
+            want += math.log10((1 - rest) * min(mean(pairs[(a, b)]) / max(h, 1), 1) + rest * min((mean(words[b]) + 1) / (n + v + 1), 1))
+        same += got[i] == pytest.approx(want, rel=1e-9)
+        assert abs(got[i] - want) < 0.1 * len(t)  # a false hit moves one probability
+    assert same / len(toks) > 0.8
+
+
+def test_ids_that_are_null_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, "a b", 1.0, True), (None, None, 2.0, True), (2, "a a", 3.0, False)], "doc_id long, text string, score double, held_out boolean")
+    got = sorted(lm.score(df).collect(), key=str)
+    assert len(got) == 3 and {r.n_tokens for r in got} == {1, 3} and all(isinstance(r.held_out, bool) for r in got)
+
+
 def test_probabilities_are_bounded():
     q = np.arange(0, 60, dtype=np.uint8)
     p = lm.interpolated(q, q[::-1], np.full(60, 9, dtype=np.uint8), 1000, 100)
