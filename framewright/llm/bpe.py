@@ -6,10 +6,11 @@ a window around the seam, which is encoded anew and grows until the tokens
 outside are proven stable:
 
 * A place between a character that is no white space and a single space before
-  a letter or digit is a match boundary of the split pattern whatever stands around it, because
-  no alternative has a space after its first character. Tokens left of such a
-  place and right of it don't depend on each other, so a window from one such
-  place to another proves all other tokens.
+  a letter or digit is a match boundary of the split pattern whatever stands
+  around it, if no alternative has a space after its first character. Tokens
+  left of such a place and right of it don't depend on each other, so a window
+  from one such place to another proves all other tokens. A pattern is tried for
+  it when a coder is made, and refused if it fails.
 * Inside one match of the pattern (a very long word) a row of tokens is the
   encoding exactly when every two neighbours encode to themselves, so a
   window stands when its outer tokens agree with their neighbours in this way.
@@ -29,9 +30,11 @@ from pyspark.sql import DataFrame
 
 from framewright.llm.common import map_text
 
-LEAF_CHARS = 16384
-#: Longest match of the pattern that is given to the merge loop in one go.
-LEAF_PIECE = 2048
+LEAF_CHARS = 512
+#: Longest match of the pattern, in bytes, that is given to the merge loop in one go.
+LEAF_PIECE = 512
+#: Characters of every class around a space, to try a pattern with.
+_PROBES = ("a", "Z", "9", "é", "ñ", "日", "ß", "٣", "'", "'s", "don't", ".", ",", "_", "<|", "🙂", "\u0301", "\u200d", "((")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +57,13 @@ class Coder:
         self.text_of = list(map(str, range(len(self.bytes_of))))
         self.split = regex.compile(pattern)
         self.cut = regex.compile(r"(?<=\S)(?= [\p{L}\p{N}])")
-        self.long = regex.compile(r"[^\s]{%d}|\s{%d}" % (leaf_piece, leaf_piece))
+        for a in _PROBES:
+            for b in _PROBES[:8]:
+                for text in (f"{a} {b}", f"x {a}{a} {b}{b} y", f"  {a} {b}  {a}"):
+                    starts = {m.start() for m in self.split.finditer(text)}
+                    if not all(m.start() in starts for m in self.cut.finditer(text)):
+                        raise ValueError(f"the pattern has matches across {text!r}")
+        self.long = regex.compile(r"\S{%d}|\s{%d}" % (leaf_piece // 4, leaf_piece // 4))
 
     # ---- one match of the pattern -------------------------------------------------
     def _merge(self, piece: bytes) -> list[int]:
@@ -83,7 +92,7 @@ class Coder:
 
     # ---- whole texts ----------------------------------------------------------------
     def _plain(self, text: str) -> list[int]:
-        if len(text) <= self.leaf_piece or len(text) <= 2 * self.leaf_chars and self.leaf_piece >= LEAF_PIECE or self.long.search(text) is None:
+        if self.long.search(text) is None:  # no match of the pattern is longer than a leaf
             return self.core.encode_ordinary(text)
         out: list[int] = []
         for m in self.split.finditer(text):

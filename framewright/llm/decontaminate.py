@@ -6,8 +6,10 @@ no test string skips nearly a whole window, so most words are never looked
 at. Where the shift is nought, the hash of the last words selects a bucket of
 test strings, and all their words are compared directly.
 
-Words are compared by 64-bit hash and length in bytes. Many texts are searched
-in step, each in segments that overlap by a window.
+The tables hold words as 64-bit ids; what they let pass is confirmed byte by
+byte. Many texts are searched in step, each in segments that overlap by a
+window. A benchmark too large for one pass takes several; the driver holds one
+pass's tables at a time.
 """
 
 from __future__ import annotations
@@ -30,24 +32,44 @@ PASS_BYTES = 16 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_ids(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words (hash and length in one) and the word bounds of the texts."""
-    raw, offs = buffer_of(texts)
-    s, e, h = words(raw, offs, ALNUM, powers)
-    return h ^ mix((e - s).astype(np.uint64)), counts_by_doc(s, offs)
+class Words:
+    """The words of texts: bytes with A-Z lowered, starts, ends, ids (hash and length in one), and the texts' bounds."""
+
+    def __init__(self, texts: pa.Array, powers: Powers) -> None:
+        self.raw, offs = buffer_of(texts)
+        self.start, self.end, h = words(self.raw, offs, ALNUM, powers)
+        self.ids = h ^ mix((self.end - self.start).astype(np.uint64))
+        self.bounds = counts_by_doc(self.start, offs)
+
+    def same(self, at: np.ndarray, other: Words, of: np.ndarray) -> np.ndarray:
+        """Whether the words at and the other's words are equal byte by byte."""
+        size, s, t = self.end[at] - self.start[at], self.start[at], other.start[of]
+        out = size == other.end[of] - t
+        for i in range(0, len(at), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            on = np.flatnonzero(out[part]) + i
+            n = size[on]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            a, b = self.raw[np.repeat(s[on], n) + k], other.raw[np.repeat(t[on], n) + k]
+            bad = (a + 32 * ((a >= 65) & (a <= 90))) != (b + 32 * ((b >= 65) & (b <= 90)))
+            out[np.repeat(on, n)[bad]] = False
+        return out
 
 
 class Patterns:
-    """Test strings of one length with their shift table and suffix buckets."""
+    """Test strings of one length with their shift table and suffix buckets.
 
-    def __init__(self, rows: np.ndarray, items: np.ndarray) -> None:
+    first: the place of each row's first word among the words of the benchmark.
+    """
+
+    def __init__(self, rows: np.ndarray, items: np.ndarray, first: np.ndarray) -> None:
         self.length = rows.shape[1]
         self.b = min(2, self.length)
         order = np.lexsort(rows.T[::-1])
-        rows, items = rows[order], items[order]
+        rows, items, first = rows[order], items[order], first[order]
         new = np.ones(len(rows), dtype=bool)
         new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-        self.rows = rows[new]
+        self.rows, self.first = rows[new], first[new]
         of = np.cumsum(new) - 1
         self.item_of, self.first_item = items, np.append(np.searchsorted(of, np.arange(len(self.rows))), len(items))
         blocks, shifts = [], []
@@ -76,8 +98,9 @@ class Patterns:
             h = mix(h * _K + rows[:, j])
         return h
 
-    def find(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, text: Words, source: Words) -> tuple[np.ndarray, np.ndarray]:
         """(last word, pattern) of all occurrences."""
+        ids, bounds = text.ids, text.bounds
         lo, hi = bounds[:-1] + self.length - 1, bounds[1:]
         n = np.maximum(0, -(-(hi - lo) // SEGMENT))
         doc = np.repeat(np.arange(len(n)), n)
@@ -102,63 +125,66 @@ class Patterns:
             m = b - a
             e = np.repeat(e, m)
             p = self.by_suffix[np.repeat(a, m) + np.arange(len(e)) - np.repeat(np.cumsum(m) - m, m)]
-            for j in range(self.length - 1, -1, -1):  # direct comparison, word by word
+            for j in range(self.length - 1, -1, -1):  # direct comparison, word by word: ids first, then bytes
                 same = ids[e - (self.length - 1 - j)] == self.rows[p, j]
                 e, p = e[same], p[same]
+            for j in range(self.length):
+                same = text.same(e - (self.length - 1 - j), source, self.first[p] + j)
+                e, p = e[same], p[same]
             out_e.append(e)
             out_p.append(p)
         z = np.zeros(0, dtype=np.int64)
         return (np.concatenate(out_e), np.concatenate(out_p)) if out_e else (z, z)
 
 
-def compile_patterns(item_ids: list, texts: list[str | None], window: int = WINDOW) -> list[Patterns]:
-    """Pattern sets by length; items are given by their place in item_ids."""
-    ids, bounds = _word_ids(pa.array(texts, pa.large_string()), Powers())
+def compile_patterns(texts: list[str | None], window: int = WINDOW) -> tuple[Words, list[Patterns]]:
+    """The benchmark's words and pattern sets by length; items are given by their place in texts."""
+    source = Words(pa.array(texts, pa.large_string()), Powers())
     by: dict[int, list] = {}
     for k in range(len(texts)):
-        w = ids[bounds[k] : bounds[k + 1]]
-        if len(w):
-            size = min(window, len(w))
-            rows = np.lib.stride_tricks.sliding_window_view(w, size)
-            by.setdefault(size, []).append((rows, np.full(len(rows), k)))
-    return [Patterns(np.concatenate([r for r, _ in v]), np.concatenate([i for _, i in v])) for _, v in sorted(by.items())]
+        lo, hi = source.bounds[k], source.bounds[k + 1]
+        if hi > lo:
+            size = min(window, hi - lo)
+            rows = np.lib.stride_tricks.sliding_window_view(source.ids[lo:hi], size)
+            by.setdefault(size, []).append((rows, np.full(len(rows), k), lo + np.arange(len(rows))))
+    return source, [Patterns(*(np.concatenate(x) for x in zip(*v))) for _, v in sorted(by.items())]
 
 
 def _passes(bench: DataFrame, id_col: str, text_col: str, window: int, pass_bytes: int):
-    """Broadcasts of (item ids as text, patterns), each of at most about pass_bytes of benchmark text.
+    """(broadcast of (item ids as text, words, patterns), whether it is the last), each of about pass_bytes of benchmark text.
 
-    Equal ids are one item: it occurs if a window of any of its rows does.
+    Made when asked for, so the driver holds one. Equal ids are one item: it
+    occurs if a window of any of its rows does.
     """
-    spark = bench.sparkSession
-    ids, texts, size = [], [], 0
     rows = bench.select(bench[id_col].cast("string").alias("i"), bench[text_col].cast("string").alias("t")).where("i is not null and t is not null")
+    shared = lambda part: bench.sparkSession.sparkContext.broadcast(([i for i, _ in part], *compile_patterns([t for _, t in part], window)))
+    part, size = [], 0
     for r in rows.toLocalIterator():
-        ids.append(r.i)
-        texts.append(r.t)
-        size += len(r.t)
         if size >= pass_bytes:
-            yield spark.sparkContext.broadcast((ids, compile_patterns(ids, texts, window)))
-            ids, texts, size = [], [], 0
-    yield spark.sparkContext.broadcast((ids, compile_patterns(ids, texts, window)))
+            yield shared(part), False
+            part, size = [], 0
+        part.append((r.i, r.t))
+        size += len(r.t.encode())
+    yield shared(part), True
 
 
 def _search(shared, powers: Powers, texts: pa.Array):
     """Word ids' bounds, which words are hit, and the (text, item) pairs."""
-    item_ids, sets = shared
-    ids, bounds = _word_ids(texts, powers)
-    cover = np.zeros(len(ids) + 1, dtype=np.int32)
+    _, source, sets = shared
+    text = Words(texts, powers)
+    cover = np.zeros(len(text.ids) + 1, dtype=np.int32)
     docs, items = [], []
     for p in sets:
-        e, k = p.find(ids, bounds)
+        e, k = p.find(text, source)
         if len(e):
             np.add.at(cover, e - p.length + 1, 1)
             np.add.at(cover, e + 1, -1)
             m = p.first_item[k + 1] - p.first_item[k]
             items.append(p.item_of[np.repeat(p.first_item[k], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)])
-            docs.append(np.repeat(np.searchsorted(bounds, e, "right") - 1, m))
+            docs.append(np.repeat(np.searchsorted(text.bounds, e, "right") - 1, m))
     hit = np.cumsum(cover[:-1]) > 0
     pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)]), axis=1) if docs else np.zeros((2, 0), dtype=np.int64)
-    return bounds, hit, pairs
+    return text.bounds, hit, pairs
 
 
 def _names(n: int, pairs: np.ndarray, item_ids: list[str]) -> list[list[str]]:
@@ -177,9 +203,7 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     kind = dict(docs.dtypes)[id_col]
     schema = "__id " + kind + ", __text string, __hit binary, items array<string>"
     state = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"), F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<string>").alias("items"))
-    passes = list(_passes(bench, item_col, item_text, window, pass_bytes))
-    for k, shared in enumerate(passes):
-        last = k == len(passes) - 1
+    for shared, last in _passes(bench, item_col, item_text, window, pass_bytes):
 
         def setup(shared=shared, last=last):
             powers = Powers()
@@ -208,6 +232,7 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
         state = map_text(state, {x: x for x in ("__id", "__text", "__hit", "items")}, "__text", setup, out)
         if not last:
             state = settle(state)
+            shared.destroy()
     return state
 
 
@@ -224,13 +249,13 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
 
     A benchmark of several passes is searched by scan() on a row number first.
     """
-    passes = list(_passes(bench, item_col, item_text, window, pass_bytes))
-    if len(passes) > 1:
+    shared, only = next(_passes(bench, item_col, item_text, window, pass_bytes))
+    if not only:
+        shared.destroy()
         own = settle(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("__row", F.monotonically_increasing_id()))
         at = f"c{docs.columns.index(text_col)}"
         bad = scan(own, bench, "__row", at, item_col, item_text, window, pass_bytes).where("n_hit > 0 and n_hit * 20 >= n_words").select("__row")
         return own.join(bad, "__row", "left_anti").drop("__row").toDF(*docs.columns)
-    shared = passes[0]
 
     def setup():
         powers = Powers()

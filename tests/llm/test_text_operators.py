@@ -105,6 +105,25 @@ def test_decontamination_against_brute_force(spark, pass_bytes):
     assert decontaminate.report(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_on_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x"), (1, "a b", 7, "x"), (None, "A-B", 7, None), (2, None, 7, None), (3, "b a", 7, None)], "doc_id long, text string, n_words int, items string")
+    bench = spark.createDataFrame([(5, "a b", 1), (5, "a b", 1), (6, "c", 2), (None, "b", 3), (7, None, 4)], "item_id long, text string, n_hit int")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(df, bench).collect())
+    assert got == [("1", 2, 2, 1, True), ("1", 2, 2, 1, True), ("2", 0, 0, 0, False), ("3", 2, 0, 0, False), ("None", 2, 2, 1, True)]
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
+def test_words_are_compared_byte_by_byte():
+    import numpy as np
+    import pyarrow as pa
+
+    from framewright.llm.textbytes import Powers
+
+    a, b = (decontaminate.Words(pa.array([t]), Powers()) for t in ("One two THREE x", "one twp three xx"))
+    assert a.same(np.arange(4), b, np.arange(4)).tolist() == [True, False, True, False]
+
+
 # ---- shards --------------------------------------------------------------------------------------------
 
 
@@ -139,9 +158,39 @@ def test_bpe_tree_is_the_library(coder):
     parts = ["the ", " cat", "é", "ßß", "日本", "\n\n", "  ", "1234567", "x" * 90, "don't", "'s", "\t", "🙂", ".,.,", "<|endoftext|>", " " * 70, " "]
     for _ in range(300):
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 60)))
-        ids = small.encode(t)
-        assert ids == plain.core.encode_ordinary(t), repr(t)
-        assert small.decode(ids) == t.encode()
+        want = plain.core.encode_ordinary(t)
+        for c in (small, plain):
+            assert c.encode(t) == want, repr(t)
+        assert small.decode(want) == t.encode()
+
+
+def test_bpe_tree_in_production_settings(coder, monkeypatch):
+    """Texts of more than one leaf are joined from halves, whatever their kind, and are what the library gives."""
+    _, plain = coder
+    joins = []
+    monkeypatch.setattr(bpe.Coder, "_join", lambda self, *a, real=bpe.Coder._join: joins.append(a) or real(self, *a))
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgß日é") for _ in range(r.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (200, 1000, 5000)] + ["日本語" * 700, "x" * 3000, "=" * 2000, " " * 1500 + "a", "\n\n" * 800, ("word" + " " * 40) * 60, "12345" * 400, "it's " * 300, "🙂" * 900]
+    for t in texts:
+        before = len(joins)
+        ids = plain.encode(t)
+        assert ids == plain.core.encode_ordinary(t), t[:40]
+        assert plain.decode(ids) == t.encode() and len(joins) > before
+
+
+def test_bpe_refuses_patterns_without_the_boundary():
+    path, _ = queries.tokenizer()
+    with pytest.raises(ValueError, match="matches across"):
+        bpe.Coder(bpe.load_ranks(path), r"\S+ \S+|\s+|\S+")
+
+
+def test_bpe_repeats_nulls_and_clashes(spark):
+    path, pattern = queries.tokenizer()
+    df = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x"), (None, "a b", 6, None), (None, None, 6, None)], "doc_id long, text string, n_tokens int, ids string")
+    got = bpe.digests(df, path, pattern).collect()
+    assert sorted(r.n_tokens for r in got) == [0, 2, 2, 2] and sum(r.doc_id is None for r in got) == 2
+    assert sorted(len(r.ids) for r in bpe.encode(df, path, pattern).collect()) == [0, 2, 2, 2]
 
 
 def test_bpe_tables(spark):
