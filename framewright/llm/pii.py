@@ -2,9 +2,10 @@
 
 The CRF labels runs of tokens (split at ASCII white space) that hold a digit or
 an at sign; every other token is outside by constraint, which splits the chain
-exactly, so only the runs need decoding. Runs of a batch are decoded together
-by Viterbi in numpy. A span of the model counts if it passes its kind's check
-(digits, parts, Luhn) and overlaps no span of the patterns.
+exactly, so only the runs need decoding. The words beside a run are features of
+its ends. Runs of a batch are decoded together by Viterbi in numpy. A span of
+the model counts if it passes its kind's check (digits, parts, Luhn) and
+overlaps no span of the patterns.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -35,6 +37,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?:(?<=[\x20\x09-\x0D])|\A)[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
+_SPACE = " \t\n\v\f\r"
 _EDGE = ".,;:!?\"'<>[]{}*%$&#|="
 
 
@@ -81,29 +84,54 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # ---- the model ----------------------------------------------------------------------
 
 
+def _class(c: str) -> str:
+    return "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
+
+
 def shape(token: str) -> str:
-    """Digits d, capitals X, other letters x, each run cut at four; the rest as it is, cut at two."""
-    out: list[str] = []
-    for c in token[:64]:
-        s = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
-        if len(out) >= (n := 4 if s in "dXx" else 2) and all(o == s for o in out[-n:]):
-            continue
-        out.append(s)
-    return "".join(out)
+    """Digits d, capitals X, other letters x, each run cut at four; the rest as it is, cut at two; of the whole token."""
+    return "".join(k * min(sum(1 for _ in run), 4 if k in "dXx" else 2) for k, run in groupby(map(_class, token)))
+
 
+#: Features of a token.
+N_FEATURES = 9
 
-def _features(tokens: list[str]) -> list[list[int]]:
+
+def _cue(word: str | None) -> str:
+    """A neighbouring word as a feature: its letters in lower case."""
+    return "" if word is None else word.lower().strip(_EDGE + "()-")
+
+
+def _features(tokens: list[str], left: str | None = None, right: str | None = None) -> list[list[int]]:
+    """Buckets of a run's tokens; left and right are the words beside the run, None at an end of the text."""
     shapes = [shape(t) for t in tokens]
     out = []
     for i, t in enumerate(tokens):
-        before = shapes[i - 1] if i else "^"
-        after = shapes[i + 1] if i + 1 < len(tokens) else "$"
+        before = shapes[i - 1] if i else "^" if left is None else "w"
+        after = shapes[i + 1] if i + 1 < len(tokens) else "$" if right is None else "w"
         digits = sum("0" <= c <= "9" for c in t)
-        found = ("s" + shapes[i], "p" + before, "n" + after, "ps" + before + " " + shapes[i], "sn" + shapes[i] + " " + after, f"d{min(digits, 16)}", f"k{'@' in t}{t.count('.')}{t.count('-')}{t[:1] in '+('}")
+        found = ("s" + shapes[i], "p" + before, "n" + after, "ps" + before + " " + shapes[i], "sn" + shapes[i] + " " + after, f"d{min(digits, 16)}", f"k{'@' in t}{min(t.count('.'), 5)}{min(t.count('-'), 5)}{t[:1] in '+('}", "l" + (_cue(left) if i == 0 else "-"), "r" + (_cue(right) if i + 1 == len(tokens) else "-"))
         out.append([crc32(f.encode()) % BUCKETS for f in found])
     return out
 
 
+#: A run of tokens with the words before and after it.
+Run = tuple[str | None, list[str], str | None]
+
+
+def runs_of(tokens: list[str], labels: list[str] | None = None) -> list[tuple[Run, list[str]]]:
+    """Runs of tokens with a digit or at sign and their labels; all other tokens are outside."""
+    out, i = [], 0
+    while i < len(tokens):
+        j = i
+        while j < len(tokens) and _ANY.search(tokens[j]):
+            j += 1
+        if j > i:
+            out.append(((tokens[i - 1] if i else None, tokens[i:j], tokens[j] if j < len(tokens) else None), (labels or [])[i:j]))
+        i = j + 1
+    return out
+
+
 def _viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Best labels of (batch, time, label) emissions; chains start and end outside."""
     n, t, _ = emit.shape
@@ -135,9 +163,10 @@ class Crf:
     def __init__(self, weights: np.ndarray, trans: np.ndarray) -> None:
         self.weights, self.trans = weights, trans
 
-    def decode(self, runs: list[list[str]]) -> list[list[str]]:
+    def decode(self, runs: list[Run]) -> list[list[str]]:
         """Labels of runs of tokens, decoded in batches of like length."""
-        emit = [self.weights[np.array(_features(r))].sum(axis=1) for r in runs]
+        emit = [self.weights[np.array(_features(r, left, right))].sum(axis=1) for left, r, right in runs]
+        runs = [r for _, r, _ in runs]
         by: dict[int, list[int]] = {}
         for i, r in enumerate(runs):
             by.setdefault(len(r) if len(r) <= 16 else 1 << (len(r) - 1).bit_length(), []).append(i)
@@ -154,21 +183,19 @@ class Crf:
         return out
 
 
-def train_crf(rows: list[tuple[list[str], list[str]]], steps: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Crf:
+def train_crf(rows: list[tuple[Run, list[str]]], steps: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Crf:
     """Maximum likelihood by full-batch Adam; forward and backward sums in numpy."""
     legal, n_l = _legal(), len(LABELS)
-    rows = [(t, y) for t, y in rows if t]
-    longest = max(map(lambda r: len(r[0]), rows), default=1)
+    longest = max((len(y) for _, y in rows), default=1)
     n = len(rows)
     w, tr = np.zeros((BUCKETS, n_l)), np.zeros((n_l, n_l))
     if not n:
         return Crf(w, tr + legal)
-    n_f = 7
-    feats = np.zeros((n, longest, n_f), dtype=np.int64)
+    feats = np.zeros((n, longest, N_FEATURES), dtype=np.int64)
     gold = np.zeros((n, longest), dtype=np.int64)
     mask = np.zeros((n, longest), dtype=bool)
-    for i, (t, y) in enumerate(rows):
-        feats[i, : len(t)], gold[i, : len(t)], mask[i, : len(t)] = _features(t), [LABELS.index(a) for a in y], True
+    for i, ((left, t, right), y) in enumerate(rows):
+        feats[i, : len(t)], gold[i, : len(t)], mask[i, : len(t)] = _features(t, left, right), [LABELS.index(a) for a in y], True
     lse = lambda a, ax: (m := a.max(axis=ax, keepdims=True)).squeeze(ax) + np.log(np.exp(a - m).sum(axis=ax))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(tr), np.zeros_like(tr)]
     want_e = np.zeros((n, longest, n_l))
@@ -198,7 +225,7 @@ def train_crf(rows: list[tuple[list[str], list[str]]], steps: int = 120, rate: f
         for i in range(1, longest):
             got_t += np.exp(alpha[:, i - 1, :, None] + full[None] + (emit[:, i] + beta[:, i])[:, None, :] - z[:, None, None]).sum(axis=0)
         g_w = np.zeros_like(w)
-        for k in range(n_f):
+        for k in range(N_FEATURES):
             np.add.at(g_w, feats[:, :, k][mask], g_e[mask])
         grads = [g_w / n + decay * w, (got_t - want_t) / n + decay * tr]
         for x, g, m, v in ((w, grads[0], moments[0], moments[1]), (tr, grads[1], moments[2], moments[3])):
@@ -208,8 +235,12 @@ def train_crf(rows: list[tuple[list[str], list[str]]], steps: int = 120, rate: f
     return Crf(w, tr + legal)
 
 
-def sample_rows(n: int = 600, seed: int = 5) -> list[tuple[list[str], list[str]]]:
-    """A small labelled table: runs of tokens around made-up personal data and around other numbers."""
+#: Words that stand before data of a kind, and before other numbers.
+CUES = {"email": ("mail", "e-mail", "contact", "write"), "ip": ("ip", "host", "address", "server"), "card": ("card", "visa", "credit", "account"), "phone": ("call", "phone", "tel", "fax", "mobile"), "none": ("page", "order", "version", "section", "in", "about", "no")}
+
+
+def sample_rows(n: int = 800, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+    """A small labelled table: tokens around made-up personal data and around other numbers."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7)))
@@ -240,18 +271,35 @@ def sample_rows(n: int = 600, seed: int = 5) -> list[tuple[list[str], list[str]]
         t[-1] += tail()
         if r.random() < 0.15:
             t, y = [d(r.randint(1, 3)) + ","] + t, ["O"] + y
-        out.append((t, y))
+        # words around it: half of the time one that tells the kind
+        cue = r.choice(CUES[kind]) + r.choice(["", ":"]) if r.random() < 0.5 else word()
+        before, after = [word() for _ in range(r.randint(0, 2))] + [cue], [word() for _ in range(r.randint(0, 2))]
+        if r.random() < 0.1:
+            before = []
+        out.append((before + t + after, ["O"] * len(before) + y + ["O"] * len(after)))
     return out
 
 
-def sample_table(spark: SparkSession, n: int = 600, seed: int = 5) -> DataFrame:
+def sample_table(spark: SparkSession, n: int = 800, seed: int = 5) -> DataFrame:
     return spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(sample_rows(n, seed))], "row_id long, tokens array<string>, labels array<string>")
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Crf:
     """A model from (tokens, labels) rows: at most max_rows, chosen by the hash of their content."""
     rows = labelled.where("tokens is not null and size(tokens) = size(labels)").orderBy(F.xxhash64("tokens", "labels")).limit(max_rows).select("tokens", "labels").collect()
-    return train_crf([(list(r.tokens), list(r.labels)) for r in rows])
+    return train_crf([run for r in rows for run in runs_of(list(r.tokens), list(r.labels))])
+
+
+def _beside(text: str, at: int, step: int) -> str | None:
+    """The word before (step -1) or after (step 1) a place at a token's edge; None if there is none."""
+    edge = lambda k: k - 1 if step < 0 else k
+    inside = lambda k: 0 <= edge(k) < len(text)
+    while inside(at) and text[edge(at)] in _SPACE:
+        at += step
+    end = at
+    while inside(end) and text[edge(end)] not in _SPACE:
+        end += step
+    return text[min(at, end) : max(at, end)] or None
 
 
 def _checked(text: str, s: int, e: int, kind: str) -> tuple[int, int, str] | None:
@@ -290,7 +338,7 @@ def find_spans(crf: Crf, texts: list[str]) -> list[tuple[list[tuple[int, int, st
             run.append(m.span())
         if run:
             where.append((i, run))
-    runs = [[texts[i][s:e] for s, e in run] for i, run in where]
+    runs = [(_beside(texts[i], run[0][0], -1), [texts[i][s:e] for s, e in run], _beside(texts[i], run[-1][1], 1)) for i, run in where]
     added: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for (i, run), labels in zip(where, crf.decode(runs)):
         k = 0

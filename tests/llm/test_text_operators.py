@@ -47,11 +47,41 @@ def crf(spark):
 
 
 def test_crf_on_its_own_kind(crf):
-    rows = pii.sample_rows(300, seed=99)
+    rows = [x for t, y in pii.sample_rows(300, seed=99) for x in pii.runs_of(t, y)]
     labels = crf.decode([t for t, _ in rows])
     assert sum(a == b for a, (_, b) in zip(labels, rows)) / len(rows) > 0.9
 
 
+def test_shapes_are_of_whole_tokens():
+    assert pii.shape("x" * 64 + "a@b") == "xxxx@x" and pii.shape("x" * 200 + "1-2-3") == "xxxxd-d-d"
+    assert pii.shape("ABCDEé--..///") == "XXXXx--..//" and pii.shape("") == ""
+
+
+def test_words_beside_a_run_count():
+    rows = [((cue, ["5551234567"], None), [label]) for cue, label in (("phone:", "B-phone"), ("order", "O")) for _ in range(20)]
+    model = pii.train_crf(rows)
+    assert model.decode([("phone", ["5559876543"], None), ("order", ["5559876543"], None)]) == [["B-phone"], ["O"]]
+    assert pii._beside("call me  555 now", 9, -1) == "me" and pii._beside("call 555", 8, 1) is None and pii._beside("5 a", 1, 1) == "a"
+
+
+def best_labels(model, run):
+    """The best legal labels by trying them all."""
+    import itertools
+
+    import numpy as np
+
+    left, t, right = run
+    emit = model.weights[np.array(pii._features(t, left, right))].sum(axis=1)
+    n = len(pii.LABELS)
+    value = lambda y: model.trans[0, y[0]] + sum(emit[i, a] for i, a in enumerate(y)) + sum(model.trans[a, b] for a, b in zip(y, y[1:])) + model.trans[y[-1], 0]
+    return [pii.LABELS[a] for a in max(itertools.product(range(n), repeat=len(t)), key=value)]
+
+
+def test_viterbi_against_all_labellings(crf):
+    r = random.Random(8)
+    runs = [x for t, y in pii.sample_rows(60, seed=3) for x, _ in pii.runs_of(t, y) if len(x[1]) <= 4] + [("to", [r.choice(["(555)", "12", "a@b.c", "1.2.3.4", "+1", "99-88"]) for _ in range(k)], None) for k in (1, 2, 3, 4) for _ in range(5)]
+    assert crf.decode(runs) == [best_labels(crf, x) for x in runs]
+
 def test_pii_report_and_redaction(spark, crf):
     texts = ["mail a@b.co now", None, "", "call (555) 123-4567 or +1 555 123 4567", "x " * 50000 + "1.2.3.4", "plain"]
     df = docs(spark, texts)
@@ -66,6 +96,14 @@ def test_pii_report_and_redaction(spark, crf):
     assert pii.report(df.limit(0), crf).count() == 0
 
 
+def test_pii_repeats_nulls_and_clashes(spark, crf):
+    df = spark.createDataFrame([(1, "a@b.co", "s", 5, 3), (1, "a@b.co", "s", 5, 3), (None, "1.2.3.4", None, 6, None), (2, None, None, 7, 0)], "doc_id long, text string, spans string, n_email int, n_chars int")
+    got = sorted((str(r.doc_id), r.n_email, r.n_ip, r.spans) for r in pii.report(df, crf).collect())
+    assert got == [("1", 1, 0, "email:0:6"), ("1", 1, 0, "email:0:6"), ("2", 0, 0, ""), ("None", 0, 1, "ip:0:7")]
+    red = pii.redact(df, crf, length_col="n_chars")
+    assert red.columns == df.columns and sorted((r.text or "", r.n_chars, r.spans) for r in red.collect()) == sorted([("[EMAIL]", 7, "s"), ("[EMAIL]", 7, "s"), ("[IP]", 4, None), ("", 0, None)], key=str)
+
+
 # ---- decontamination ---------------------------------------------------------------------------------
 
 
