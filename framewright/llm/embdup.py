@@ -39,8 +39,8 @@ BLOCK_ROWS, LEAST_BLOCKS = 4096, 12
 MAX_CENTRES, SAMPLE_EACH, SAMPLE = 2048, 8, 2048
 #: The coarsest radius of a tree; radii halve from there until a level has no more than a few rows a node.
 TOP_RADIUS, ROWS_A_NODE, MOST_LEVELS = 0.6, 2, 6
-#: Blocks whose middles are broadcast at once to plan the pairs.
-PLAN_BLOCKS = 50_000
+#: Blocks whose middles are broadcast at once to plan the pairs, and neighbouring blocks that travel together.
+PLAN_BLOCKS, TILE = 50_000, 4
 _SLACK = 1e-9
 
 
@@ -91,7 +91,7 @@ def net(x: np.ndarray, radius: float, batch: int = 128) -> tuple[np.ndarray, np.
 class Tree:
     """Levels of nodes over rows ordered so that every node is a run of them.
 
-    levels[k] = (centre vectors, covering radii, bounds of their children in the next level or of rows).
+    levels[k] = (centre rows, covering radii, bounds of the children in the next level or of rows, bounds of rows).
     """
 
     def __init__(self, x: np.ndarray) -> None:
@@ -106,20 +106,31 @@ class Tree:
         self.order, self.x = order, x[order]
         self.levels = []
         below = np.arange(len(x) + 1)
+        place = np.argsort(order)
         for points, label in steps:
             run = label[order]
             start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
             rows = np.append(start, len(x))
-            c = x[points][run[start]]
+            centre = place[points[run[start]]]
+            c = self.x[centre]
             gap = np.sqrt(np.maximum(((self.x - np.repeat(c, np.diff(rows), axis=0)) ** 2).sum(axis=1), 0))
-            self.levels.append((c, np.maximum.reduceat(gap, start), np.searchsorted(below, rows), rows))
+            self.levels.append((centre, np.maximum.reduceat(gap, start), np.searchsorted(below, rows), rows))
             below = rows
         self.levels.reverse()
 
+    def packed(self) -> bytes:
+        return pickle.dumps((self.x, self.levels), 5)
+
+    @classmethod
+    def unpacked(cls, b: bytes) -> Tree:
+        t = cls.__new__(cls)
+        t.x, t.levels = pickle.loads(b)
+        return t
+
     def down_to(self, depth: int) -> list:
         """The levels, and below them as many of single rows as are wanted."""
         n = len(self.x)
-        return self.levels + [(self.x, np.zeros(n), np.arange(n + 1), np.arange(n + 1))] * (depth - len(self.levels))
+        return self.levels + [(np.arange(n), np.zeros(n), np.arange(n + 1), np.arange(n + 1))] * (depth - len(self.levels))
 
     @staticmethod
     def radii(x: np.ndarray) -> list[float]:
@@ -191,6 +202,7 @@ def dual(p: Tree, q: Tree, cosine: float, same: bool, weight_p: np.ndarray, weig
     def descend(level: int, pairs: np.ndarray) -> None:
         ca, ra, _, rows_a = levels_p[level]
         cb, rb, _, rows_b = levels_q[level]
+        ca, cb = p.x[ca], q.x[cb]
         for i in range(0, len(pairs), lot):
             part = pairs[i : i + lot]
             keep, whole = [], []
@@ -225,6 +237,7 @@ def dual(p: Tree, q: Tree, cosine: float, same: bool, weight_p: np.ndarray, weig
     # the top levels meet in one matrix product, in strips
     ca, ra = levels_p[0][:2]
     cb, rb = levels_q[0][:2]
+    ca, cb = p.x[ca], q.x[cb]
     for i in range(0, len(ca), 512):
         near = np.argwhere(distances(ca[i : i + 512], cb) <= eps + ra[i : i + 512, None] + rb[None] + _SLACK)
         if len(near):
@@ -296,11 +309,18 @@ def _links(reps: DataFrame, dims: int, cosine: float, kind: str, n_parts: int, b
     sample = [r.vec for r in reps.orderBy("__a", "__b").limit(max(SAMPLE, SAMPLE_EACH * n_centres)).select("vec").collect()]
     c = centres(unit(np.array(sample)), n_centres)
     cells = settle(_assign(reps, spark.sparkContext.broadcast(c), kind))
-    # cells are cut by the second nearest centre, so that blocks are of like size however full a cell is; a row for each pair of centres
+    # blocks of like size, however full a cell is: cells are cut by the second nearest centre, and what is still too full by hash
     each = max(1, total // want)
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))  # MAX_CENTRES rows at most
-    parts = F.greatest(F.lit(1), F.bround(F.col("n") / each)).cast("int")
-    dealt = cells.join(F.broadcast(sizes.select("cell", parts.alias("parts"))), "cell").withColumn("part", F.pmod(F.col("second"), F.col("parts")))
+    few_parts = lambda n, size: F.greatest(F.lit(1), F.bround(F.col(n) / size)).cast("int")
+    sizes = F.broadcast(cells.groupBy("cell").agg(F.count("*").alias("n")).select("cell", few_parts("n", each).alias("parts")))  # MAX_CENTRES rows at most
+    dealt = cells.join(sizes, "cell").withColumn("part", F.pmod(F.col("second"), F.col("parts")))
+    if total > MAX_CENTRES * block_rows:  # a row for each block
+        full = settle(dealt.groupBy("cell", "part").agg(F.count("*").alias("n")).select("cell", "part", few_parts("n", 2 * each).alias("cuts")))
+        dealt = dealt.join(full, ["cell", "part"])
+    else:
+        full = F.broadcast(dealt.groupBy("cell", "part").agg(F.count("*").alias("n")).select("cell", "part", few_parts("n", 2 * each).alias("cuts")))
+        dealt = dealt.join(full, ["cell", "part"])
+    dealt = dealt.withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each run of a block: its tree with the nodes in tree order, its middle and radius."""
@@ -313,91 +333,102 @@ def _links(reps: DataFrame, dims: int, cosine: float, kind: str, n_parts: int, b
             length = np.sqrt((mean * mean).sum())
             mid = mean / length if length > 0 else x[0]
             order = t.order.tolist()
-            return pa.RecordBatch.from_arrays([pa.array([[nodes[i] for i in order]], pa.list_(types[0])), pa.array([[ws[i] for i in order]], pa.list_(pa.int64())), pa.array([pickle.dumps((t.x, t.levels), 5)], pa.binary()), pa.array([mid.tobytes()], pa.binary()), pa.array([float(distances(x, mid[None]).max())])], names=["nodes", "ws", "tree", "mid", "radius"])
+            return pa.RecordBatch.from_arrays([pa.array([[nodes[i] for i in order]], pa.list_(types[0])), pa.array([[ws[i] for i in order]], pa.list_(pa.int64())), pa.array([t.packed()], pa.binary()), pa.array([mid.tobytes()], pa.binary()), pa.array([float(distances(x, mid[None]).max())]), pa.array([key[0]], pa.int32())], names=["nodes", "ws", "tree", "mid", "radius", "cell"])
 
         types: list = []
         for b in batches:
-            types[:] = [b.column(2).type]
-            for cell, part, node, w, v in zip(*[col.to_pylist() for col in b.columns]):
-                if (cell, part) != key or len(vecs) >= 2 * block_rows:
+            types[:] = [b.column(3).type]
+            for *at, node, w, v in zip(*[col.to_pylist() for col in b.columns]):
+                if at != key or len(vecs) >= 2 * block_rows:
                     if vecs:
                         yield done()
-                    key, nodes, ws, vecs = (cell, part), [], [], []
+                    key, nodes, ws, vecs = at, [], [], []
                 nodes.append(node)
                 ws.append(w)
                 vecs.append(v)
         if vecs:
             yield done()
 
-    # a range partitioning splits a full block between tasks
-    by = ["cell", "part", "second", "node"]
-    sorted_rows = dealt.select(*by, "w", "vec").repartitionByRange(max(1, min(n_parts, want)), *by).sortWithinPartitions(*by)
-    planted = sorted_rows.select("cell", "part", "node", "w", "vec").mapInArrow(plant, f"nodes array<{kind}>, ws array<long>, tree binary, mid binary, radius double")
+    by = ["cell", "part", "cut"]
+    sorted_rows = dealt.select(*by, "node", "w", "vec").repartition(n_parts, *by).sortWithinPartitions(*by, "node")
+    planted = sorted_rows.mapInArrow(plant, f"nodes array<{kind}>, ws array<long>, tree binary, mid binary, radius double, cell int")
     planted = settle(planted.withColumn("run", F.monotonically_increasing_id()))
-    plan = settle(_plan(planted.select("run", "mid", "radius"), dims, cosine))
-    sides = plan.select("pair", F.explode(F.array_distinct(F.array("a", "b"))).alias("run"))
-    n_pairs = plan.count()
-    sent = planted.drop("mid", "radius").join(sides, "run").repartition(max(n_parts, min(n_pairs, 4 * n_parts)), "pair").sortWithinPartitions("pair", "run")
+    plan = settle(_plan(planted.select("run", "cell", "mid", "radius"), dims, cosine))
+    sent = planted.drop("mid", "radius", "cell").join(plan, "run").repartition(n_parts, "pair").sortWithinPartitions("pair", "run")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        held: dict[int, tuple] = {}
         types: list = []
 
-        def done():
-            sides = []
-            for _, nodes, ws, tree in held:
-                t = Tree.__new__(Tree)
-                t.x, t.levels = pickle.loads(tree)
-                sides.append((t, nodes, np.array(ws, dtype=np.int64)))
-            same = len(sides) == 1
-            (p, np_, wp), (q, nq, wq) = sides[0], sides[-1]
-            cp, cq, root = dual(p, q, cosine, same, wp, wq)
-            nodes = np_ + ([] if same else nq)
-            counts = cp if same else np.concatenate([cp, cq])
-            low: dict = {}
-            for i, r in enumerate(root.tolist()):
-                low[r] = min(low.get(r, nodes[i]), nodes[i])
-            on = np.flatnonzero(counts > 0).tolist()
-            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in on], types[0]), pa.array(counts[on], pa.int64()), pa.array([low[int(root[i])] for i in on], types[0])], names=["node", "c", "root"])
+        def done() -> Iterator[pa.RecordBatch]:
+            trees = {run: (Tree.unpacked(tree), nodes, np.array(ws, dtype=np.int64)) for run, (nodes, ws, tree, _) in held.items()}
+            for run, (*_, partners) in held.items():
+                for other in partners:
+                    (p, np_, wp), (q, nq, wq) = trees[run], trees[other]
+                    same = run == other
+                    cp, cq, root = dual(p, q, cosine, same, wp, wq)
+                    nodes = np_ if same else np_ + nq
+                    counts = cp if same else np.concatenate([cp, cq])
+                    low: dict = {}
+                    for i, r in enumerate(root.tolist()):
+                        low[r] = min(low.get(r, nodes[i]), nodes[i])
+                    on = np.flatnonzero(counts > 0).tolist()
+                    if on:
+                        yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in on], types[0]), pa.array(counts[on], pa.int64()), pa.array([low[int(root[i])] for i in on], types[0])], names=["node", "c", "root"])
 
         pair = None
         for b in batches:
-            types[:] = [b.column(1).type.value_type]
-            for i in range(b.num_rows):
-                k, nodes, ws, tree = (col[i].as_py() for col in b.columns)  # a row is a tree
+            types[:] = [b.column(2).type.value_type]
+            for i in range(b.num_rows):  # a row is a tree
+                k, run, nodes, ws, tree, partners = (col[i].as_py() for col in b.columns)
                 if k != pair:
-                    if held:
-                        yield done()
-                    pair, held = k, []
-                held.append((k, nodes, ws, tree))
-        if held:
-            yield done()
+                    yield from done()
+                    pair, held = k, {}
+                held[run] = nodes, ws, tree, partners
+        yield from done()
 
-    return sent.select("pair", "nodes", "ws", "tree").mapInArrow(traverse, f"node {kind}, c long, root {kind}")
+    return sent.select("pair", "run", "nodes", "ws", "tree", "partners").mapInArrow(traverse, f"node {kind}, c long, root {kind}")
 
 
 def _plan(runs: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """(pair, a, b): the pairs of blocks, each with itself too, that the covering bound can't exclude.
+    """(pair, run, partners): the pairs of tiles, with the blocks that meet there.
 
-    Every task holds its own blocks' middles against a broadcast part of all.
+    Neighbouring blocks are a tile. partners are the later blocks of the pair,
+    itself included, that the covering bound can't keep from a block. Every task
+    holds its own blocks' middles against a broadcast part of all.
     """
     spark = runs.sparkSession
     eps = float(np.sqrt(max(2.0 - 2.0 * cosine, 0.0)))
-    ids = [r.run for r in runs.select("run").orderBy("run").collect()]  # a number for each block_rows vectors
+    ids = [r.run for r in runs.select("cell", "run").orderBy("cell", "run").collect()]  # a number for each block_rows vectors
+    size = max(1, min(TILE, len(ids) // 16))
+    numbers = spark.sparkContext.broadcast({r: i for i, r in enumerate(ids)})
 
     def against(lo: int) -> DataFrame:
         part = ids[lo : lo + PLAN_BLOCKS]
-        rows = sorted(runs.where(F.col("run").between(part[0], part[-1])).collect())
+        found = {r.run: r for r in runs.where(F.col("run").isin(part) if len(ids) > PLAN_BLOCKS else F.lit(True)).collect()}
+        rows = [found[i] for i in part]
         shared = spark.sparkContext.broadcast((np.array(part, dtype=np.int64), np.array([np.frombuffer(r.mid) for r in rows]).reshape(len(rows), dims), np.array([r.radius for r in rows])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other, mids, radii = shared.value
+            number = numbers.value
             for b in batches:
                 for k, mid, radius in zip(*[c.to_pylist() for c in b.columns]):
-                    near = distances(np.frombuffer(mid)[None], mids)[0] <= eps + radius + radii + _SLACK
-                    to = other[near & (other >= k) | (other == k)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), k, dtype=np.int64)), pa.array(to)], names=["a", "b"])
-
-        return runs.mapInArrow(run, "a long, b long")
-
-    return reduce(DataFrame.union, [against(i) for i in range(0, len(ids), PLAN_BLOCKS)]).withColumn("pair", F.monotonically_increasing_id())
+                    me = number[k]
+                    at = np.arange(lo, lo + len(other))
+                    near = (distances(np.frombuffer(mid)[None], mids)[0] <= eps + radius + radii + _SLACK) & (at >= me) | (at == me)
+                    tiles: dict[int, list[int]] = {}
+                    for i in np.flatnonzero(near).tolist():
+                        tiles.setdefault((lo + i) // size, []).append(int(other[i]))
+                    out = []
+                    for t, partners in tiles.items():
+                        pair = (me // size << 31) + t
+                        out.append((pair, k, partners))
+                        out += [(pair, o, []) for o in partners if o != k]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["pair", "run", "partners"])
+
+        return runs.select("run", "mid", "radius").mapInArrow(run, "pair long, run long, partners array<long>")
+
+    rows = reduce(DataFrame.union, [against(i) for i in range(0, len(ids), PLAN_BLOCKS)])
+    return rows.groupBy("pair", "run").agg(F.flatten(F.collect_list("partners")).alias("partners"))  # TILE partners at most
