@@ -72,14 +72,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from at most MAX_ROWS labelled rows outside the held-out fold (the smallest hashes).
 
     Ids with several labels take the smallest; labels that are null don't count.
+    Both classes have half of the sample where there are enough of both; the
+    bias is then set back to the classes' true shares.
     """
     n, out = held
     lab = labels.select(labels[id_col].alias("__lid"), labels[label_col].cast("int").alias("y")).where(F.col("y").isNotNull() & (fold_of("__lid", n) != out)).groupBy("__lid").agg(F.min("y").alias("y"))
-    # both classes have a share of the sample even where one is rare
-    top = [lab.where(F.col("y") == k).orderBy(F.xxhash64("__lid")).limit(MAX_ROWS // 2) for k in (0, 1)]
+    top = [lab.where(F.col("y") == k).orderBy(F.xxhash64("__lid"), "__lid").limit(MAX_ROWS // 2) for k in (0, 1)]
     top = F.broadcast(top[0].unionByName(top[1]))  # MAX_ROWS ids at most
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return train_ftrl(sample(own.join(top, own.doc_id == top["__lid"]).select("doc_id", "text", "y"), MAX_ROWS, ngram_features(bits), bits, MAX_FEATURES), bits)
+    rows = sample(own.join(top, own.doc_id == top["__lid"]).select("doc_id", "text", "y"), MAX_ROWS, ngram_features(bits), bits, MAX_FEATURES)
+    share = lab.where("y in (0, 1)").agg(F.avg("y")).collect()[0][0]
+    return shifted(train_ftrl(rows, bits), [y for y, *_ in rows], share)
+
+
+def shifted(model: Model, labels: list[int], share: float | None) -> Model:
+    """The model with its bias moved from the sample's share of 1 to the true one."""
+    odds = lambda p: float(np.log(p / (1 - p)))
+    seen = float(np.mean(labels)) if labels else 0.0
+    if share is None or not 0 < seen < 1 or not 0 < share < 1:
+        return model
+    return Model(model.weights, model.bias + odds(share) - odds(seen))
 
 
 def report(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held: tuple[int, int] = (3, 1), bits: int = BITS) -> DataFrame:

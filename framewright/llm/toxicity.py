@@ -6,6 +6,11 @@ prior * R(positive as 1) + max(0, R(unlabelled as 0) - prior * R(positive as 0))
 Where the second part goes below nought, its gradient is turned around, as in
 the published method. Several classifiers see different parts of the unlabelled
 sample; as they are linear, their mean is one weight vector.
+
+Both samples are bounded and drawn from the rows of the label table: the texts
+marked toxic, and all of its texts as unlabelled ones, their marks unread. The
+class prior is over all of its rows, so it is the prior of the unlabelled
+sample. Scores are of all documents.
 """
 
 from __future__ import annotations
@@ -21,13 +26,16 @@ from framewright.llm.features import distinct, sample, score, segment_sum, sigmo
 from framewright.llm.textbytes import Powers
 
 BITS = 20
-#: Bounds of the training sample: confirmed toxic texts, unlabelled texts, distinct features of each kind.
+#: Bounds of the training sample, all from labelled rows: confirmed toxic texts, texts taken as unlabelled, distinct features of each kind.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 1500, 6000, 6_000_000
 CLASSIFIERS = 3
+#: Unlabelled texts that a classifier needs; a smaller sample is shared by fewer of them.
+LEAST_UNLABELLED = 1000
 #: Occurrences that a training step handles at once.
 CHUNK = 1 << 20
-#: Features seen in fewer sampled texts have no weight.
-LEAST_TEXTS = 8
+#: Features seen in fewer sampled texts have no weight: a share of the texts, within bounds; the penalty is larger for small samples.
+LEAST_SHARE, LEAST_TEXTS = 400, (3, 8)
+L1, SMALL_L1 = 2e-4, 1e-3
 
 
 @dataclass
@@ -41,9 +49,12 @@ class Model:
         return sigmoid(self.bias + segment_sum(self.weights[feats], bounds))
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, steps: int = 120, rate: float = 0.12, l1: float = 2e-4, beta: float = 0.0, least: int = LEAST_TEXTS) -> Model:
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, steps: int = 120, rate: float = 0.12, l1: float | None = None, beta: float = 0.0, least: int | None = None) -> Model:
     """Full-batch proximal Adam on the non-negative risk with the logistic loss."""
     size = 1 << bits
+    n_texts = len(positive) + len(unlabelled)
+    least = least or min(max(n_texts // LEAST_SHARE, LEAST_TEXTS[0]), LEAST_TEXTS[1])
+    l1 = l1 or (L1 if n_texts >= LEAST_UNLABELLED else SMALL_L1)
     if not positive or not unlabelled:
         return Model(np.zeros(size, dtype=np.float32), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))) if unlabelled else 0.0)
     texts = [*positive, *unlabelled]
@@ -95,23 +106,25 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held: tuple[int, int] = (5, 0), bits: int = BITS) -> Model:
     """A model from rows outside the held-out fold.
 
-    Confirmed toxic texts are those with label 1; all texts outside the fold
+    Confirmed toxic texts are those with label 1; all texts that the table labels
     serve as unlabelled, whatever their labels. The class prior is the share of
     1 among the labels. Ids labelled twice count as toxic if one label says so.
     Without positives every text gets the prior.
     """
     n, out = held
-    lab = labels.select(labels[id_col].alias("__lid"), labels[label_col].cast("int").alias("y")).where(F.col("y").isNotNull() & (fold_of("__lid", n) != out)).groupBy("__lid").agg(F.max("y").alias("y"))
+    lab = labels.select(labels[id_col].alias("__lid"), labels[label_col].cast("int").alias("y")).where(F.col("__lid").isNotNull() & F.col("y").isNotNull() & (fold_of("__lid", n) != out)).groupBy("__lid").agg(F.max("y").alias("y"))
     share = lab.agg(F.avg("y")).collect()[0][0]
     prior = min(max(share if share is not None else 0.0, 1e-3), 0.5)
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where(fold_of("doc_id", n) != out)
-    # the bound on the sample bounds the ids too
-    top = lab.where("y = 1").orderBy(F.xxhash64("__lid")).limit(MAX_POSITIVE)
     extract = word_features(bits)
-    features = lambda d, most: [f for _, f, _ in sample(d, most, extract, bits, MAX_FEATURES)]
-    pos = features(own.join(F.broadcast(top), own.doc_id == top["__lid"]).select("doc_id", "text", "y"), MAX_POSITIVE)
-    unl = features(own.withColumn("y", F.lit(0)), MAX_UNLABELLED)
-    return average([train_nnpu(pos, unl[k::CLASSIFIERS] or unl, prior, bits) for k in range(CLASSIFIERS)])
+
+    def features(of: DataFrame, most: int) -> list[np.ndarray]:
+        top = F.broadcast(of.orderBy(F.xxhash64("__lid"), "__lid").limit(most))  # the bound on the sample bounds the ids
+        return [f for _, f, _ in sample(own.join(top, own.doc_id == top["__lid"]).select("doc_id", "text", F.lit(1).alias("y")), most, extract, bits, MAX_FEATURES)]
+
+    pos, unl = features(lab.where("y = 1"), MAX_POSITIVE), features(lab.drop("y"), MAX_UNLABELLED)
+    k = max(1, min(CLASSIFIERS, len(unl) // LEAST_UNLABELLED))
+    return average([train_nnpu(pos, unl[i::k], prior, bits) for i in range(k)])
 
 
 def average(models: list[Model]) -> Model:

@@ -27,6 +27,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert acc > 0.9 and auc > 0.8
 
 
+def test_toxicity_with_few_confirmed_texts(spark):
+    """At sf0.01 there are 45 confirmed toxic texts; no clean one is rejected for it."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    got = toxicity.report(docs, toxicity.fit(docs, labels))
+    acc, auc = accuracy(got, labels, "toxic")
+    assert acc > 0.9 and auc > 0.9
+    assert got.join(labels.where("toxic = 0"), "doc_id").where("predicted = 1").count() <= 3
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.report(docs, quality.fit(docs, labels))
@@ -53,6 +62,96 @@ def test_nnpu_finds_what_marks_the_positives():
     assert model.weights[2000:2005].min() > 0.5 and np.abs(model.weights[:1000]).mean() < 0.3
 
 
+def plain_nnpu(positive, unlabelled, prior, size, steps, rate, l1, least):
+    """The same training over a dense matrix, one text and one feature at a time."""
+    texts = [*positive, *unlabelled]
+    x = np.zeros((len(texts), size))
+    for i, t in enumerate(texts):
+        for f in t:
+            x[i, f] = 1
+    x[:, x.sum(axis=0) < least] = 0
+    n_p, n_u = len(positive), len(unlabelled)
+    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    for step in range(1, steps + 1):
+        g = np.zeros(size + 1)
+        losses, slopes = [], []
+        for i in range(len(texts)):
+            z = w[-1] + sum(w[f] for f in range(size) if x[i, f])
+            p = 1 / (1 + np.exp(-z))
+            losses.append(np.log1p(np.exp(z)))
+            slopes.append((p - 1, p))
+        unsure = np.mean(losses[n_p:]) - prior * np.mean(losses[:n_p])
+        for i in range(len(texts)):
+            row = np.append(x[i], 1)
+            part = -prior / n_p * slopes[i][1] if i < n_p else slopes[i][1] / n_u
+            if unsure >= 0:
+                g += row * (part + (prior / n_p * slopes[i][0] if i < n_p else 0))
+            else:
+                g -= row * part
+        for f in range(size + 1):
+            m[f] += 0.1 * (g[f] - m[f])
+            v[f] += 0.001 * (g[f] ** 2 - v[f])
+            scale = rate / (np.sqrt(v[f] / (1 - 0.999**step)) + 1e-6)
+            w[f] -= scale * m[f] / (1 - 0.9**step)
+            if f < size:
+                w[f] = np.sign(w[f]) * max(abs(w[f]) - l1 * scale, 0)
+    return w[:-1], w[-1]
+
+
+def test_nnpu_against_a_plain_implementation():
+    r = random.Random(4)
+    text = lambda bad: np.unique(np.array([r.randrange(24) for _ in range(6)] + [24 + r.randrange(4)] * bad))
+    pos, unl = [text(True) for _ in range(8)], [text(i % 5 == 0) for i in range(30)]
+    got = toxicity.train_nnpu(pos, unl, 0.2, bits=5, steps=15, rate=0.1, l1=1e-3, least=2)
+    weights, bias = plain_nnpu(pos, unl, 0.2, 32, 15, 0.1, 1e-3, 2)
+    assert np.allclose(got.weights, weights, atol=1e-5) and abs(got.bias - bias) < 1e-6
+    b, f, c = np.array([0, len(pos[0])]), pos[0], np.ones(len(pos[0]))
+    assert np.allclose(got.probability(b, f, c), 1 / (1 + np.exp(-bias - sum(weights[i] for i in f))), atol=1e-5)
+
+
+def test_ftrl_against_a_plain_implementation():
+    r = random.Random(5)
+    rows = [(i % 2, np.array(sorted(r.sample(range(32), 5))), np.array([r.randint(1, 4) for _ in range(5)])) for i in range(40)]
+    alpha, beta, l1, l2, size = 0.5, 1.0, 0.02, 0.2, 32
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        if abs(z[i]) <= l1 and i < size:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for y, f, c in rows:
+            x = {int(i): 1 + np.log(k) for i, k in zip(f, c)}
+            norm = sum(v * v for v in x.values()) ** 0.5
+            x = {i: v / norm for i, v in x.items()} | {size: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    got = quality.train_ftrl(rows, bits=5)
+    assert np.allclose(got.weights, [weight(i) for i in range(size)], atol=1e-6) and abs(got.bias - weight(size)) < 1e-9
+    moved = quality.shifted(got, [y for y, *_ in rows], 0.9)
+    assert abs(moved.bias - got.bias - np.log(9)) < 1e-9 and quality.shifted(got, [1, 1], 0.9) is got and quality.shifted(got, [], None) is got
+
+
+def test_ties_repeated_labels_and_filters(spark):
+    docs = spark.createDataFrame([(i, f"{'good fine' if i % 2 else 'BAD!!! junk###'} text {i % 7}", i) for i in range(60)] + [(60, None, 1), (60, None, 1)], "doc_id long, text string, predicted int")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(60)] * 2 + [(1, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    good = quality.keep_good(docs, quality.fit(docs, labels))
+    assert good.columns == docs.columns
+    kept = {r.doc_id for r in good.collect()} - {60}
+    assert len([i for i in kept if i % 2]) >= 29 and len([i for i in kept if i % 2 == 0]) <= 1
+    assert quality.keep_good(docs.limit(0), quality.fit(docs, labels)).count() == 0
+    half = quality.Model(np.zeros(1 << quality.BITS, dtype=np.float32), 0.0)  # every score is 0.5
+    assert {(r.score, r.predicted) for r in quality.report(docs, half).collect()} == {(0.5, 1)} and quality.keep_good(docs, half).count() == 62
+    even = toxicity.Model(np.zeros(1 << toxicity.BITS, dtype=np.float32), 0.0)
+    assert {(r.score, r.predicted) for r in toxicity.report(docs, even).collect()} == {(0.5, 1)} and toxicity.drop_toxic(docs, even).count() == 0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontaminate", "pii", "bpe"]
