@@ -32,9 +32,9 @@ from framewright.llm.textbytes import NON_SPACE, Powers, buffer_of, counts_by_do
 from framewright.session import settle, shuffle_partitions
 
 #: Bytes of filters and counts that one broadcast holds, and of training text that a slice stands for.
-SEGMENT_BYTES, SLICE_BYTES = 64 << 20, 8 << 20
+SEGMENT_BYTES, SLICE_BYTES = 48 << 20, 8 << 20
 #: Bytes of text that are probed in one go: with one segment, and with several that are loaded for each chunk.
-CHUNK, LARGE_CHUNK = 4 << 20, 24 << 20
+CHUNK, LARGE_CHUNK = 2 << 20, 6 << 20
 BITS_PER_ENTRY, PROBES, BASE = 10, 5, 1.5
 #: Entries that a task sums up before it sends or keeps them, and tokens, so that their counts fit into 32 bits.
 PENDING, PENDING_TOKENS = 1_500_000, 1 << 31
@@ -121,8 +121,11 @@ class Segment:
         s = _slice_of(keys, self.slices)
         return (s >= self.lo) & (s < self.hi)
 
-    def quantised(self, keys: np.ndarray) -> np.ndarray:
+    def quantised(self, keys: np.ndarray, lot: int = 1 << 17) -> np.ndarray:
         """Repeated membership probes: 1, 2, .. until the first miss."""
+        return np.concatenate([self._probe(keys[i : i + lot]) for i in range(0, len(keys), lot)] or [np.zeros(0, dtype=np.uint8)])
+
+    def _probe(self, keys: np.ndarray) -> np.ndarray:
         q = np.zeros(len(keys), dtype=np.uint8)
         s = _slice_of(keys, self.slices) - self.lo
         start, size = self.start[s], self.size[s]
