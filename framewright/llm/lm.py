@@ -32,7 +32,9 @@ from framewright.llm.textbytes import NON_SPACE, Powers, buffer_of, counts_by_do
 from framewright.session import settle, shuffle_partitions
 
 #: Bytes of filters and counts that one broadcast holds, and of training text that a slice stands for.
-SEGMENT_BYTES, SLICE_BYTES = 48 << 20, 8 << 20
+SEGMENT_BYTES, SLICE_BYTES = 48 << 20, 4 << 20
+#: Tasks that gather slices at most; beyond it a task gathers several, one after the other.
+MOST_TASKS = 20_000
 #: Bytes of text that are probed in one go: with one segment, and with several that are loaded for each chunk.
 CHUNK, LARGE_CHUNK = 2 << 20, 6 << 20
 BITS_PER_ENTRY, PROBES, BASE = 10, 5, 1.5
@@ -210,7 +212,7 @@ def count_slices(train: DataFrame, text_col: str, slices: int) -> DataFrame:
         if at is not None:
             yield done()
 
-    n = shuffle_partitions(train.sparkSession)
+    n = max(shuffle_partitions(train.sparkSession), min(slices, MOST_TASKS))
     dealt = own.mapInArrow(tally, "slice int, kind int, keys binary, counts binary").repartition(n, "slice").sortWithinPartitions("slice", "kind")
     return dealt.mapInArrow(gather, "slice int, n long, v long, keys binary, counts binary, filter binary")
 
