@@ -61,12 +61,17 @@ def best_only(iou: np.ndarray, threshold: float) -> np.ndarray:
     return hit
 
 
+def by_score(g: pd.DataFrame, ties: list[str]) -> pd.DataFrame:
+    """Rows by falling score; of equal ones the smaller place first."""
+    return g.sort_values(["score", *ties], ascending=[False] + [True] * len(ties), kind="stable")
+
+
 def matched_segments(truth: DataFrame, guess: DataFrame, thresholds: tuple[float, ...] = TIOU_GRID) -> DataFrame:
     """(label, video, score, ord, threshold, hit) of guesses (label, video, s, e, score); truth: (label, video, s, e)."""
     kinds = dict(guess.dtypes)
 
     def match(key, g: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("score", ascending=False, kind="stable")
+        g, t = by_score(g, ["s", "e"]), t.sort_values(["s", "e"])
         iou = segment_iou(g[["s", "e"]].to_numpy(float), t[["s", "e"]].to_numpy(float))
         parts = [pd.DataFrame({"label": g["label"], "video": g["video"], "score": g["score"], "ord": np.arange(len(g)), "threshold": th, "hit": first_free(iou, th) if len(t) else np.zeros(len(g), dtype=bool)}) for th in thresholds]
         return pd.concat(parts)
@@ -142,19 +147,23 @@ def proposal_summary(r: DataFrame) -> DataFrame:
 
 
 def matched_boxes(truth: DataFrame, guess: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(label, video, frame, score, ord, hit): only the best truth of a detection counts. Boxes are x1, y1, x2, y2."""
-    kinds = dict(guess.dtypes)
-    xy = ["x1", "y1", "x2", "y2"]
+    """(label, video, frame, score, ord, hit): only the best truth of a detection counts, and for one detection. Boxes are x1, y1, x2, y2.
 
-    def match(key, g: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("score", ascending=False, kind="stable")
-        iou = box_iou(g[xy].to_numpy(float), t[xy].to_numpy(float))
-        return pd.DataFrame({"label": g["label"], "video": g["video"], "frame": g["frame"], "score": g["score"], "ord": np.arange(len(g)), "hit": best_only(iou, threshold)})
-
-    cols = ["label", "video", "frame"]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", score double, ord long, hit boolean"
-    num = [F.col(c).cast("double") for c in xy]
-    return guess.select(*cols, *num, F.col("score").cast("double")).groupBy(*cols).cogroup(_fresh(truth.select(*cols, *num)).groupBy(*cols)).applyInPandas(match, schema)
+    Both sides are dealt by frame once; ranks, the join and the groups follow that.
+    """
+    cols, xy = ["label", "video", "frame"], ["x1", "y1", "x2", "y2"]
+    num = [F.col(c).cast("double").alias(c) for c in xy]
+    frame = Window.partitionBy(*cols)
+    g = guess.select(*cols, *num, F.col("score").cast("double").alias("score")).withColumn("ord", F.row_number().over(frame.orderBy(F.desc("score"), *xy)).cast("long") - 1)
+    t = _fresh(truth).select(*cols, *[c.alias(f"t{n}") for c, n in zip(num, xy)])
+    t = t.withColumn("j", F.row_number().over(frame.orderBy(*[f"t{c}" for c in xy])))
+    side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(hi, f"t{hi}") - F.greatest(lo, f"t{lo}"))
+    inter = side("x1", "x2") * side("y1", "y2")
+    union = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("tx2") - F.col("tx1")) * (F.col("ty2") - F.col("ty1")) - inter
+    pairs = g.join(t, cols).select(*cols, "ord", "j", F.when(union > 0, inter / union).otherwise(0.0).alias("iou"))
+    best = pairs.groupBy(*cols, "ord").agg(F.max(F.struct("iou", (-F.col("j")).alias("place"))).alias("b")).select(*cols, "ord", F.col("b.iou").alias("iou"), F.col("b.place").alias("j"))
+    won = best.where(F.col("iou") >= threshold).groupBy(*cols, "j").agg(F.min("ord").alias("ord")).select(*cols, "ord", F.lit(True).alias("hit"))
+    return g.select(*cols, "score", "ord").join(won, [*cols, "ord"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def frame_average_precision(truth: DataFrame, guess: DataFrame, threshold: float = 0.5, unscored: tuple = UNSCORED) -> DataFrame:
@@ -292,7 +301,8 @@ def matched_tubes(truth: DataFrame, guess: DataFrame, thresholds: tuple[float, .
     kinds = dict(guess.dtypes)
 
     def match(key, g: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("score", ascending=False, kind="stable")
+        g, t = (x.assign(at=[r[0]["frame"] for r in x["tube"]], n=[len(r) for r in x["tube"]]) for x in (g, t))
+        g, t = by_score(g, ["at", "n"]), t.sort_values(["at", "n"])
         own = [_rows(x) for x in t["tube"]]
         iou = np.array([[tube_iou(b, _rows(x)) for b in own] for x in g["tube"]], dtype=float).reshape(len(g), len(own))
         return pd.concat([pd.DataFrame({"label": g["label"], "video": g["video"], "score": g["score"], "ord": np.arange(len(g)), "threshold": th, "hit": best_only(iou, th)}) for th in thresholds])

@@ -10,14 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.session import settle
+
 BUCKETS = 64
+#: Keys whose cuts are broadcast after they were counted, so that a hot key's rows stay where they are.
+BROADCAST_KEYS = 20_000
 
 
 def bucketed(df: DataFrame, keys: list[str], score: str, buckets: int = BUCKETS) -> DataFrame:
     """df with __b: 0 for the highest scores; equal scores of a key share a bucket."""
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(F.col(score).cast("double"), shares, 1000).alias("__cuts"))
-    j = df.join(cuts, keys) if keys else df.join(F.broadcast(cuts))  # one row without keys
+    if keys:
+        cuts = settle(cuts)
+        j = df.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_KEYS else cuts, keys)
+    else:
+        j = df.join(F.broadcast(cuts))  # one row
     return j.withColumn("__b", (buckets - F.size(F.filter("__cuts", lambda c: c < F.col(score)))).cast("int")).drop("__cuts")
 
 

@@ -100,11 +100,11 @@ def optimal_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("multi_target_metrics")
 def multi_target_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """A user's tubes against those of the next user."""
+    """A user's tubes against all of the next user's."""
     t = user_tubes(spark, sf).withColumn("k", F.map_keys("tube"))
     one = F.struct(F.col("event_type").alias("description"), F.array_min("k").alias("s"), F.array_max("k").alias("e"), F.col("tube").alias("boxes"))
-    u = t.withColumn("t", one).groupBy("user_id").agg(F.collect_list("t").alias("gt"))
-    pred = u.select((F.col("user_id") - 1).alias("user_id"), F.slice("gt", 1, 2).alias("pred"))
+    u = t.withColumn("t", one).groupBy("user_id").agg(F.collect_list("t").alias("gt")).withColumn("gt", F.array_sort("gt", lambda a, b: F.when(a["description"] < b["description"], -1).when(a["description"] > b["description"], 1).otherwise(0)))
+    pred = u.select((F.col("user_id") - 1).alias("user_id"), F.col("gt").alias("pred"))
     return tubes.score(u.join(pred, "user_id")).select("user_id", *[r6(F.col(f"`{c}`")).alias(c) for c in ("m_tIoU", "m_vIoU", "vIoU@0.3", "vIoU@0.5")], "match_count", "gt_count", "pred_count")
 
 
@@ -156,19 +156,19 @@ def interpolated_ap(spark: SparkSession, sf: str) -> DataFrame:
     return curves.interpolated_average_precision(s, ["lang"], "score", "hit", n, "n", ["doc_id"]).where("ap is not null").withColumn("ap", r6(F.col("ap")))
 
 
-@query("topk_accuracy", "WITH e AS (SELECT label, embedding[1:10] AS s FROM embeddings), r AS (SELECT len(list_filter(s, lambda x: x > s[label + 1])) + len(list_filter(list_zip(s, range(10)), lambda z: z[1] = s[label + 1] AND z[2] > label)) + 1 AS r FROM e) SELECT round(avg((r <= 1)::INT), 6) AS top1, round(avg((r <= 5)::INT), 6) AS top5 FROM r")
+@query("topk_accuracy", "WITH e AS (SELECT label, embedding AS s FROM embeddings), r AS (SELECT len(list_filter(s, lambda x: x > s[label + 1])) + len(list_filter(list_zip(s, range(len(s))), lambda z: z[1] = s[label + 1] AND z[2] > label)) + 1 AS r FROM e) SELECT round(avg((r <= 1)::INT), 6) AS top1, round(avg((r <= 5)::INT), 6) AS top5 FROM r")
 def topk_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 10).alias("s"))
+    e = table(spark, sf, "embeddings").select("label", F.col("embedding").alias("s"))
     return classify.top_k_accuracy(e, "s", "label").select(r6(F.col("top1")).alias("top1"), r6(F.col("top5")).alias("top5"))
 
 
-_MANY = "WITH e AS (SELECT vec_id, embedding AS v, label FROM embeddings), x AS (SELECT vec_id, unnest(v[1:10])::DOUBLE AS s, unnest(range(10)) AS k, label FROM e), h AS (SELECT *, k = label OR k = (label + 3) % 10 AS hit FROM x)"
+_MANY = "WITH e AS (SELECT vec_id, embedding AS v, label FROM embeddings), x AS (SELECT vec_id, unnest(v)::DOUBLE AS s, unnest(range(len(v))) AS k, label FROM e), h AS (SELECT *, k = label OR k = (label + 3) % 10 AS hit FROM x)"
 
 
 def _many(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    y = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: ((k == F.col("label")) | (k == F.pmod(F.col("label") + 3, F.lit(10)))).cast("int"))
-    return e.select("vec_id", F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double")).alias("s"), y.alias("y"))
+    y = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda k: ((k == F.col("label")) | (k == F.pmod(F.col("label") + 3, F.lit(10)))).cast("int"))
+    return e.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("s"), y.alias("y"))
 
 
 @query("mean_average_precision", _MANY + """, g AS (SELECT k, s, sum(hit::INT) AS tp, count(*) AS n FROM h GROUP BY ALL), c AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY k) AS total FROM g WINDOW w AS (PARTITION BY k ORDER BY s DESC)), a AS (SELECT k, sum(tp / total * ctp / cn) AS ap FROM c WHERE total > 0 GROUP BY 1) SELECT round(avg(ap), 6) AS map FROM a""")
@@ -230,13 +230,30 @@ def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.recall_at(o, "g", "t", (1, 5)).select(*[r6(F.col(f"`R@{k}`")).alias(f"R@{k}") for k in (1, 5)])
 
 
-@query("segment_ap", f"""WITH {SPANS}, t AS (SELECT event_type AS label, user_id // 10 AS video, s, e + 1 AS e FROM sp WHERE user_id % 2 = 0), n AS (SELECT label, count(*) AS n FROM t GROUP BY 1) SELECT label, n, 10 AS rows_ FROM n""")
+def _ap_sql(keys: str, order: str, totals: str) -> str:
+    """Interpolated average precision of m(keys, score, hit) over the truths in totals(keys, n)."""
+    return f"""r AS (SELECT *, row_number() OVER w AS rk, sum(hit::INT) OVER w AS tp FROM m WINDOW w AS (PARTITION BY {keys} ORDER BY score DESC, {order} ROWS UNBOUNDED PRECEDING)),
+peak AS (SELECT {keys}, max(tp / rk) OVER (PARTITION BY {keys} ORDER BY rk DESC) AS best FROM r WHERE hit), a AS (SELECT {keys}, sum(best) AS total FROM peak GROUP BY {keys}),
+ap AS (SELECT {keys}, coalesce(total, 0) / n AS ap FROM {totals} LEFT JOIN a USING ({keys}) WHERE n > 0)"""
+
+
+_SEGMENTS = SPANS + """, x AS (SELECT event_type AS label, user_id // 10 AS video, user_id, s, e + 1 AS e FROM sp), t AS (SELECT label, video, s, e, row_number() OVER (PARTITION BY label, video ORDER BY s, e) AS j FROM x WHERE user_id % 2 = 0),
+g AS (SELECT label, video, s, e, ((s * 37 + user_id * 11) % 101) / 101.0 AS score FROM x WHERE user_id % 2 <> 0), o AS (SELECT *, row_number() OVER (PARTITION BY label, video ORDER BY score DESC, s, e) - 1 AS ord FROM g)"""
+
+
+def _greedy_sql(thresholds: str) -> str:
+    """m: every guess takes the best truth that is still free, one guess after the other."""
+    return f"""WITH RECURSIVE {_SEGMENTS}, i AS (SELECT o.label, o.video, ord, j, greatest(0, least(o.e, t.e) - greatest(o.s, t.s)) AS i, o.e - o.s + t.e - t.s AS both_ FROM o JOIN t USING (label, video)),
+h AS (SELECT unnest({thresholds})::DOUBLE AS threshold), c AS (SELECT o.label, o.video, o.ord, o.score, threshold, list(j ORDER BY i / (both_ - i) DESC, j DESC) FILTER (i / (both_ - i) >= threshold) AS js FROM o CROSS JOIN h LEFT JOIN i ON i.label = o.label AND i.video = o.video AND i.ord = o.ord GROUP BY ALL),
+fold AS (SELECT label, video, threshold, -1::BIGINT AS ord, NULL::DOUBLE AS score, NULL::BIGINT AS pick, []::BIGINT[] AS used FROM (SELECT DISTINCT label, video, threshold FROM c)
+UNION ALL SELECT label, video, threshold, ord, score, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END FROM (SELECT c.*, fold.used, list_filter(coalesce(c.js, []), lambda j: NOT list_contains(fold.used, j))[1] AS pick FROM fold JOIN c ON c.label = fold.label AND c.video = fold.video AND c.threshold = fold.threshold AND c.ord = fold.ord + 1)),
+m AS (SELECT label, video, score, ord, threshold, pick IS NOT NULL AS hit FROM fold WHERE ord >= 0)"""
+
+
+@query("segment_ap", _greedy_sql("[0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]") + ", n AS (SELECT label, threshold, n FROM (SELECT label, count(*) AS n FROM t GROUP BY 1) CROSS JOIN h), " + _ap_sql("label, threshold", "video, ord", "n") + " SELECT label, threshold, round(ap, 6) AS ap FROM ap")
 def segment_ap(spark: SparkSession, sf: str) -> DataFrame:
-    """Truths and thresholds of each class of a detection task; values are held against brute force in the tests."""
-    t, g = _segments(spark, sf)
-    ap = detect.segment_average_precision(t, g)
-    n = t.groupBy("label").agg(F.count("*").alias("n"))
-    return ap.groupBy("label").agg(F.count("*").cast("int").alias("rows_")).join(n, "label")
+    """Average precision of each class at every threshold."""
+    return detect.segment_average_precision(*_segments(spark, sf)).withColumn("ap", r6(F.col("ap")))
 
 
 def _segments(spark: SparkSession, sf: str):
@@ -246,9 +263,9 @@ def _segments(spark: SparkSession, sf: str):
     return x.where(even).drop("user_id"), g
 
 
-@query("matched_segments")
+@query("matched_segments", _greedy_sql("[0.3, 0.5]") + " SELECT label, video, round(score, 6) AS score, ord, threshold, hit FROM m")
 def matched_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.matched_segments(*_segments(spark, sf), (0.3, 0.5))
+    return detect.matched_segments(*_segments(spark, sf), (0.3, 0.5)).withColumn("score", r6(F.col("score")))
 
 
 @query("proposal_recall")
@@ -262,18 +279,31 @@ def _frame_boxes(spark: SparkSession, sf: str):
     return b.where("l_linenumber <= 3").drop("l_linenumber"), b.where("l_linenumber > 3").withColumn("score", F.col("x1") / 51).drop("l_linenumber")
 
 
-@query("frame_ap")
+_FRAME_BOXES = f"""WITH b AS (SELECT l_partkey % 5 AS label, l_suppkey AS video, l_orderkey % 50 AS frame, l_linenumber, {_BOX} FROM lineitem), t AS (SELECT label, video, frame, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, row_number() OVER (PARTITION BY label, video, frame ORDER BY x1, y1, x2, y2) AS j FROM b WHERE l_linenumber <= 3),
+g AS (SELECT label, video, frame, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, x1 / 51 AS score FROM b WHERE l_linenumber > 3), o AS (SELECT *, row_number() OVER (PARTITION BY label, video, frame ORDER BY score DESC, x1, y1, x2, y2) - 1 AS ord FROM g)"""
+_BEST_BOX = """, i AS (SELECT o.label, o.video, o.frame, ord, j, greatest(0, least(o.x2, t.x2) - greatest(o.x1, t.x1)) * greatest(0, least(o.y2, t.y2) - greatest(o.y1, t.y1)) AS i, (o.x2 - o.x1) * (o.y2 - o.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS both_ FROM o JOIN t USING (label, video, frame)),
+k AS (SELECT label, video, frame, ord, i / (both_ - i) AS iou, j FROM i QUALIFY row_number() OVER (PARTITION BY label, video, frame, ord ORDER BY i / (both_ - i) DESC, j) = 1), f AS (SELECT label, video, frame, min(ord) AS ord, true AS hit FROM k WHERE iou >= 0.5 GROUP BY label, video, frame, j),
+m AS (SELECT label, video, frame, ord, score, coalesce(hit, false) AS hit FROM o LEFT JOIN f USING (label, video, frame, ord))"""
+
+
+@query("frame_ap", _FRAME_BOXES + _BEST_BOX + ", n AS (SELECT label, count(*) AS n FROM t GROUP BY 1), " + _ap_sql("label", "video, frame, ord", "n") + " SELECT label, round(ap, 6) AS ap FROM ap")
 def frame_ap(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.frame_average_precision(*_frame_boxes(spark, sf))
+    return detect.frame_average_precision(*_frame_boxes(spark, sf)).withColumn("ap", r6(F.col("ap")))
 
 
-@query("action_evaluation")
+@query("action_evaluation", _FRAME_BOXES.replace("), o AS", "), g0 AS (SELECT * FROM g WHERE (video, frame) IN (SELECT (video, frame) FROM t)), o AS").replace("AS ord FROM g)", "AS ord FROM g0)") + _BEST_BOX + ", n AS (SELECT label, count(*) AS n FROM t WHERE label IN (SELECT label FROM g0) GROUP BY 1), " + _ap_sql("label", "video, frame, ord", "n") + """
+SELECT "group", round(avg(ap), 6) AS map FROM (SELECT ap, unnest(['overall', CASE WHEN label <= 14 THEN 'person_movement' WHEN label < 64 THEN 'object_manipulation' ELSE 'person_interaction' END]) AS "group" FROM ap) GROUP BY 1""")
 def action_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     t, g = _frame_boxes(spark, sf)
-    return detect.evaluate_actions(t, g, t.select("label").distinct().withColumn("name", F.col("label").cast("string")))
+    return detect.evaluate_actions(t, g, t.select("label").distinct().withColumn("name", F.col("label").cast("string"))).withColumn("map", r6(F.col("map")))
 
 
-@query("video_ap")
+#: Boxes of equal frames are equal here, so a tube's overlap is that of its frames.
+@query("video_ap", f"""WITH {_SEGMENTS.replace("ORDER BY s, e) AS j", "ORDER BY s, e - s) AS j").replace("score DESC, s, e)", "score DESC, s, e - s)")}, h AS (SELECT unnest(range(1, 20)) / 20.0 AS threshold), i AS (SELECT o.label, o.video, ord, j, least(o.e, t.e) - 1 - greatest(o.s, t.s) AS shared, greatest(o.e, t.e) - 1 - least(o.s, t.s) AS whole_ FROM o JOIN t USING (label, video)),
+v AS (SELECT label, video, ord, j, CASE WHEN shared < 0 THEN 0 WHEN whole_ = 0 THEN 1 ELSE shared / whole_ END AS iou FROM i), k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label, video, ord ORDER BY iou DESC, j) = 1),
+won AS (SELECT label, video, threshold, min(ord) AS ord, true AS hit FROM k JOIN h ON iou >= round(threshold, 2)::DOUBLE GROUP BY label, video, threshold, j), m AS (SELECT o.label, o.video, o.ord, o.score, h.threshold, coalesce(hit, false) AS hit FROM o CROSS JOIN h LEFT JOIN won ON won.label = o.label AND won.video = o.video AND won.ord = o.ord AND won.threshold = h.threshold),
+n AS (SELECT label, threshold, n FROM (SELECT label, count(*) AS n FROM t GROUP BY 1) CROSS JOIN h), {_ap_sql("label, threshold", "video, ord", "n")}, p AS (SELECT (threshold * 20)::INT AS k, avg(ap) * 100 AS m FROM ap GROUP BY threshold),
+g3 AS (SELECT '0.50:0.95' AS range, k, m FROM p WHERE k >= 10 UNION ALL SELECT '0.05:0.45', k, m FROM p WHERE k < 10 UNION ALL SELECT '0.10:0.90', k, m FROM p WHERE k % 2 = 0) SELECT range, round(avg(m), 4) AS map FROM g3 GROUP BY 1""")
 def video_ap(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of users as tubes with a drifting box."""
     t, g = _segments(spark, sf)

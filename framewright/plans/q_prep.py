@@ -31,6 +31,11 @@ def token_vocab_topk(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.vocabulary(d, "ids", "mask", 256, 60, (2, 0, 2))
 
 
+def _seeded(*parts: str) -> str:
+    """sampling.seeded in SQL."""
+    return f"CAST(('0x' || substr(md5({" || ':' || ".join(parts)}), 1, 12)) AS BIGINT)"
+
+
 def _lengths(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.floor(F.col("n_chars") / 3).alias("n"))
 
@@ -63,16 +68,21 @@ def packed_samples(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("shard", "pack", F.size("input_ids").alias("size"), F.array_max("attention_mask").alias("sequences"), F.array_max("position_ids").alias("longest"))
 
 
-@query("blend_indices")
+@query("blend_indices", """WITH RECURSIVE z AS (SELECT list(n ORDER BY source) AS sizes, sum(n)::BIGINT AS total FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)),
+r AS (SELECT -1::BIGINT AS draw, NULL::BIGINT AS k, NULL::BIGINT AS place, list_transform(sizes, lambda x: 0::BIGINT) AS taken, sizes, total FROM z
+UNION ALL SELECT draw + 1, k, taken[k], list_transform(taken, lambda t, i: t + (i = k)::BIGINT), sizes, total FROM (
+SELECT *, list_position(lag, list_max(lag)) AS k FROM (SELECT draw, taken, sizes, total, list_transform(sizes, lambda x, i: CASE WHEN taken[i] < x THEN x / total * greatest(draw + 1, 1) - taken[i] ELSE -1e300 END) AS lag FROM r WHERE draw + 1 < total)))
+SELECT draw, (k - 1)::INT AS dataset, place FROM r WHERE k IS NOT NULL""")
 def blend_indices(spark: SparkSession, sf: str) -> DataFrame:
     n = docs(spark, sf).groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()  # a row a source
     return blending.blend_table(spark, sizes=[r.n for r in n])
 
 
-@query("blend_shares", "SELECT CAST(k AS INT) AS dataset, CASE k WHEN 0 THEN 700 ELSE 300 END AS n FROM range(2) r(k)")
+@query("blend_shares", """WITH RECURSIVE r AS (SELECT -1 AS draw, NULL::INT AS k, NULL::BIGINT AS place, 0::BIGINT AS a, 0::BIGINT AS b
+UNION ALL SELECT draw + 1, k, CASE k WHEN 0 THEN a ELSE b END, a + (k = 0)::BIGINT, b + (k = 1)::BIGINT FROM (SELECT *, CASE WHEN 0.7::DOUBLE * greatest(draw + 1, 1) - a >= 0.3::DOUBLE * greatest(draw + 1, 1) - b THEN 0 ELSE 1 END AS k FROM (SELECT draw, a, b FROM r WHERE draw < 999)))
+SELECT draw::BIGINT AS draw, k AS dataset, place FROM r WHERE k IS NOT NULL""")
 def blend_shares(spark: SparkSession, sf: str) -> DataFrame:
-    t = blending.blend_table(spark, [0.7, 0.3], 1000)
-    return t.groupBy("dataset").agg(F.count("*").cast("int").alias("n"))
+    return blending.blend_table(spark, [0.7, 0.3], 1000)
 
 
 @query("document_offsets", "SELECT doc_id, (coalesce(sum(n_chars // 3) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM documents")
@@ -100,7 +110,8 @@ def split_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", name.alias("split"))
 
 
-@query("sft_rl_split")
+@query("sft_rl_split", f"""WITH d AS (SELECT doc_id, source AS s, CASE WHEN source LIKE '%a%' THEN 'a' ELSE 'b' END AS source FROM documents), o AS (SELECT *, row_number() OVER (ORDER BY {_seeded("doc_id", "'42'", "source")}, source, doc_id) - 1 AS position, count(*) OVER () AS n FROM d)
+SELECT doc_id, s, source, position, CASE WHEN position < n * 5 // 7 THEN 'sft' ELSE 'rl' END AS part FROM o""")
 def sft_rl_split(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).select("doc_id", F.col("source").alias("s"))
     return exports.mixed_split({"a": d.where("s like '%a%'"), "b": d.where("s not like '%a%'")}, 5, 2, "doc_id")
@@ -133,26 +144,28 @@ def length_grouped_order(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.length_grouped(docs(spark, sf), "doc_id", "n_chars", 8, 4, 42).select("doc_id", "replica", "chunk")
 
 
-@query("bucket_batches", """WITH b AS (SELECT lang, ceil(count(*) / 3)::BIGINT AS n FROM documents GROUP BY 1) SELECT lang, n // 8 * 8 * 3 AS rows_, n // 8 * 3 AS batches FROM b WHERE n // 8 > 0""")
+@query("bucket_batches", f"""WITH o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_seeded("doc_id", "'42'")}, doc_id) - 1 AS i FROM documents), n AS (SELECT lang, count(*) AS n, ceil(count(*) / 3)::BIGINT AS per FROM documents GROUP BY 1),
+p AS (SELECT lang, n, per, unnest(range(per * 3)) AS p FROM n)
+SELECT doc_id, lang, (p % 3)::INT AS replica, (p // 3 // 8)::INT AS batch, (p // 3 % 8)::INT AS slot FROM p JOIN o USING (lang) WHERE o.i = p % n AND p // 3 // 8 < per // 8""")
 def bucket_batches(spark: SparkSession, sf: str) -> DataFrame:
-    b = sampling.bucket_batches(docs(spark, sf).select("doc_id", "lang"), "doc_id", "lang", F.lit(8), 3, 42)
-    return b.groupBy("lang").agg(F.count("*").alias("rows_"), F.count_distinct("replica", "batch").alias("batches"))
+    return sampling.bucket_batches(docs(spark, sf).select("doc_id", "lang"), "doc_id", "lang", F.lit(8), 3, 42).drop("bucket_rank")
 
 
-@query("sample_per_source", "SELECT source, least(count(*), 20) AS n FROM documents GROUP BY 1")
+@query("sample_per_source", f"SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {_seeded('doc_id', "'42'")}, doc_id) <= 20")
 def sample_per_source(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_per_group(docs(spark, sf).select("doc_id", "source"), "source", "doc_id", 20, 42).groupBy("source").agg(F.count("*").alias("n"))
+    return sampling.sample_per_group(docs(spark, sf).select("doc_id", "source"), "source", "doc_id", 20, 42)
 
 
-@query("resumed_sampler", "SELECT (count(*) // 32 * 32 // 4 - 16)::BIGINT AS left_ FROM documents")
+@query("resumed_sampler", f"""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () // 32 * 8 AS share FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY {_seeded("doc_id", "'7'")}, doc_id) - 1 AS position FROM o WHERE i >= share AND i < 2 * share)
+SELECT doc_id, position FROM r WHERE position >= 16""")
 def resumed_sampler(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).select("doc_id")
-    return sampling.resumed(d, 64, d.count(), 8, 1, 4, 7, "doc_id").agg(F.count("*").alias("left_"))
+    return sampling.resumed(d, 64, d.count(), 8, 1, 4, 7, "doc_id")
 
 
-@query("epochs", "SELECT epoch::INT AS epoch, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi FROM documents CROSS JOIN range(3) r(epoch) GROUP BY 1")
+@query("epochs", f"SELECT row_number() OVER (ORDER BY {_seeded('doc_id', "'7'", 'epoch')}, epoch, doc_id) - 1 AS place, epoch::INT AS epoch, doc_id FROM documents CROSS JOIN range(3) r(epoch)")
 def epochs(spark: SparkSession, sf: str) -> DataFrame:
-    return blending.document_index(docs(spark, sf), "doc_id", 3, 7).groupBy("epoch").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    return blending.document_index(docs(spark, sf), "doc_id", 3, 7)
 
 
 @query("token_estimate", "SELECT page_id, (length(html) // 3 + 500 * (length(html) - length(replace(html, '<img', ''))) // 4)::BIGINT AS n FROM pages")
@@ -241,18 +254,19 @@ def label_shift(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.array_join(F.transform(s, lambda x: x.cast("string")), ",").alias("labels"))
 
 
-@query("block_causal", "SELECT event_id, (event_id % 4 + 1) * (event_id % 4 + 2) // 2 + 3 AS ones FROM events")
+@query("block_causal", """SELECT event_id, array_to_string(list_transform(range(event_id % 4 + 3), lambda i: array_to_string(list_transform(range(event_id % 4 + 3), lambda j: CASE WHEN j <= i AND (i <= event_id % 4) = (j <= event_id % 4) THEN '1' ELSE '0' END), '')), '|') AS mask FROM events""")
 def block_causal(spark: SparkSession, sf: str) -> DataFrame:
     n = (F.pmod("event_id", F.lit(4)) + 1).cast("int")
     m = arrays.block_causal_mask(F.array(n, F.lit(2)))
-    ones = F.aggregate(F.flatten(m), F.lit(0), lambda s, x: s + x)
-    return table(spark, sf, "events").select("event_id", ones.cast("long").alias("ones"))
+    row = lambda r: F.array_join(F.transform(r, lambda x: x.cast("string")), "")
+    return table(spark, sf, "events").select("event_id", F.array_join(F.transform(m, row), "|").alias("mask"))
 
 
-@query("softmax", "WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, round(exp(v[1]) / (exp(v[1]) + exp(v[2]) + exp(v[3]) + exp(v[4])), 6) AS p FROM e")
+@query("softmax", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), x AS (SELECT vec_id, list_transform(v, lambda y: exp(y - list_max(v))) AS x FROM e), p AS (SELECT vec_id, list_transform(x, lambda y: y / list_sum(x)) AS p FROM x)
+SELECT vec_id, i::INT AS i, round(p[i + 1], 6) AS p FROM p, unnest(range(len(p))) r(i)""")
 def softmax(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    return table(spark, sf, "embeddings").select("vec_id", r6(arrays.softmax(v)[0]).alias("p"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(arrays.softmax(v)).alias("i", "p")).withColumn("p", r6(F.col("p")))
 
 
 @query("corrupt_uniform")
@@ -269,7 +283,8 @@ def corrupt_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("doc_id", F.size(F.filter("noise_mask", lambda x: x)).alias("noised"), F.size("noisy_ids").alias("n"))
 
 
-@query("gumbel_top", "SELECT source, least(count(*), 5) AS n FROM documents GROUP BY 1")
+@query("gumbel_top", f"""WITH z AS (SELECT source, doc_id, ln(n_chars + 1.0) - ln(-ln(({_seeded("doc_id", "'3'", "source")} + 0.5) / 281474976710656)) AS z FROM documents)
+SELECT source, doc_id FROM z QUALIFY row_number() OVER (PARTITION BY source ORDER BY z DESC, doc_id) <= 5""")
 def gumbel_top(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).select("source", "doc_id", F.log(F.col("n_chars") + 1.0).alias("w"), F.lit(5).alias("k"))
-    return sampling.gumbel_top(d, ["source"], "doc_id", "w", "k", 3).where("chosen").groupBy("source").agg(F.count("*").alias("n"))
+    return sampling.gumbel_top(d, ["source"], "doc_id", "w", "k", 3).where("chosen").select("source", "doc_id")

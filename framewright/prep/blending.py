@@ -112,10 +112,11 @@ def split_rows(n: int, bounds: list[tuple[float, float] | None]) -> list[tuple[i
 def document_index(docs: DataFrame, doc: str, epochs: int, seed: int, separate_last: bool = False) -> DataFrame:
     """(place, epoch, doc): every document once an epoch in a seeded order over all epochs; the last may stand apart."""
     from framewright.operators.relational import ordinal
+    from framewright.prep.sampling import seeded
 
     e = docs.select(doc).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     part = (F.col("epoch") == epochs - 1).cast("int") if separate_last else F.lit(0)
-    d = e.withColumn("__part", part).withColumn("__h", F.xxhash64(doc, "epoch", F.lit(seed)))
+    d = e.withColumn("__part", part).withColumn("__h", seeded(doc, seed, F.col("epoch")))
     return ordinal(d, ["__part", "__h", "epoch", doc], "place").drop("__part", "__h")
 
 

@@ -15,8 +15,9 @@ from framewright.operators.relational import ordinal
 
 
 def seeded(key: str | Column, seed: int, *more) -> Column:
-    k = F.col(key) if isinstance(key, str) else key
-    return F.xxhash64(k, F.lit(seed), *[F.lit(m) if not isinstance(m, Column) else m for m in more])
+    """48 bits of md5 over 'key:seed:..', the same in every engine."""
+    parts = [F.col(key) if isinstance(key, str) else key, F.lit(seed), *[F.lit(m) if not isinstance(m, Column) else m for m in more]]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in parts])), 1, 12), 16, 10).cast("long")
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
@@ -106,7 +107,7 @@ def resumed(df: DataFrame, consumed: int, total: int, batch: int, replica: int,
 
 def gumbel_top(df: DataFrame, group: list[str], key: str, log_weight: str, k: str, seed: int) -> DataFrame:
     """df with `chosen`: k rows of each group drawn by weight without replacement."""
-    u = (F.pmod(seeded(key, seed, *[F.col(g) for g in group]), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    u = (seeded(key, seed, *[F.col(g) for g in group]).cast("double") + 0.5) / float(1 << 48)
     noisy = F.col(log_weight) - F.log(-F.log(u))
     w = Window.partitionBy(*group).orderBy(F.desc("__z"), key)
     return df.withColumn("__z", noisy).withColumn("chosen", F.row_number().over(w) <= F.col(k)).drop("__z")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import importlib
-import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -25,6 +27,7 @@ def local_session(cpus: int = 8, app: str = "framewright", **conf: str) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
@@ -34,12 +37,23 @@ def local_session(cpus: int = 8, app: str = "framewright", **conf: str) -> Spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() goes to spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """checkpoint() goes to spark.checkpoint.dir; a folder of our own only where that is unset and all runs in one process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     there = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(there or os.path.join(tempfile.gettempdir(), "framewright-checkpoints"))
+    if not there:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        there = tempfile.mkdtemp(prefix="framewright-")
+        atexit.register(shutil.rmtree, there, True)  # tests and benches leave nothing behind
+    sc.setCheckpointDir(there)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints. It holds results that are read lazily, so it stays until the folder's owner clears it."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df):

@@ -230,3 +230,20 @@ def test_classification(spark):
     assert len(m) == 9 and m[0, 0] == 0.5 and m[2, 0] == 1 and m[1, 0] == 0
     with pytest.raises(ValueError):
         classify.confusion_matrix(df, "t", "g", "other")
+
+
+def test_blocks_by_keys_give_what_a_broadcast_gives(spark, monkeypatch):
+    import numpy as np
+
+    from framewright.metrics import retrieve
+
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.normal(size=8)], [float(x) for x in r.normal(size=8)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, t array<double>, w array<double>")
+    t, w = (np.array([x[c] for x in rows]) for c in (1, 2))
+    t, w = (m / np.sqrt((m * m).sum(axis=1, keepdims=True)) for m in (t, w))
+    s = t @ w.T
+    want = {i: int((s[i] > s[i, i] + 1e-12).sum()) for i in range(60)}
+    for limit in (retrieve.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(retrieve.score_blocks, "__defaults__", (limit,))
+        assert {x.k: x.above for x in retrieve.ranks(df, "k", "t", "w", block=7).collect()} == want

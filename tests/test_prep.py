@@ -103,6 +103,13 @@ def test_agent_messages(spark):
     df = spark.createDataFrame([(7, json.dumps(AGENT)), (8, json.dumps([{"role": "user", "content": "x"}]))], "id long, messages string")
     p = chats.agent_positions(df, "id").collect()
     assert len(p) == 1 and json.loads(p[0].gt_tool_calls)[0] == {"name": "f", "arguments": {"x": 1}} and len(json.loads(p[0].prompt_messages)) == 1
+    # the same as share-style turns
+    who = {"user": "human", "assistant": "gpt", "tool_call": "function_call", "tool_response": "observation"}
+    turns = json.dumps([{"from": who[m["role"]], "value": m["content"]} | {k: m[k] for k in ("reasoning_content",) if k in m} for m in AGENT])
+    q = chats.agent_positions(spark.createDataFrame([(7, turns)], "id long, conversations string"), "id", None, None, "conversations").collect()
+    assert [tuple(r) for r in q] == [tuple(r) for r in p]
+    thoughts = chats.agent_messages(chats.messages_of({"conversations": turns}, chats.AGENT_ROLES), 7)
+    assert [m.get("reasoning_content") for m in thoughts if m["role"] == "assistant"] == ["hm", "ok"]
     n = {r.id: r for r in chats.normalised(spark.createDataFrame([(1, '[{"role": "assistant", "content": [{"text": "a"}, {"text": "b"}], "tool_calls": [{"function": {"name": "f", "arguments": {}}}]}]'), (2, '[{"role": "boss"}]'), (3, None), (4, "{")], "id long, messages string"), "id").collect()}
     got = json.loads(n[1].messages)[0]
     assert got["content"] == "a b" and got["tool_calls"][0]["id"] == "call_0" and "boss" in n[2].error and n[3].error and n[4].error
@@ -191,6 +198,26 @@ def test_packed_samples_query_keeps_whole_texts(spark, tmp_path):
     assert kept == sorted(x for x in texts.values() if x) and all(r.labels == [i if m else -100 for i, m in zip(r.input_ids, r.attention_mask)] for r in s)
 
 
+@pytest.mark.parametrize("name", ["pack_sequential", "pack_knapsack"])
+def test_packs_of_the_table_against_a_fold(spark, name):
+    """Shards as they come, packs by the plain rule over the whole table."""
+    sf = "/root/testdata/sf0.001"
+    got = registry.queries()[name](spark, sf).collect()
+    size = {r.doc_id: r.n_chars // 3 for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: r.length for r in got} == {i: n for i, n in size.items() if n <= 4096}
+    want = []
+    for s in {r.shard for r in got}:
+        own = [r.doc_id for r in got if r.shard == s]
+        bins = [[]]
+        for i in sorted(own) if name == "pack_sequential" else sorted(own, key=lambda i: (-size[i], i)):
+            to = bins[-1] if name == "pack_sequential" else min(bins, key=lambda b: sum(size[x] for x in b))
+            if sum(size[x] for x in to) + size[i] > 4096:
+                bins.append(to := [])
+            to.append(i)
+        want += [(i, s, k, j) for k, b in enumerate(bins) for j, i in enumerate(b)]
+    assert sorted((r.doc_id, r.shard, r.pack, r.slot) for r in got) == sorted(want)
+
+
 def test_corruption_queries_take_whole_texts(spark, tmp_path):
     texts = _documents(spark, tmp_path, [1, 31, 32, 33, 199, 200, 201, 256, 700, 0])
     at = spark.createDataFrame([(k, i, i // 32, i % 32) for k, t in texts.items() for i in range(len(t))], "doc_id long, i int, b int, j int")
