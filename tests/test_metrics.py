@@ -81,6 +81,14 @@ POINT_PROMPTS = {
 }
 
 
+def test_vqa_answers(spark):
+    from framewright.functions import text
+
+    said = {"The CANT": "can't", "dont, go": "don't go", "Whos there?": "who's there", "an apple": "apple", "Two cats": "2 cats", "somebody'd": "somebodyd", "y'allll": "y'all'll", "1,000 dogs": "1000 dogs", "let's": "let's", "twas": "'twas"}
+    for t, want in said.items():
+        assert one(spark, text.vqa_answer(F.lit(t)))[0] == want, t
+
+
 def test_answers(spark):
     ask = lambda t: one(spark, answers.temporal_span(F.lit(t)))[0]
     assert tuple(ask("3.5s to 6s")) == (7, 12) and tuple(ask("frames 9 - 4")) == (4, 9) and ask("none") is None

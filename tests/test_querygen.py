@@ -34,6 +34,19 @@ def test_exact_is_the_smallest_and_first():
     assert solved > 20
 
 
+def test_integer_program_finds_the_least_number():
+    solved = 0
+    for p in problems(range(2)):
+        want, got = solve.exact(p), solve.integer_program(p)
+        assert (got and got["objective"]) == (want and want["objective"]) and (got is None or got["status"] == "OPTIMAL" and p.feasible(got["selected_indices"]))
+        solved += got is not None
+    assert solved > 20
+    for p in problems([3]):
+        if solve.greedy(p):  # out of nodes it says so
+            assert solve.integer_program(p, nodes=0)["status"] == "FEASIBLE"
+            break
+
+
 def test_labels():
     assert [label_of(x) for x in (0.19999, 0.2, 0.6, 0.8, 1.0)] == ["very_easy", "easy", "hard", "very_hard", "very_hard"]
 
@@ -96,8 +109,10 @@ def test_solver_summary(spark):
     got = {r.solver: r for r in queries.solver_summary(df, ["c"]).collect()}
     assert got["exact"].win_rate == pytest.approx(1 / 3) and got["greedy"].mean_opt_gap == pytest.approx(0.25) and got["greedy"].approx_ratio_max == 1.5
     assert got["exact"].optimality_rate == 1 and got["exact"].success_rate == pytest.approx(2 / 3) and got["exact"].p95_time_sec == 0.3
-    cases = queries.solver_cases(spark.createDataFrame([walkers()], schemas.GRAPH), solvers=("exact", "greedy"))
+    cases = queries.solver_cases(spark.createDataFrame([walkers()], schemas.GRAPH), solvers=("exact", "ilp", "greedy"))
     assert cases.count() > 0
+    rates = {r.solver: r.proven_rate for r in queries.solver_summary(cases, ["video_path", "candidate_id", "template"]).collect()}
+    assert set(rates) == {"exact", "ilp", "greedy"} and rates["ilp"] in (1.0, None) and rates["greedy"] in (0.0, None)
 
 
 def test_tables(spark):
