@@ -39,18 +39,42 @@ def sessions(df: DataFrame, keys: list[str], frame: str, score: str, max_gap: in
     return out.select(*keys, "s", "e", "n", "mean_score", F.col("__p.p").alias("peak_score"), (-F.col("__p.f")).alias("peak_frame"))
 
 
+#: Bins that a span is dealt into at most; longer ones go into wider bins, each level so many times as wide.
+MOST_BINS, LEVELS = 64, 4
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bin_width: int, ls: str = "s", le: str = "e", rs: str = "s2", re: str = "e2") -> DataFrame:
     """Rows of both sides whose closed spans overlap, with equal keys, each pair once.
 
     Both sides are dealt into bins of frames, so the join is an equality join
     on keys and bin that spreads a hot key over its bins; a pair counts in the bin
-    of its first shared frame only. Column names must not clash but for the keys.
+    of its first shared frame only. A span of more than MOST_BINS bins has its bins
+    on a wider level; pairs meet on the wider one of their levels. Column names
+    must not clash but for the keys.
     """
-    at = lambda c: F.floor(F.col(c) / bin_width)
-    a = left.withColumn("__bin", F.explode(F.sequence(at(ls), at(le))))
-    b = right.withColumn("__bin", F.explode(F.sequence(at(rs), at(re))))
-    first = F.floor(F.greatest(ls, rs) / bin_width)
-    return a.join(b, [*keys, "__bin"]).where((F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le)) & (F.col("__bin") == first)).drop("__bin")
+    wide = lambda level: F.lit(bin_width) * F.pow(F.lit(MOST_BINS), level)
+    at = lambda c, level: F.floor(F.col(c) / wide(level)).cast("long")
+
+    def level(s: str, e: str):
+        out = F.lit(LEVELS - 1)
+        for k in range(LEVELS - 2, -1, -1):
+            out = F.when(at(e, F.lit(k)) - at(s, F.lit(k)) < MOST_BINS, k).otherwise(out)
+        return out
+
+    a, b = left.withColumn("__own", level(ls, le)), right.withColumn("__own", level(rs, re))
+    top = max(d.agg(F.coalesce(F.max("__own"), F.lit(0))).collect()[0][0] for d in (a, b))
+
+    def dealt(d: DataFrame, s: str, e: str, mine: str, other: str) -> DataFrame:
+        """A row for each level, meeting and bin: rows of one level meet, and rows of this level meet shorter ones of the other side."""
+        d = d.withColumn("__level", F.explode(F.sequence("__own", F.lit(top)))) if top else d.withColumn("__level", F.lit(0))
+        own = F.col("__level") == F.col("__own")
+        meet = F.when(own & (F.col("__level") > 0), F.array(F.lit("both"), F.lit(mine))).when(own, F.array(F.lit("both"))).otherwise(F.array(F.lit(other)))
+        d = d.withColumn("__meet", F.explode(meet)) if top else d.withColumn("__meet", F.lit("both"))
+        return d.withColumn("__bin", F.explode(F.sequence(at(s, F.col("__level")), at(e, F.col("__level"))))).drop("__own")
+
+    both = dealt(a, ls, le, "left", "right").join(dealt(b, rs, re, "right", "left"), [*keys, "__level", "__meet", "__bin"])
+    first = F.floor(F.greatest(ls, rs) / wide(F.col("__level")))
+    return both.where((F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le)) & (F.col("__bin") == first)).drop("__bin", "__level", "__meet")
 
 
 def shared_frame_pairs(frames: DataFrame, group: list[str], item: str, frame: str, least: int) -> DataFrame:

@@ -106,8 +106,9 @@ both_ AS (SELECT event_type, user_a AS user_id, s, e, c FROM c UNION ALL SELECT
 SELECT event_type, user_id, s, e, count(*) AS rivals, round(sum(c * c), 6) AS mass, round(sum(c * c) / (1 + sum(c * c)), 6) AS d_s FROM both_ GROUP BY ALL""")
 def spatial_confusability(spark: SparkSession, sf: str) -> DataFrame:
     c = span_pairs(spark, sf).join(jaccard_pairs(spark, sf), ["user_a", "user_b"]).withColumn("c", F.col("jaccard") * interval.tiou_closed(*map(F.col, ("s", "e", "s2", "e2"))))
-    one = lambda u, s, e: c.select("event_type", F.col(u).alias("user_id"), F.col(s).alias("s"), F.col(e).alias("e"), "c")
-    g = one("user_a", "s", "e").union(one("user_b", "s2", "e2")).groupBy("event_type", "user_id", "s", "e").agg(F.count("*").alias("rivals"), F.sum(F.col("c") ** 2).alias("m"))
+    one = lambda u, s, e: F.struct(F.col(u).alias("user_id"), F.col(s).alias("s"), F.col(e).alias("e"))
+    ends = c.select("event_type", "c", F.explode(F.array(one("user_a", "s", "e"), one("user_b", "s2", "e2"))).alias("x"))  # a pair counts for both of its spans
+    g = ends.groupBy("event_type", "x.user_id", "x.s", "x.e").agg(F.count("*").alias("rivals"), F.sum(F.col("c") ** 2).alias("m"))
     return g.select("event_type", "user_id", "s", "e", "rivals", r6(F.col("m")).alias("mass"), r6(F.col("m") / (1 + F.col("m"))).alias("d_s"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators import spans
 from framewright.plans.registry import table
+from framewright.session import settle
 
 HOUR = 3_600_000_000
 
@@ -32,7 +33,7 @@ SPANS = FRAMES + """, sp AS (SELECT user_id, event_type, min(frame) AS s, max(fr
 
 def span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_type, user_a, s, e, user_b, s2, e2): overlapping spans of two users."""
-    a = user_spans(spark, sf_dir)
+    a = settle(user_spans(spark, sf_dir))  # both sides are read from it
     left = a.select("event_type", F.col("user_id").alias("user_a"), "s", "e")
     right = a.select("event_type", F.col("user_id").alias("user_b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     return spans.overlap_join(left, right, ["event_type"], 16).where("user_a < user_b")

@@ -1,9 +1,10 @@
 """Packing of token sequences into fixed lengths.
 
 Packing is a fold over an order, so rows are dealt into shards by a hash of
-their id and packed in one grouped Arrow map a shard. A shard's packs differ
-from those of the whole by one open bin at most, so utilisation is kept; with
-one shard the result is that of the plain greedy rule. Shards carry ids and
+their id and packed in one grouped Arrow map a shard. Unless a number is given
+there is a shard for every SHARD_ROWS rows. A shard's packs differ from those of
+the whole by one open bin at most, so utilisation is kept; with one shard the
+result is that of the plain greedy rule. Shards carry ids and
 lengths only; tokens are joined back to their packs.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from framewright.functions import arrays
 
 IGNORE = -100
+#: Rows (ids and lengths) of a shard.
+SHARD_ROWS = 250_000
 
 
 def knapsack(lengths: list[int], size: int) -> list[list[int]]:
@@ -39,11 +42,15 @@ def knapsack(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
+def _shards(df: DataFrame, shards: int | None) -> int:
+    return shards or max(1, -(-df.count() // SHARD_ROWS))
+
+
 def _shard(id_col: str, shards: int) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col)), shards).cast("int")
 
 
-def pack(df: DataFrame, id_col: str, length_col: str, size: int, shards: int = 1, too_long: str = "drop", media_col: str | None = None) -> DataFrame:
+def pack(df: DataFrame, id_col: str, length_col: str, size: int, shards: int | None = None, too_long: str = "drop", media_col: str | None = None) -> DataFrame:
     """(id, length, shard, pack, slot): greedy knapsack packs of each shard.
 
     Rows longer than a pack are dropped, or an error. With media_col, packs are
@@ -53,7 +60,7 @@ def pack(df: DataFrame, id_col: str, length_col: str, size: int, shards: int = 1
         raise ValueError("too_long is 'drop' or 'error'")
     kinds = dict(df.dtypes)
     media = F.col(media_col).cast("long") if media_col else F.lit(0).cast("long")
-    d = df.select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("length"), media.alias("media"), _shard(id_col, shards).alias("shard"))
+    d = df.select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("length"), media.alias("media"), _shard(id_col, _shards(df, shards)).alias("shard"))
     if too_long == "error":
         d = d.withColumn("length", F.when(F.col("length") > size, F.raise_error(F.concat(F.lit("longer than a pack: "), F.col("length").cast("string"))).cast("long")).otherwise(F.col("length")))
 
@@ -70,10 +77,10 @@ def pack(df: DataFrame, id_col: str, length_col: str, size: int, shards: int = 1
     return out.withColumnRenamed("id", id_col)
 
 
-def pack_in_order(df: DataFrame, id_col: str, length_col: str, size: int, order: str, shards: int = 1, multiple: int = 1) -> DataFrame:
+def pack_in_order(df: DataFrame, id_col: str, length_col: str, size: int, order: str, shards: int | None = None, multiple: int = 1) -> DataFrame:
     """(id, length, shard, pack, slot): rows in order, a new pack where the next row doesn't fit; lengths are rounded up to a multiple."""
     kinds = dict(df.dtypes)
-    d = df.select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("length"), F.col(order).alias("o"), _shard(id_col, shards).alias("shard"))
+    d = df.select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("length"), F.col(order).alias("o"), _shard(id_col, _shards(df, shards)).alias("shard"))
 
     def run(key, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["o", "id"], kind="stable")

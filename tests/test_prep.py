@@ -92,6 +92,19 @@ def test_overlap_join_counts_once(spark):
         assert got == sorted((i, j) for i, s, e in a for j, t, u in b if s <= u and t <= e)
 
 
+def test_overlap_join_with_long_spans(spark, monkeypatch):
+    """Spans of one bin to a whole day of frames; no row is dealt into more bins than its level allows."""
+    r = random.Random(2)
+    size = lambda: r.choice([0, 3, 40, 300, 5000, 90000])
+    a = [(i, s := r.randint(0, 90000), s + size()) for i in range(50)]
+    b = [(i, s := r.randint(0, 90000), s + size()) for i in range(50)]
+    x, y = spark.createDataFrame(a, "a int, s int, e int").withColumn("k", F.lit(1)), spark.createDataFrame(b, "b int, s2 int, e2 int").withColumn("k", F.lit(1))
+    for most in (64, 4):
+        monkeypatch.setattr(spans, "MOST_BINS", most)
+        got = sorted((q.a, q.b) for q in spans.overlap_join(x, y, ["k"], 2).collect())
+        assert got == sorted((i, j) for i, s, e in a for j, t, u in b if s <= u and t <= e)
+
+
 AGENT = [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "let me", "reasoning_content": "hm"}, {"role": "tool_call", "content": '{"name": "f", "arguments": {"x": 1}}'}, {"role": "tool_call", "content": '{"name": "g"}'}, {"role": "tool_response", "content": "1"}, {"role": "tool_response", "content": "2"}, {"role": "assistant", "content": "done", "reasoning_content": "ok"}]
 
 
