@@ -1,11 +1,11 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Linear classifiers over hashed words are trained in numpy from confirmed toxic
+A linear classifier over hashed words is trained in numpy from confirmed toxic
 texts and unlabelled ones, by the risk estimate corrected for the class prior:
 prior * R(positive as 1) + max(0, R(unlabelled as 0) - prior * R(positive as 0)).
 Where the second part goes below nought, its gradient is turned around, as in
-the published method. Several classifiers see different parts of the unlabelled
-sample; as they are linear, their mean is one weight vector.
+the published method. All unlabelled texts go to one classifier: several that
+see a part each depend on how the parts fall.
 
 Both samples are bounded and drawn from the rows of the label table: the texts
 marked toxic, and all of its texts as unlabelled ones, their marks unread. The
@@ -28,14 +28,11 @@ from framewright.llm.textbytes import Powers
 BITS = 20
 #: Bounds of the training sample, all from labelled rows: confirmed toxic texts, texts taken as unlabelled, distinct features of each kind.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 1500, 6000, 6_000_000
-CLASSIFIERS = 3
-#: Unlabelled texts that a classifier needs; a smaller sample is shared by fewer of them.
-LEAST_UNLABELLED = 1000
 #: Occurrences that a training step handles at once.
 CHUNK = 1 << 20
 #: Features seen in fewer sampled texts have no weight: a share of the texts, within bounds; the penalty is larger for small samples.
 LEAST_SHARE, LEAST_TEXTS = 400, (3, 8)
-L1, SMALL_L1 = 2e-4, 1e-3
+L1, SMALL_L1, SMALL = 2e-4, 1e-3, 1000
 
 
 @dataclass
@@ -54,7 +51,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     size = 1 << bits
     n_texts = len(positive) + len(unlabelled)
     least = least or min(max(n_texts // LEAST_SHARE, LEAST_TEXTS[0]), LEAST_TEXTS[1])
-    l1 = l1 or (L1 if n_texts >= LEAST_UNLABELLED else SMALL_L1)
+    l1 = l1 or (L1 if n_texts >= SMALL else SMALL_L1)
     if not positive or not unlabelled:
         return Model(np.zeros(size, dtype=np.float32), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))) if unlabelled else 0.0)
     texts = [*positive, *unlabelled]
@@ -123,12 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return [f for _, f, _ in sample(own.join(top, own.doc_id == top["__lid"]).select("doc_id", "text", F.lit(1).alias("y")), most, extract, bits, MAX_FEATURES)]
 
     pos, unl = features(lab.where("y = 1"), MAX_POSITIVE), features(lab.drop("y"), MAX_UNLABELLED)
-    k = max(1, min(CLASSIFIERS, len(unl) // LEAST_UNLABELLED))
-    return average([train_nnpu(pos, unl[i::k], prior, bits) for i in range(k)])
-
-
-def average(models: list[Model]) -> Model:
-    return Model(np.mean([m.weights for m in models], axis=0).astype(np.float32), float(np.mean([m.bias for m in models])))
+    return train_nnpu(pos, unl, prior, bits)
 
 
 def report(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held: tuple[int, int] = (5, 0), bits: int = BITS) -> DataFrame:
