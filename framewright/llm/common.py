@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framewright.llm.textbytes import pieces
 
 
-def map_text(df: DataFrame, cols: dict[str, str], text: str, setup: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, limit: int = 1 << 22) -> DataFrame:
+def map_text(df: DataFrame, cols: dict[str, str], text: str, setup: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, limit: int = 1 << 21) -> DataFrame:
     """Arrow-batched map over rows of bounded bytes.
 
     cols: output name -> input column, read under names of our own so that no
@@ -33,7 +33,7 @@ def map_text(df: DataFrame, cols: dict[str, str], text: str, setup: Callable[[],
     return chosen.mapInArrow(run, schema)
 
 
-def map_rows(df: DataFrame, text_col: str, setup: Callable[[], Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch]], limit: int = 1 << 22) -> DataFrame:
+def map_rows(df: DataFrame, text_col: str, setup: Callable[[], Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch]], limit: int = 1 << 21) -> DataFrame:
     """Arrow-batched map that keeps all columns of df, whatever their names.
 
     The function gets the batch and its texts and returns a batch of the same

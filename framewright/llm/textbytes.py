@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 
@@ -139,7 +139,7 @@ def counts_by_doc(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offsets, "left")
 
 
-def pieces(texts: pa.Array, limit: int = 1 << 22):
+def pieces(texts: pa.Array, limit: int = 1 << 21):
     """(first row, row count) of runs of rows with about limit bytes; a longer text is a run of its own."""
     _, o = buffer_of(texts)
     n, i = len(o) - 1, 0
