@@ -53,7 +53,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     least = least or min(max(n_texts // LEAST_SHARE, LEAST_TEXTS[0]), LEAST_TEXTS[1])
     l1 = l1 or (L1 if n_texts >= SMALL else SMALL_L1)
     if not positive or not unlabelled:
-        return Model(np.zeros(size, dtype=np.float32), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))) if unlabelled else 0.0)
+        return Model(np.zeros(size, dtype=np.float32), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))))
     texts = [*positive, *unlabelled]
     seen = np.zeros(size, dtype=np.int32)
     for x in texts:
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Confirmed toxic texts are those with label 1; all texts that the table labels
     serve as unlabelled, whatever their labels. The class prior is the share of
     1 among the labels. Ids labelled twice count as toxic if one label says so.
-    Without positives every text gets the prior.
+    Without positives, or without labels, every text gets the prior (0.001 if there are no labels).
     """
     n, out = held
     lab = labels.select(labels[id_col].alias("__lid"), labels[label_col].cast("int").alias("y")).where(F.col("__lid").isNotNull() & F.col("y").isNotNull() & (fold_of("__lid", n) != out)).groupBy("__lid").agg(F.max("y").alias("y"))

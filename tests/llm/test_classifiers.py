@@ -4,6 +4,9 @@ import random
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framewright.llm import decontaminate, neardup, pii, quality, toxicity
@@ -152,6 +155,33 @@ def test_ties_repeated_labels_and_filters(spark):
     assert {(r.score, r.predicted) for r in toxicity.report(docs, even).collect()} == {(0.5, 1)} and toxicity.drop_toxic(docs, even).count() == 0
 
 
+@pytest.fixture
+def odd_corpus(spark, tmp_path):
+    """Nulls everywhere, repeats, an empty and a very long text, copies, a benchmark passage, and columns that clash with those of the stages."""
+    base = " ".join(f"word{i}" for i in range(60))
+    leak = " ".join(f"quiz{i}" for i in range(20))
+    rows = [(1, base, "en", "s", None, 0.1), (2, base.upper(), None, "s", 3, 0.2), (3, base + " more", "en", None, 4, 0.3), (4, None, "en", "s", None, None), (5, "", "en", "s", 0, 0.5), (None, base, "en", "s", 1, 0.6), (6, "see " + leak, "en", "s", 1, 0.7), (7, "mail a@b.co " * 30000, "en", "s", 1, 0.8), (8, "short one", "en", "s", 1, 0.9), (8, "short one", "en", "s", 1, 0.9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, score double").withColumn("kept", F.lit("x")).withColumn("__id", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, leak), (None, "short one"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_on_odd_rows(spark, odd_corpus):
+    got = sorted((str(r.doc_id), r.n_tokens > 0) for r in corpus_pipeline.run(spark, odd_corpus).collect())
+    assert got == [("1", True), ("4", False), ("5", False), ("7", True), ("8", True), ("8", True), ("None", True)]
+    docs = spark.read.parquet(f"{odd_corpus}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, odd_corpus)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), odd_corpus).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), odd_corpus).count() == 0
+    # a model that rejects one word drops its texts and no others
+    bad = toxicity.Model(np.zeros(1 << toxicity.BITS, dtype=np.float32), -1.0)
+    b, f = toxicity.word_features(toxicity.BITS)(pa.array(["more"]), toxicity.Powers())
+    bad.weights[f] = 5
+    assert sorted(str(r.doc_id) for r in toxicity.drop_toxic(docs, bad).collect()) == ["1", "2", "4", "5", "6", "7", "8", "8", "None"]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontaminate", "pii", "bpe"]
