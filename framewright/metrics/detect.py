@@ -120,7 +120,7 @@ def proposal_recall(truth: DataFrame, proposals: DataFrame, max_avg: float | Non
     steps = np.arange(1, 101) / 100.0 * (avg * n_videos / kept)
 
     def count(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("score", ascending=False, kind="stable")[: min(int(len(p) * ratio), len(p))]
+        p = by_score(p, ["s", "e"])[: min(int(len(p) * ratio), len(p))]
         iou = segment_iou(t[["s", "e"]].to_numpy(float), p[["s", "e"]].to_numpy(float)) if len(p) else np.zeros((len(t), 1))
         upto = np.minimum((iou.shape[1] * steps).astype(int), iou.shape[1])
         top = np.maximum.accumulate(iou, axis=1) if iou.shape[1] else iou

@@ -268,10 +268,18 @@ def matched_segments(spark: SparkSession, sf: str) -> DataFrame:
     return detect.matched_segments(*_segments(spark, sf), (0.3, 0.5)).withColumn("score", r6(F.col("score")))
 
 
-@query("proposal_recall")
+@query("proposal_recall", f"""WITH {_SEGMENTS}, gt AS (SELECT video, s, e, row_number() OVER () AS id FROM t), own AS (SELECT video, s, e, row_number() OVER (PARTITION BY video ORDER BY score DESC, s, e) - 1 AS ord, count(*) OVER (PARTITION BY video) AS n FROM g WHERE video IN (SELECT video FROM gt)),
+z AS (SELECT (SELECT count(DISTINCT video) FROM gt) AS videos, (SELECT count(*) FROM g) AS n), ratio AS (SELECT 100.0::DOUBLE * videos / n AS ratio, videos FROM z),
+kept AS (SELECT video, least(floor(n * ratio), n)::BIGINT AS kept FROM (SELECT DISTINCT video, n FROM own), ratio), k AS (SELECT sum(kept)::BIGINT AS kept FROM kept),
+h AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS threshold), i AS (SELECT gt.id, gt.video, ord, greatest(0, least(gt.e, own.e) - greatest(gt.s, own.s)) AS i, gt.e - gt.s + own.e - own.s AS both_ FROM gt JOIN own USING (video) JOIN kept USING (video) WHERE ord < kept),
+r AS (SELECT id, video, threshold, min(ord) + 1 AS rank FROM i JOIN h ON i / (both_ - i) >= threshold GROUP BY ALL), st AS (SELECT CAST(range AS INT) AS step, range / 100.0 * (100.0::DOUBLE * videos / k.kept) AS x FROM range(1, 101), ratio, k),
+u AS (SELECT video, step, least(floor(kept.kept * x), kept.kept)::BIGINT AS upto FROM kept, st), f AS (SELECT threshold, step, count(*) AS found FROM r JOIN u USING (video) WHERE rank <= upto GROUP BY ALL),
+a AS (SELECT step, avg(coalesce(found, 0) / (SELECT count(*) FROM gt)) AS ar FROM st CROSS JOIN h LEFT JOIN f USING (threshold, step) GROUP BY step), p AS (SELECT step, ar, lag(ar) OVER (ORDER BY step) AS before FROM a)
+SELECT round(max(CASE WHEN step = 1 THEN ar END), 6) AS "AR@1", round(max(CASE WHEN step = 5 THEN ar END), 6) AS "AR@5", round(max(CASE WHEN step = 10 THEN ar END), 6) AS "AR@10", round(max(CASE WHEN step = 100 THEN ar END), 6) AS "AR@100", round(sum((ar + before) / 2) / 100 * 100, 6) AS auc FROM p""".replace("f AS (SELECT threshold, step", "fd AS (SELECT threshold, step").replace("LEFT JOIN f USING", "LEFT JOIN fd USING"))
 def proposal_recall(spark: SparkSession, sf: str) -> DataFrame:
     t, g = _segments(spark, sf)
-    return detect.proposal_summary(detect.proposal_recall(t.drop("label"), g.drop("label")))
+    r = detect.proposal_summary(detect.proposal_recall(t.drop("label"), g.drop("label")))
+    return r.select(*[r6(F.col(f"`{c}`")).alias(c) for c in r.columns])
 
 
 def _frame_boxes(spark: SparkSession, sf: str):
