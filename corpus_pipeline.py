@@ -1,13 +1,20 @@
-"""A corpus pipeline: each stage is written as Parquet and reread as the next one's documents."""
+"""A corpus pipeline: each stage is written as Parquet and reread as the next one's documents.
 
-from __future__ import annotations
+All columns of documents pass through, whatever else they hold or are called;
+the last stage gives (doc_id, n_tokens, ids_sha256, decoded_sha256). A null text
+is empty: it isn't toxic unless the prior says so, is no near duplicate, holds
+nothing of a benchmark and no personal data, and has no tokens. Rows of one id
+are one document: they stay or go together but in the stages that judge a text by
+itself (toxicity, decontamination), where each row is judged. A row with a null
+id is judged likewise and is no near duplicate. An empty table gives no rows.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import bpe, decontaminate, neardup, pii, queries, toxicity
-from framewright.session import ensure_checkpoint_dir
+from framewright.session import remove, shared_folder
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; tables between them go to the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; tables between them lie in the shared checkpoint folder until they are used."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
+            path = shared_folder(spark, f"pipeline-{k}-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if last:
+                remove(spark, last)
+            last = path
     return docs
