@@ -27,15 +27,6 @@ def segment_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(inter, union, out=np.zeros_like(inter, dtype=float), where=union > 0)
 
 
-def box_iou(a: np.ndarray, b: np.ndarray, plus: float = 0.0) -> np.ndarray:
-    """(len a, len b) IoU of rows [x1, y1, x2, y2]; plus 1 if right and bottom pixels belong to a box."""
-    wh = np.clip(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]) + plus, 0, None)
-    inter = wh[..., 0] * wh[..., 1]
-    size = lambda x: (x[:, 2] - x[:, 0] + plus) * (x[:, 3] - x[:, 1] + plus)
-    union = size(a)[:, None] + size(b)[None] - inter
-    return np.divide(inter, union, out=np.zeros_like(inter, dtype=float), where=union > 0)
-
-
 def first_free(iou: np.ndarray, threshold: float) -> np.ndarray:
     """Hits of detections (rows, by falling score): each takes the best overlapping truth that is still free."""
     free = np.ones(iou.shape[1], dtype=bool)
@@ -147,8 +138,9 @@ def proposal_summary(r: DataFrame) -> DataFrame:
 
 
 def matched_boxes(truth: DataFrame, guess: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(label, video, frame, score, ord, hit): only the best truth of a detection counts, and for one detection. Boxes are x1, y1, x2, y2.
+    """(label, video, frame, score, ord, hit): only the best truth of a detection counts, and for one detection.
 
+    Boxes are x1, y1, x2, y2.
     Both sides are dealt by frame once; ranks, the join and the groups follow that.
     """
     cols, xy = ["label", "video", "frame"], ["x1", "y1", "x2", "y2"]
@@ -159,7 +151,8 @@ def matched_boxes(truth: DataFrame, guess: DataFrame, threshold: float = 0.5) ->
     t = t.withColumn("j", F.row_number().over(frame.orderBy(*[f"t{c}" for c in xy])))
     side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(hi, f"t{hi}") - F.greatest(lo, f"t{lo}"))
     inter = side("x1", "x2") * side("y1", "y2")
-    union = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("tx2") - F.col("tx1")) * (F.col("ty2") - F.col("ty1")) - inter
+    area = lambda t: (F.col(f"{t}x2") - F.col(f"{t}x1")) * (F.col(f"{t}y2") - F.col(f"{t}y1"))
+    union = area("") + area("t") - inter
     pairs = g.join(t, cols).select(*cols, "ord", "j", F.when(union > 0, inter / union).otherwise(0.0).alias("iou"))
     best = pairs.groupBy(*cols, "ord").agg(F.max(F.struct("iou", (-F.col("j")).alias("place"))).alias("b")).select(*cols, "ord", F.col("b.iou").alias("iou"), F.col("b.place").alias("j"))
     won = best.where(F.col("iou") >= threshold).groupBy(*cols, "j").agg(F.min("ord").alias("ord")).select(*cols, "ord", F.lit(True).alias("hit"))
@@ -206,74 +199,93 @@ def tube_iou(a: np.ndarray, b: np.ndarray, spatial: bool = True, temporal: bool
     if not spatial:
         return float(t)
     x, y = (r[(r[:, 0] >= lo) & (r[:, 0] <= hi)][:, 1:5] for r in (a, b))
-    s = float(np.mean([box_iou(p[None], q[None], 1.0)[0, 0] for p, q in zip(x, y)]))
+    s = float(paired_iou(x, y).mean())
     return s * float(t) if temporal else s
 
 
+def paired_iou(a: np.ndarray, b: np.ndarray, plus: float = 0.0) -> np.ndarray:
+    """IoU of boxes (.., 4) that stand at the same place of two arrays, broadcast; plus 1 if right and bottom pixels belong to a box."""
+    size = np.maximum(np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]) + plus, 0).prod(axis=-1)
+    whole = (a[..., 2:] - a[..., :2] + plus).prod(axis=-1) + (b[..., 2:] - b[..., :2] + plus).prod(axis=-1) - size
+    return np.divide(size, whole, out=np.zeros(np.shape(whole)), where=whole > 0)
+
+
 def suppress(rows: np.ndarray, threshold: float = 0.3, top: int | None = None) -> np.ndarray:
-    """Greedy suppression of tubelets (4 K numbers and a score): a suppressed score is cut by the overlap."""
-    if not len(rows):
-        return rows
-    k = (rows.shape[1] - 1) // 4
-    boxes = rows[:, :-1].reshape(len(rows), k, 4)
-    weight = np.ones(len(rows))
-    order = np.argsort(rows[:, -1], kind="stable")[::-1]
-    while len(order):
-        head, rest = order[0], order[1:]
-        total = sum((box_iou(boxes[head : head + 1, j], boxes[rest, j], 1.0)[0] for j in range(k)), np.zeros(len(rest)))
-        over = total > threshold * k
-        weight[rest[over]] = 1 - total[over]
-        order = rest[~over]
-    out = rows.copy()
-    out[:, -1] *= weight
-    return out[np.argsort(out[:, -1], kind="stable")[::-1]][:top]
+    """Greedy suppression of tubelets (4 K numbers and a score), pixels included: a suppressed score is cut by the overlap.
+
+    All overlaps, summed over the K boxes, are one matrix; heads come by falling
+    score, and what a head overlaps by more than the threshold is settled.
+    """
+    boxes = rows[:, :-1].reshape(len(rows), (rows.shape[1] - 1) // 4, 4)
+    total = paired_iou(boxes[:, None], boxes[None], 1.0).sum(axis=2)
+    weight, waiting = np.ones(len(rows)), np.ones(len(rows), dtype=bool)
+    for head in np.argsort(rows[:, -1], kind="stable")[::-1]:
+        if waiting[head]:
+            waiting[head] = False
+            hit = waiting & (total[head] > threshold * boxes.shape[1])
+            weight[hit] = 1 - total[head, hit]
+            waiting &= ~hit
+    score = rows[:, -1] * weight
+    order = np.argsort(score, kind="stable")[::-1][:top]
+    return np.column_stack([rows[order, :-1], score[order]])
+
+
+class Chain:
+    """A growing tube: first frames, boxes (K, 4) and scores of its tubelets."""
+
+    def __init__(self, frame: int, boxes: np.ndarray, score: float) -> None:
+        self.frames, self.boxes, self.scores = [frame], [boxes], [score]
+
+    def add(self, frame: int, boxes: np.ndarray, score: float) -> None:
+        self.frames.append(frame)
+        self.boxes.append(boxes)
+        self.scores.append(score)
+
+    @property
+    def score(self) -> float:
+        return float(np.mean(self.scores))
+
+    def fit(self, frame: int, boxes: np.ndarray) -> np.ndarray:
+        """Mean overlap of tubelets (n, K, 4) that begin at a frame with the chain's last one, over the frames that both cover; without such frames, of first and last box."""
+        last, shift = self.boxes[-1], frame - self.frames[-1]
+        if shift < len(last):
+            return paired_iou(boxes[:, : len(last) - shift], last[None, shift:]).mean(axis=1)
+        return paired_iou(boxes[:, 0], last[None, -1])
+
+    def tube(self) -> np.ndarray:
+        """Rows of frame, box and score, each the mean of the tubelets that cover the frame."""
+        k = len(self.boxes[0])
+        at = (np.array(self.frames)[:, None] + np.arange(k)).ravel() - self.frames[0]
+        values = np.column_stack([np.concatenate(self.boxes), np.repeat(self.scores, k)])
+        total, count = np.zeros((at[-1] + 1, 5)), np.bincount(at, minlength=at[-1] + 1)
+        np.add.at(total, at, values)
+        return np.column_stack([self.frames[0] + np.arange(len(total)), total / np.maximum(count, 1)[:, None]])
 
 
 def linked(frames: dict[int, np.ndarray], last: int, k: int = 1, least: int = 15) -> list[tuple[float, np.ndarray]]:
     """Tubes of one class of one video: (score, rows of frame, box, score), from tubelets by frame 1..last.
 
-    Tubes choose in order of their mean score: the best-scored tubelet with an
-    overlap of at least a half. A tube ends once it has found nothing for k frames.
+    Chains choose in order of their mean score: the best-scored tubelet with an
+    overlap of at least a half that no other has taken. What nobody takes begins a
+    chain; a chain that has found nothing for k frames is done.
     """
-    open_, closed = [], []
-    mean = lambda t: float(np.mean([r[-1] for _, r in t]))
+    live: list[Chain] = []
+    every: list[Chain] = []
     for f in range(1, last + 2 - k):
         new = suppress(frames.get(f, np.zeros((0, 4 * k + 1))), 0.6, 10)
-        open_.sort(key=lambda t: -mean(t))
-        going = []
-        for t in open_:
-            at, box = t[-1]
-            shift = f - at
-            if len(new) == 0:
-                near = np.zeros(0)
-            elif shift < k:
-                near = sum(box_iou(new[:, 4 * i : 4 * i + 4], box[None, 4 * (i + shift) : 4 * (i + shift) + 4], 1.0)[:, 0] for i in range(k - shift)) / (k - shift)
-            else:
-                near = box_iou(new[:, :4], box[None, 4 * k - 4 : 4 * k], 1.0)[:, 0]
-            fit = np.flatnonzero(near >= 0.5)
-            if len(fit):
-                j = fit[new[fit, -1].argmax()]
-                t.append((f, new[j]))
-                new = np.delete(new, j, axis=0)
-                going.append(t)
-            else:
-                (going if shift < k else closed).append(t)
-        open_ = going + [[(f, r)] for r in new]
-    out = []
-    for t in closed + open_:
-        first, n = t[0][0], t[-1][0] + k - t[0][0]
-        if mean(t) < 0.005 or n < least:
-            continue
-        rows, count = np.zeros((n, 6)), np.zeros(n)
-        for f, r in t:
-            for i in range(k):
-                rows[f - first + i, 1:5] += r[4 * i : 4 * i + 4]
-                rows[f - first + i, 5] += r[-1]
-                count[f - first + i] += 1
-        rows[:, 1:] /= np.maximum(count, 1)[:, None]
-        rows[:, 0] = np.arange(first, first + n)
-        out.append((mean(t), rows))
-    return out
+        boxes, scores = new[:, :-1].reshape(len(new), k, 4), new[:, -1]
+        free = np.ones(len(new), dtype=bool)
+        for chain in sorted(live, key=lambda c: -c.score):
+            can = np.flatnonzero(free & (chain.fit(f, boxes) >= 0.5)) if len(new) else []
+            if len(can):
+                best = can[scores[can].argmax()]
+                free[best] = False
+                chain.add(f, boxes[best], float(scores[best]))
+        born = [Chain(f, boxes[i], float(scores[i])) for i in np.flatnonzero(free)]
+        every += born
+        live = [c for c in live if f - c.frames[-1] < k] + born
+    tubes = [(c.score, c.tube()) for c in every]
+    return [(s, t) for s, t in tubes if s >= 0.005 and len(t) >= least]
 
 
 TUBE = "array<struct<frame: bigint, x1: double, y1: double, x2: double, y2: double>>"

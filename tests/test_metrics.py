@@ -255,3 +255,26 @@ def test_blocks_by_keys_give_what_a_broadcast_gives(spark, monkeypatch):
     for limit in (retrieve.BROADCAST_BYTES, 0):
         monkeypatch.setattr(retrieve.score_blocks, "__defaults__", (limit,))
         assert {x.k: x.above for x in retrieve.ranks(df, "k", "t", "w", block=7).collect()} == want
+
+
+def test_chains_of_tubelets_take_every_tubelet_once():
+    import numpy as np
+
+    from framewright.metrics import detect
+
+    r = np.random.default_rng(6)
+    a, b = r.uniform(0, 50, (5, 3, 4)), r.uniform(0, 50, (3, 4))
+    a[..., 2:] += a[..., :2]
+    b[..., 2:] += b[..., :2]
+
+    def iou(p, q):
+        w, h = max(0, min(p[2], q[2]) - max(p[0], q[0])), max(0, min(p[3], q[3]) - max(p[1], q[1]))
+        return w * h / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - w * h)
+
+    chain = detect.Chain(4, b, 0.5)
+    for frame, pairs in ((5, [(0, 1), (1, 2)]), (6, [(0, 2)]), (7, [(0, 2)]), (9, [(0, 2)])):
+        assert np.allclose(chain.fit(frame, a), [np.mean([iou(x[i], b[j]) for i, j in pairs]) for x in a])
+    frames = {f: np.array([[10 * n + f, 0, 10 * n + f + 9, 9, 10 * n + f + 1, 0, 10 * n + f + 10, 9, 0.5 + 0.1 * n] for n in (0, 3)], dtype=float) for f in range(1, 9)}
+    out = detect.linked(frames, 9, 2, 3)
+    assert sorted(round(s, 3) for s, _ in out) == [0.5, 0.8] and all(t[:, 0].tolist() == list(range(1, 10)) for _, t in out)
+    assert np.allclose(out[0][1][:, 3] - out[0][1][:, 1], 9) and detect.linked({}, 9, 2, 3) == []
