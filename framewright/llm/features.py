@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,17 +92,19 @@ def distinct(bounds: np.ndarray, feats: np.ndarray, bits: int) -> tuple[np.ndarr
     return np.searchsorted(key >> bits, np.arange(len(bounds))), key & ((1 << bits) - 1), np.diff(np.append(at, len(feats)))
 
 
-def sample(rows: DataFrame, max_rows: int, extract: Extractor, bits: int, max_features: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "y") -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """[(label, features, counts)] of at most max_rows rows, whole texts, on the driver.
+SAMPLED = "o long, y int, n long, f binary, c binary"
+
+
+def sample(rows: DataFrame, max_rows: int, extract: Extractor, bits: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "y") -> DataFrame:
+    """(o, y, n, f, c) of at most max_rows rows, whole texts: order, label, number of distinct features, they and their counts.
 
     The rows with the smallest hash of id and label are taken, so the sample is
-    the same on every run; it ends early where it would hold more than
-    max_features distinct features in all.
+    the same on every run.
     """
     hashed = rows.select(F.xxhash64(rows[id_col], rows[label_col], F.lit(11)).alias("__o"), rows[id_col].alias("__id"), rows[text_col].alias("__text"), rows[label_col].cast("int").alias("__y"))
     top = hashed.select("__o").orderBy("__o").limit(max_rows).collect()
     if not top:
-        return []
+        return rows.sparkSession.createDataFrame([], SAMPLED)
     chosen = hashed.where(F.col("__o") <= F.lit(top[-1][0]))
 
     def setup():
@@ -116,14 +118,39 @@ def sample(rows: DataFrame, max_rows: int, extract: Extractor, bits: int, max_fe
 
         return work
 
-    found = map_text(chosen, {x: x for x in ("__o", "__text", "__y")}, "__text", setup, "o long, y int, n long, f binary, c binary")
-    out, total = [], 0
-    for r in found.orderBy("o").limit(max_rows).toLocalIterator():
-        total += r.n
-        if total > max_features and out:
-            break
-        out.append((r.y, np.frombuffer(r.f, dtype=np.int32), np.frombuffer(r.c, dtype=np.int32)))
-    return out
+    return map_text(chosen, {x: x for x in ("__o", "__text", "__y")}, "__text", setup, SAMPLED).orderBy("o").limit(max_rows)
+
+
+#: A sampled text: label, distinct features, their counts.
+Text = tuple[int, np.ndarray, np.ndarray]
+
+
+def trained(samples: list[DataFrame], max_features: int, train: Callable[[list[list[Text]]], tuple[np.ndarray, float]]) -> tuple[np.ndarray, float]:
+    """train() of bounded samples, in one task: the driver gets weights and bias only.
+
+    A sample ends early where it would hold more than max_features distinct features in all.
+    """
+    whole = None
+    for k, s in enumerate(samples):
+        s = s.withColumn("k", F.lit(k))
+        whole = s if whole is None else whole.union(s)
+    kinds = len(samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[list] = [[] for _ in range(kinds)]
+        for b in batches:
+            for o, y, _, f, c, k in zip(*[col.to_pylist() for col in b.columns]):
+                texts[k].append((o, y, np.frombuffer(f, dtype=np.int32), np.frombuffer(c, dtype=np.int32)))
+        for k in range(kinds):
+            texts[k].sort(key=lambda t: t[0])
+            sizes = np.cumsum([len(f) for _, _, f, _ in texts[k]])
+            n = max(1, int(np.searchsorted(sizes, max_features, "right")))
+            texts[k] = [t[1:] for t in texts[k][:n]]
+        weights, bias = train(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
+
+    r = whole.coalesce(1).mapInArrow(run, "weights binary, bias double").collect()[0]
+    return np.frombuffer(r.weights, dtype=np.float32), r.bias
 
 
 def score(docs: DataFrame, extract: Extractor, bits: int, weigh: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], extra: dict[str, tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

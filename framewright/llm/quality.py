@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import fold_of, map_rows
-from framewright.llm.features import distinct, ngram_features, sample, score, segment_sum, sigmoid
+from framewright.llm.features import distinct, ngram_features, sample, score, segment_sum, sigmoid, trained
 from framewright.llm.textbytes import Powers
 
 BITS = 20
@@ -55,7 +55,7 @@ def train_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS,
     for y, f, c in rows:
         x = values(c)
         x /= np.sqrt(max(float((x * x).sum()), 1e-12))
-        ready.append((float(y), np.append(f, size).astype(np.int64), np.append(x, 1.0)))
+        ready.append((float(y), np.append(f, size).astype(np.int32), np.append(x, 1.0)))
     for _ in range(epochs):
         for y, i, x in ready:
             w = leader(i)
@@ -80,9 +80,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     top = [lab.where(F.col("y") == k).orderBy(F.xxhash64("__lid"), "__lid").limit(MAX_ROWS // 2) for k in (0, 1)]
     top = F.broadcast(top[0].unionByName(top[1]))  # MAX_ROWS ids at most
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    rows = sample(own.join(top, own.doc_id == top["__lid"]).select("doc_id", "text", "y"), MAX_ROWS, ngram_features(bits), bits, MAX_FEATURES)
+    rows = sample(own.join(top, own.doc_id == top["__lid"]).select("doc_id", "text", "y"), MAX_ROWS, ngram_features(bits), bits)
     share = lab.where("y in (0, 1)").agg(F.avg("y")).collect()[0][0]
-    return shifted(train_ftrl(rows, bits), [y for y, *_ in rows], share)
+
+    def train(texts: list) -> tuple[np.ndarray, float]:
+        model = shifted(train_ftrl(texts[0], bits), [y for y, *_ in texts[0]], share)
+        return model.weights, model.bias
+
+    return Model(*trained([rows], MAX_FEATURES, train))
 
 
 def shifted(model: Model, labels: list[int], share: float | None) -> Model:

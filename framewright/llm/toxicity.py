@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import fold_of, map_rows
-from framewright.llm.features import distinct, sample, score, segment_sum, sigmoid, word_features
+from framewright.llm.features import distinct, sample, score, segment_sum, sigmoid, trained, word_features
 from framewright.llm.textbytes import Powers
 
 BITS = 20
 #: Bounds of the training sample, all from labelled rows: confirmed toxic texts, texts taken as unlabelled, distinct features of each kind.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 1500, 6000, 6_000_000
 #: Occurrences that a training step handles at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Features seen in fewer sampled texts have no weight: a share of the texts, within bounds; the penalty is larger for small samples.
 LEAST_SHARE, LEAST_TEXTS = 400, (3, 8)
 L1, SMALL_L1, SMALL = 2e-4, 1e-3, 1000
@@ -54,31 +54,33 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     l1 = l1 or (L1 if n_texts >= SMALL else SMALL_L1)
     if not positive or not unlabelled:
         return Model(np.zeros(size, dtype=np.float32), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))))
-    texts = [*positive, *unlabelled]
+    n_p, n_u = len(positive), len(unlabelled)
     seen = np.zeros(size, dtype=np.int32)
-    for x in texts:
-        seen[x] += 1  # a text's features are distinct
+    for texts in (positive, unlabelled):
+        for x in texts:
+            seen[x] += 1  # a text's features are distinct
     used = np.flatnonzero(seen >= least)
     place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    kept = [(c := place[x])[c >= 0] for x in texts]
-    cols = np.concatenate(kept)
-    rows = np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in kept])
-    del kept, seen, place
-    parts = [slice(i, i + CHUNK) for i in range(0, len(cols), CHUNK)]
-
-    def summed(index: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-        """Sums of values[of] by index, without an array of all occurrences."""
-        out = np.zeros(n)
-        for p in parts:
-            out += np.bincount(index[p], weights=values[of[p]], minlength=n)
-        return out
+    # the occurrences of all texts in one array; nothing else of their length is held
+    cols, ends = np.empty(int(seen[used].sum()), dtype=np.int32), [0]
+    for texts in (positive, unlabelled):
+        for x in texts:
+            c = place[x]
+            c = c[c >= 0]
+            cols[ends[-1] : ends[-1] + len(c)] = c
+            ends.append(ends[-1] + len(c))
+    del positive, unlabelled, texts, seen, place
+    bounds = np.array(ends)
+    cuts = [0]
+    while cuts[-1] < n_p + n_u:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(bounds, bounds[cuts[-1]] + CHUNK, "right")) - 1))
+    parts = [(lo, hi, cols[bounds[lo] : bounds[hi]], np.diff(bounds[lo : hi + 1])) for lo, hi in zip(cuts, cuts[1:])]
 
-    n_p, n_u = len(positive), len(unlabelled)
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
-        z = b + summed(rows, w, cols, n_p + n_u)
+        z = np.concatenate([segment_sum(w[c], bounds[lo : hi + 1] - bounds[lo]) for lo, hi, c, _ in parts]) + b
         p = sigmoid(z)
         # loss as 1: log(1 + e^-z), slope p - 1; loss as 0: log(1 + e^z), slope p
         negative = np.logaddexp(0, z[n_p:]).mean() - prior * np.logaddexp(0, z[:n_p]).mean()
@@ -87,7 +89,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
             slope[:n_p] += prior * (p[:n_p] - 1) / n_p
         else:
             slope = -slope
-        g = np.append(summed(cols, slope, rows, len(used)), slope.sum())
+        g = np.append(sum(np.bincount(c, weights=np.repeat(slope[lo:hi], n), minlength=len(used)) for lo, hi, c, n in parts), slope.sum())
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         scale = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
@@ -115,12 +117,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where(fold_of("doc_id", n) != out)
     extract = word_features(bits)
 
-    def features(of: DataFrame, most: int) -> list[np.ndarray]:
+    def chosen(of: DataFrame, most: int) -> DataFrame:
         top = F.broadcast(of.orderBy(F.xxhash64("__lid"), "__lid").limit(most))  # the bound on the sample bounds the ids
-        return [f for _, f, _ in sample(own.join(top, own.doc_id == top["__lid"]).select("doc_id", "text", F.lit(1).alias("y")), most, extract, bits, MAX_FEATURES)]
+        return sample(own.join(top, own.doc_id == top["__lid"]).select("doc_id", "text", F.lit(1).alias("y")), most, extract, bits)
+
+    def train(texts: list) -> tuple[np.ndarray, float]:
+        for k, t in enumerate(texts):
+            texts[k] = [f for _, f, _ in t]
+        model = train_nnpu(texts.pop(0), texts.pop(0), prior, bits)  # nothing here holds the samples
+        return model.weights, model.bias
 
-    pos, unl = features(lab.where("y = 1"), MAX_POSITIVE), features(lab.drop("y"), MAX_UNLABELLED)
-    return train_nnpu(pos, unl, prior, bits)
+    return Model(*trained([chosen(lab.where("y = 1"), MAX_POSITIVE), chosen(lab.drop("y"), MAX_UNLABELLED)], MAX_FEATURES, train))
 
 
 def report(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held: tuple[int, int] = (5, 0), bits: int = BITS) -> DataFrame:
