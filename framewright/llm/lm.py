@@ -33,6 +33,8 @@ from framewright.session import settle, shuffle_partitions
 
 #: Bytes of filters and counts that one broadcast holds, and of training text that a slice stands for.
 SEGMENT_BYTES, SLICE_BYTES = 48 << 20, 4 << 20
+#: Parts that a segment comes to the driver in.
+LOADERS = 8
 #: Tasks that gather slices at most; beyond it a task gathers several, one after the other.
 MOST_TASKS = 20_000
 #: Bytes of text that are probed in one go: with one segment, and with several that are loaded for each chunk.
@@ -229,7 +231,7 @@ def _segments(table: DataFrame, slices: int, limit: int):
     cuts.append((lo, slices))
 
     def load(lo: int, hi: int) -> Segment:
-        rows = {r.slice: (np.frombuffer(r.filter, dtype=np.uint8), np.frombuffer(r.keys, dtype=np.uint64), np.frombuffer(r["counts"], dtype=np.uint64)) for r in table.where((F.col("slice") >= lo) & (F.col("slice") < hi)).select("slice", "keys", "counts", "filter").toLocalIterator()}
+        rows = {r.slice: (np.frombuffer(r.filter, dtype=np.uint8), np.frombuffer(r.keys, dtype=np.uint64), np.frombuffer(r["counts"], dtype=np.uint64)) for r in table.where((F.col("slice") >= lo) & (F.col("slice") < hi)).select("slice", "keys", "counts", "filter").coalesce(LOADERS).toLocalIterator()}
         none = (np.zeros(8, dtype=np.uint8), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64))
         got = [rows.get(s, none) for s in range(lo, hi)]
         return Segment(lo, slices, *map(list, zip(*got)))
