@@ -62,12 +62,12 @@ def result_sink(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("group string, n long, model string").json(f"{path}/status")
 
 
-_FIRST = "f AS (SELECT l_orderkey, l_suppkey, l_quantity::DOUBLE AS q, l_orderkey % 40 AS s FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1)"
+_FIRST = "f AS (SELECT l_orderkey, l_suppkey, l_quantity::DOUBLE AS q, l_orderkey % 40 AS s FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) = 1)"
 
 
 def _first_lines(spark: SparkSession, sf: str) -> DataFrame:
     """(l_orderkey, l_suppkey, q, s): an order's first line; q is a place in the picture, s a frame."""
-    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min_by(F.struct("l_suppkey", "l_quantity"), F.struct("l_linenumber", "l_partkey")).alias("x"))  # noqa: E741
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min_by(F.struct("l_suppkey", "l_quantity"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("x"))  # noqa: E741
     return l.select("l_orderkey", "x.l_suppkey", F.col("x.l_quantity").cast("double").alias("q"), F.pmod("l_orderkey", F.lit(40)).alias("s"))
 
 
