@@ -27,13 +27,17 @@ def segment_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(inter, union, out=np.zeros_like(inter, dtype=float), where=union > 0)
 
 
-def first_free(iou: np.ndarray, threshold: float) -> np.ndarray:
-    """Hits of detections (rows, by falling score): each takes the best overlapping truth that is still free."""
+def first_free(iou: np.ndarray, threshold: float, order: np.ndarray | None = None) -> np.ndarray:
+    """Hits of detections (rows, by falling score): each takes the best overlapping truth that is still free.
+
+    order: the truths of each row by falling overlap, where it is known already.
+    """
+    order = np.argsort(iou, axis=1, kind="stable")[:, ::-1] if order is None else order
     free = np.ones(iou.shape[1], dtype=bool)
     hit = np.zeros(len(iou), dtype=bool)
-    for i, row in enumerate(iou):
-        for j in np.argsort(row, kind="stable")[::-1]:
-            if row[j] < threshold:
+    for i in np.flatnonzero((iou >= threshold).any(axis=1)):
+        for j in order[i]:
+            if iou[i, j] < threshold:
                 break
             if free[j]:
                 free[j], hit[i] = False, True
@@ -41,6 +45,13 @@ def first_free(iou: np.ndarray, threshold: float) -> np.ndarray:
     return hit
 
 
+def by_threshold(g: pd.DataFrame, thresholds: tuple[float, ...], hits: list[np.ndarray]) -> pd.DataFrame:
+    """The detections g once for each threshold, with their hits."""
+    n, k = len(g), len(thresholds)
+    tiled = {c: np.tile(g[c].to_numpy(), k) for c in ("label", "video", "score")}
+    return pd.DataFrame({**tiled, "ord": np.tile(np.arange(n), k), "threshold": np.repeat(thresholds, n), "hit": np.concatenate(hits) if hits else np.zeros(0, dtype=bool)})
+
+
 def best_only(iou: np.ndarray, threshold: float) -> np.ndarray:
     """Hits where only the best truth of each detection counts, and only the first time."""
     free = np.ones(iou.shape[1], dtype=bool)
@@ -64,8 +75,8 @@ def matched_segments(truth: DataFrame, guess: DataFrame, thresholds: tuple[float
     def match(key, g: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         g, t = by_score(g, ["s", "e"]), t.sort_values(["s", "e"])
         iou = segment_iou(g[["s", "e"]].to_numpy(float), t[["s", "e"]].to_numpy(float))
-        parts = [pd.DataFrame({"label": g["label"], "video": g["video"], "score": g["score"], "ord": np.arange(len(g)), "threshold": th, "hit": first_free(iou, th) if len(t) else np.zeros(len(g), dtype=bool)}) for th in thresholds]
-        return pd.concat(parts)
+        order = np.argsort(iou, axis=1, kind="stable")[:, ::-1]
+        return by_threshold(g, thresholds, [first_free(iou, th, order) for th in thresholds])
 
     cols = ["label", "video"]
     schema = f"label {kinds['label']}, video {kinds['video']}, score double, ord long, threshold double, hit boolean"
@@ -317,7 +328,7 @@ def matched_tubes(truth: DataFrame, guess: DataFrame, thresholds: tuple[float, .
         g, t = by_score(g, ["at", "n"]), t.sort_values(["at", "n"])
         own = [_rows(x) for x in t["tube"]]
         iou = np.array([[tube_iou(b, _rows(x)) for b in own] for x in g["tube"]], dtype=float).reshape(len(g), len(own))
-        return pd.concat([pd.DataFrame({"label": g["label"], "video": g["video"], "score": g["score"], "ord": np.arange(len(g)), "threshold": th, "hit": best_only(iou, th)}) for th in thresholds])
+        return by_threshold(g, thresholds, [best_only(iou, th) for th in thresholds])
 
     cols = ["label", "video"]
     schema = f"label {kinds['label']}, video {kinds['video']}, score double, ord long, threshold double, hit boolean"

@@ -64,8 +64,10 @@ def interpolated_average_precision(df: DataFrame, keys: list[str], score: str, h
     Only hits count: between them precision falls. totals has a row for each key;
     a key without truths has a null ap, one without detections 0.
     """
-    ranked = running(df, keys, score, [F.col(score).desc(), *(order or [])], {"rank": F.lit(1), "tp": F.col(hit).cast("long")})
-    hits = ranked.where(F.col(hit)).withColumn("p", F.col("tp") / F.col("rank")).withColumn("far", F.col("rank").cast("double"))
+    # both are read several times: matches may come from Python, ranks from sorts
+    rows = settle(df.select(*dict.fromkeys([*keys, score, hit, *(order or [])])))
+    ranked = running(rows, keys, score, [F.col(score).desc(), *(order or [])], {"rank": F.lit(1), "tp": F.col(hit).cast("long")})
+    hits = settle(ranked.where(F.col(hit)).withColumn("p", F.col("tp") / F.col("rank")).withColumn("far", F.col("rank").cast("double")))
     # a running maximum from the last hit back, again by buckets
     b = bucketed(hits, keys, "far")
     top = b.groupBy(*keys, "__b").agg(F.max("p").alias("__top"))
