@@ -12,7 +12,7 @@ from framewright.plans.registry import query, table
 from framewright.plans.shapes import SPANS, r6, user_spans
 from framewright.prep import retrieval
 from framewright.session import shared_folder
-from framewright.sources import annotations, graphs, tables, tokenstore
+from framewright.sources import annotations, documents, graphs, tables, tokenstore
 
 
 def _one_file(rows: DataFrame, spark: SparkSession, name: str) -> str:
@@ -22,6 +22,13 @@ def _one_file(rows: DataFrame, spark: SparkSession, name: str) -> str:
     return path
 
 
+def _document(rows: DataFrame, spark: SparkSession, name: str, opening: str) -> str:
+    """rows (value string: an entry) as one JSON document that is in no row as a whole."""
+    path = shared_folder(spark, name)
+    documents.write_document(rows, path, opening)
+    return path
+
+
 def _local(path: str) -> str:
     """The path as files see it: token stores read and write plain files in a folder that all executors share."""
     return path.removeprefix("file://").removeprefix("file:")
@@ -90,8 +97,8 @@ def scan_corner_sized(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes as corner and size; a video with a box outside the picture goes."""
     f = _first_lines(spark, sf)
     entry = F.struct(F.col("s").alias("st_frame"), (F.col("s") + 1).alias("ed_frame"), F.lit(60).alias("width"), F.lit(60).alias("height"), F.array(F.array("q", "q", F.lit(5.0), F.lit(5.0)), F.array("q", F.lit(0.0), F.lit(15.0), F.lit(5.0))).alias("bbox"), F.concat(F.lit("q"), "s").alias("English"))
-    whole = f.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat("l_orderkey", F.lit(".mp4")), entry)))).alias("value"))
-    return _tracks(annotations.corner_sized(spark, _one_file(whole, spark, "corner")))
+    rows = f.select(documents.entry_text(F.concat("l_orderkey", F.lit(".mp4")), entry).alias("value"))
+    return _tracks(annotations.corner_sized(spark, _document(rows, spark, "corner", "{")))
 
 
 @query("scan_cornered", f"WITH {_FIRST} SELECT l_orderkey::VARCHAR AS sample_id, 'k' || l_suppkey || '.mp4' AS video_path, 'q' || s AS query, s, s AS e, round(q / 100, 6) AS x1, round((q + 5) / 80, 6) AS y2, CASE WHEN s % 2 = 0 THEN 'declar' ELSE 'inter' END AS qtype FROM f")
@@ -99,8 +106,8 @@ def scan_cornered(spark: SparkSession, sf: str) -> DataFrame:
     f = _first_lines(spark, sf)
     box = F.struct(F.col("q").alias("xmin"), F.col("q").alias("ymin"), (F.col("q") + 5).alias("xmax"), (F.col("q") + 5).alias("ymax"))
     entry = F.struct(F.concat(F.lit("k"), "l_suppkey").alias("vid"), F.struct(F.col("s").alias("begin_fid"), F.col("s").alias("end_fid")).alias("temp_gt"), F.array(box).alias("target_bboxs"), F.when(F.pmod("s", F.lit(2)) == 0, "declar").otherwise("inter").alias("qtype"), F.struct(F.concat(F.lit("q"), "s").alias("description")).alias("sentence"), F.lit(2.0).alias("fps"), F.lit(100.0).alias("width"), F.lit(80.0).alias("height"), F.lit(50).alias("frame_count"))
-    whole = f.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("l_orderkey").cast("string"), entry)))).alias("value"))
-    return _tracks(annotations.cornered(spark, _one_file(whole, spark, "cornered")), "qtype")
+    rows = f.select(documents.entry_text(F.col("l_orderkey").cast("string"), entry).alias("value"))
+    return _tracks(annotations.cornered(spark, _document(rows, spark, "cornered", "{")), "qtype")
 
 
 @query("scan_aligned", f"WITH {_FIRST} SELECT l_orderkey::VARCHAR AS sample_id, 'v' || l_suppkey AS video_path, 'q' || s AS query, least(s, 20) AS s, greatest(s, 20) AS e, NULL::DOUBLE AS x1, NULL::DOUBLE AS y2, least(s, 7) || '-' || greatest(s, 7) AS cut FROM f WHERE s % 5 > 0")
@@ -109,7 +116,7 @@ def scan_aligned(spark: SparkSession, sf: str) -> DataFrame:
     f = _first_lines(spark, sf)
     token = F.create_map(F.lit("<s>"), F.col("s").cast("string"), F.lit("<e>"), F.lit("20"))
     item = F.struct(F.concat(F.lit("v"), "l_suppkey").alias("video_path"), F.struct(F.when(F.pmod("s", F.lit(5)) > 0, F.concat(F.lit("q"), "s")).alias("q")).alias("QA"), F.struct(token.alias("time_token"), F.array("s", F.lit(7).cast("long")).alias("split")).alias("meta"), F.col("l_orderkey").cast("string").alias("id"))
-    d = annotations.aligned(spark, _one_file(f.agg(F.to_json(F.collect_list(item)).alias("value")), spark, "aligned"))
+    d = annotations.aligned(spark, _document(f.select(F.to_json(item).alias("value")), spark, "aligned", "["))
     return _tracks(d, F.array_join(F.transform("clip_split", lambda x: x.cast("string")), "-").alias("cut"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import answers, box
 from framewright.schemas import TRACK
+from framewright.sources import documents
 
 _EMPTY = f"array<{TRACK}>"
 
@@ -54,8 +55,8 @@ def queries(spark: SparkSession, path: str, videos: DataFrame | None = None) ->
 
 def _object_of(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(key, a): the entries of one JSON object that fills a file."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "a"))
+    one = F.concat(F.lit("{"), "value", F.lit("}"))
+    return documents.entries(spark, path, "{").select(F.explode(F.from_json(one, f"map<string, {value}>")).alias("key", "a"))
 
 
 def _dense(boxes: Column, start: Column) -> Column:
@@ -83,7 +84,7 @@ def cornered(spark: SparkSession, path: str) -> DataFrame:
 def aligned(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array with spans in meta.time_token, swapped if reversed; items without path, query or span go."""
     schema = "video_path string, QA string, query string, box string, id string, meta struct<time_token: map<string, string>, split: array<bigint>>"
-    d = spark.read.schema(schema).option("multiLine", "true").json(path)
+    d = documents.entries(spark, path, "[").select(F.from_json("value", schema).alias("x")).select("x.*")
     qa = lambda p: F.nullif(F.coalesce(F.get_json_object("QA", f"{p}.q"), F.get_json_object("QA", f"{p}.question")), F.lit(""))
     q = F.coalesce(qa("$"), qa("$[0]"), F.col("query"), F.lit(""))
     s, e = (F.try_element_at("meta.time_token", F.lit(k)).try_cast("long") for k in ("<s>", "<e>"))

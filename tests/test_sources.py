@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewright import schemas, udf
 from framewright.graph import normalise, queries
 from framewright.metrics import tubes
+from framewright.plans import q_sources
 from framewright.sources import annotations, exports, graphs, tables, tokenstore
 from framewright.streaming import streams
 
@@ -192,3 +193,48 @@ def test_buffered_shuffle_stream(spark, tmp_path):
         q.stop()
     got = [r.id for r in spark.table("shuffled_rows").collect()]
     assert sorted(got) == list(range(60)) and got != sorted(got)
+
+
+def test_documents_across_blocks(spark, tmp_path):
+    """Entries are those of the whole document, wherever its blocks are cut."""
+    from framewright.sources import documents
+
+    whole = {f"k{i}": {"a": 'x}",{[\\' * (i % 4), "b": [{"c": i}, {}], "d": "é" * (i % 7)} for i in range(400)}
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "one.json").write_text(json.dumps(whole, ensure_ascii=False) + "\n")
+    (tmp_path / "o" / "two.json").write_text("\n" + json.dumps({"z": {"a": "y"}, "e": {}}, indent=2))
+    (tmp_path / "o" / "cut.json").write_text('{"p": {"a": 1}, "q": {"a"')
+    (tmp_path / "o" / "none.json").write_text("{}")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "l.json").write_text(json.dumps(list(whole.values()), indent=1))
+    (tmp_path / "a" / "s.json").write_text(json.dumps({"a": "single"}))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("97", "1000", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {}
+            for r in documents.entries(spark, str(tmp_path / "o"), "{").collect():
+                got |= json.loads("{" + r.value + "}")
+            assert got == whole | {"z": {"a": "y"}, "e": {}}
+            items = [json.loads(r.value) for r in documents.entries(spark, str(tmp_path / "a"), "[").collect()]
+            key = lambda x: json.dumps(x, sort_keys=True)
+            assert sorted(items, key=key) == sorted([*whole.values(), {"a": "single"}], key=key)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    documents.write_document(spark.createDataFrame([], "value string"), str(tmp_path / "empty"), "[")
+    assert documents.entries(spark, str(tmp_path / "empty"), "[").count() == 0
+
+
+def test_scans_hold_no_document_in_a_row(spark, tmp_path):
+    """The documents are written entry by entry: no row is longer than an entry."""
+    from framewright.plans import registry
+
+    for name, kind in (("scan_cornered", "cornered"), ("scan_corner_sized", "corner"), ("scan_aligned", "aligned")):
+        seen = []
+        write = q_sources._document
+        q_sources._document = lambda rows, *a: seen.append(rows.agg(F.max(F.length("value"))).collect()[0][0]) or write(rows, *a)
+        try:
+            assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+        finally:
+            q_sources._document = write
+        assert 0 < seen[0] < 500, kind
