@@ -125,13 +125,22 @@ def temporal_score(samples: DataFrame, gs: str, ge: str, ps: str, pe: str) -> Da
     return samples.withColumn("tIoU", t).withColumn("m_tIoU", F.col("tIoU")).withColumn("tIoU@0.3", (F.col("tIoU") >= 0.3).cast("double")).withColumn("tIoU@0.5", (F.col("tIoU") >= 0.5).cast("double"))
 
 
-def means(results: DataFrame, by: str | None = None, metrics: tuple[str, ...] = MEANS) -> DataFrame:
-    """(group, num_samples, metrics): 'overall' and a row for each group that occurs; zeros over nothing."""
-    avg = [F.coalesce(F.avg(f"`{m}`"), F.lit(0.0)).alias(m) for m in metrics]
-    overall = results.agg(F.count("*").alias("num_samples"), *avg).select(F.lit("overall").alias("group"), "num_samples", *[f"`{m}`" for m in metrics])
+def means(results: DataFrame, by: str | None = None, metrics: tuple[str, ...] = MEANS, weight: str | None = None) -> DataFrame:
+    """(group, num_samples, metrics): 'overall' and a row for each group that occurs; zeros over nothing.
+
+    weight: a column that says how many samples a row stands for.
+    """
+    if weight is None:
+        avg = [F.coalesce(F.avg(f"`{m}`"), F.lit(0.0)).alias(m) for m in metrics]
+        count = F.count("*")
+    else:
+        known = lambda m: F.sum(F.when(F.col(f"`{m}`").isNotNull(), F.col(weight)))
+        avg = [F.coalesce(F.sum(F.col(f"`{m}`") * F.col(weight)) / F.nullif(known(m), F.lit(0)), F.lit(0.0)).alias(m) for m in metrics]
+        count = F.coalesce(F.sum(weight), F.lit(0).cast("long"))
+    overall = results.agg(count.alias("num_samples"), *avg).select(F.lit("overall").alias("group"), "num_samples", *[f"`{m}`" for m in metrics])
     if by is None:
         return overall
-    each = results.where(F.col(by).isNotNull()).groupBy(F.col(by).cast("string").alias("group")).agg(F.count("*").alias("num_samples"), *avg)
+    each = results.where(F.col(by).isNotNull()).groupBy(F.col(by).cast("string").alias("group")).agg(count.alias("num_samples"), *avg)
     return overall.unionByName(each)
 
 

@@ -9,7 +9,7 @@ from framewright.functions import box, media
 from framewright.metrics import classify, detect, retrieve, tubes
 from framewright.operators import curves
 from framewright.plans.registry import query, table
-from framewright.plans.shapes import FRAMES, PAIRS, SPANS, TIOU, frames, r6, span_pairs, user_spans
+from framewright.plans.shapes import FRAMES, PAIRS, SPANS, TIOU, frames, r6, span_pair_counts, user_spans
 
 _BOX = "l_quantity AS x1, l_discount * 100 AS y1, l_quantity + l_extendedprice / 5000 AS x2, l_discount * 100 + 10 + l_tax * 100 AS y2"
 
@@ -344,5 +344,5 @@ def resize_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("metrics_of_pairs", f"WITH {PAIRS} SELECT event_type, count(*) AS n, round(sum({TIOU}), 4) AS total FROM pr GROUP BY 1")
 def metrics_of_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    t = tubes.temporal_score(span_pairs(spark, sf), "s", "e", "s2", "e2")
-    return t.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("tIoU"), 4).alias("total"))
+    t = tubes.temporal_score(span_pair_counts(spark, sf), "s", "e", "s2", "e2")
+    return t.groupBy("event_type").agg(F.sum("pairs").alias("n"), F.round(F.sum(F.col("tIoU") * F.col("pairs")), 4).alias("total"))

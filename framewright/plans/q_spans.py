@@ -12,7 +12,7 @@ from framewright.metrics import tubes
 from framewright.operators import relational, spans
 from framewright.operators.components import connected_components
 from framewright.plans.registry import query, table
-from framewright.plans.shapes import FRAMES, PAIRS, SPANS, TIOU, frames, r6, span_pairs, user_spans
+from framewright.plans.shapes import FRAMES, PAIRS, SPANS, TIOU, frames, r6, span_pair_counts, span_pairs, user_spans
 
 
 @query("spans_gaps_islands", f"WITH {SPANS} SELECT * FROM sp")
@@ -129,8 +129,8 @@ def difficulty_bucket3(spark: SparkSession, sf: str) -> DataFrame:
 @query("metric_grouping_sets", f"""WITH {PAIRS}, t AS (SELECT event_type, {TIOU} AS t FROM pr)
 SELECT coalesce(event_type, 'overall') AS "group", count(*) AS num_samples, round(avg(t), 6) AS m_tIoU, round(avg((t >= 0.3)::INT), 6) AS r3, round(avg((t >= 0.5)::INT), 6) AS r5 FROM t GROUP BY GROUPING SETS ((), (event_type))""")
 def metric_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
-    t = tubes.temporal_score(span_pairs(spark, sf), "s", "e", "s2", "e2").withColumnRenamed("tIoU@0.3", "r3").withColumnRenamed("tIoU@0.5", "r5")
-    m = tubes.means(t, "event_type", ("m_tIoU", "r3", "r5"))
+    t = tubes.temporal_score(span_pair_counts(spark, sf), "s", "e", "s2", "e2").withColumnRenamed("tIoU@0.3", "r3").withColumnRenamed("tIoU@0.5", "r5")
+    m = tubes.means(t, "event_type", ("m_tIoU", "r3", "r5"), "pairs")
     return m.select("group", "num_samples", *[r6(F.col(c)).alias(c) for c in ("m_tIoU", "r3", "r5")])
 
 

@@ -278,3 +278,43 @@ def test_chains_of_tubelets_take_every_tubelet_once():
     out = detect.linked(frames, 9, 2, 3)
     assert sorted(round(s, 3) for s, _ in out) == [0.5, 0.8] and all(t[:, 0].tolist() == list(range(1, 10)) for _, t in out)
     assert np.allclose(out[0][1][:, 3] - out[0][1][:, 1], 9) and detect.linked({}, 9, 2, 3) == []
+
+
+def test_pairs_are_counted_by_their_ends(spark):
+    """Counts of overlapping spans of two users grow with the distinct spans, and are those of the pairs."""
+    import random
+
+    from framewright.operators import spans
+
+    r, rows = random.Random(3), []
+    for user in range(40):
+        at = 0
+        while at < 60:
+            at += r.randint(2, 9)
+            rows.append((user, r.choice("ab"), at, at := at + r.randint(0, 3)))
+    rows.append((None, "a", 1, 50))
+    d = spark.createDataFrame(rows, "user_id int, event_type string, s long, e long")
+    got = {tuple(x)[:5]: x.pairs for x in spans.overlap_counts(d, ["event_type"], "user_id").collect()}
+    want = {}
+    rows = [x for x in rows if x[0] is not None]
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            if x[0] != y[0] and x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]:
+                key = (x[1], *min(x[2:], y[2:]), *max(x[2:], y[2:]))
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+    a = d.where("user_id is not null")
+    b = a.select("event_type", F.col("user_id").alias("u2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    assert spans.overlap_join(a, b, ["event_type"], 16).where("user_id < u2").count() == sum(want.values())
+
+
+def test_bins_are_as_wide_as_the_spans(spark):
+    """Short spans aren't met with all of a wide bin: the join has little more rows than pairs."""
+    from framewright.operators import spans
+
+    d = spark.range(2000).select((F.col("id") % 200).alias("s"), (F.col("id") % 200).alias("e"), F.lit("k").alias("k"))
+    j = spans.overlap_join(d, d.select("k", F.col("s").alias("s2"), F.col("e").alias("e2")), ["k"], 16)
+    assert j.count() == 200 * 10 * 10
+    assert spans.fitted_width([(d, "s", "e")], 16) == 1
+    long = d.withColumn("e", F.col("s") + 90)
+    assert spans.fitted_width([(d, "s", "e"), (long, "s", "e")], 16) == 16
