@@ -318,3 +318,15 @@ def test_bins_are_as_wide_as_the_spans(spark):
     assert spans.fitted_width([(d, "s", "e")], 16) == 1
     long = d.withColumn("e", F.col("s") + 90)
     assert spans.fitted_width([(d, "s", "e"), (long, "s", "e")], 16) == 16
+
+
+def test_values_are_worked_out_once_for_equal_ends(spark):
+    """Pairs are only written: what is said of them is worked out before items are spread, and the bins fit."""
+    from framewright.operators import spans
+
+    d = spark.range(600).select(F.lit("k").alias("k"), "id", (F.col("id") % 3).alias("s"), (F.col("id") % 3 + 1).alias("e"))
+    for part in (7, 2048):
+        p = spans.overlap_pairs(d, ["k"], "id", {"v": F.col("s") * 10 + F.col("s2")}, part)
+        got = {(r.a, r.b): r.v for r in p.collect()}
+        want = {(a, b): a % 3 * 10 + b % 3 for a in range(600) for b in range(a + 1, 600) if abs(a % 3 - b % 3) <= 1}
+        assert got == want
