@@ -330,3 +330,49 @@ def test_values_are_worked_out_once_for_equal_ends(spark):
         got = {(r.a, r.b): r.v for r in p.collect()}
         want = {(a, b): a % 3 * 10 + b % 3 for a in range(600) for b in range(a + 1, 600) if abs(a % 3 - b % 3) <= 1}
         assert got == want
+
+
+def test_block_pairs(spark, monkeypatch):
+    """Blocks, slices and lots of pairs of any size give the pairs of plain rules."""
+    import random
+
+    from framewright.operators import pairs
+
+    r, rows, sets = random.Random(5), [], []
+    for user in range(70):
+        sets += [(user * 3, t) for t in r.sample("abcdefgh", r.randint(0, 4))]
+        at = 0
+        while at < 50:
+            at += r.randint(2, 9)
+            rows.append((user * 3, r.choice("xy"), at, at := at + r.randint(0, 12)))
+    spans = spark.createDataFrame(rows, "u long, k string, s long, e long")
+    own = {}
+    for u, t in sets:
+        own.setdefault(u, set()).add(t)
+    shared = {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and own[a] & own[b]}
+    met = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]:
+                met.setdefault((a[1], a[0], b[0]), []).append((0, max(a[3], b[3]) - min(a[2], b[2]), a[2], a[3], b[2], b[3]))
+    best = {(*k, *x[2:], *x[:2], n) for k, v in met.items() for n, x in enumerate(sorted(v)[:2], 1)}
+    mass = {}
+    for (k, a, b), v in met.items():
+        for _, _, s, e, s2, e2 in v:
+            if (a, b) in shared:
+                n = min(e, e2) - max(s, s2) + 1
+                c = (shared[a, b] / len(own[a] | own[b]) * n / (e - s + e2 - s2 + 2 - n)) ** 2
+                for end in ((k, a, s, e), (k, b, s2, e2)):
+                    x = mass.setdefault(end, [0, 0.0])
+                    x[0], x[1] = x[0] + 1, x[1] + c
+    cut = spark.createDataFrame(sets, "u long, t string")
+    for block, part, lot in ((8192, 512, 1 << 20), (9, 4, 3)):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        monkeypatch.setattr(pairs, "SLICE", part)
+        monkeypatch.setattr(pairs, "PAIRS", lot)
+        got = {(x.a, x.b): (x.shared, x.na, x.nb) for x in pairs.shared_token_pairs(cut, "u", "t").collect()}
+        assert got == {(a, b): (n, len(own[a]), len(own[b])) for (a, b), n in shared.items()}
+        top = pairs.best_overlaps(spans, "k", "u", 2).collect()
+        assert len(top) == len(best) and {tuple(x) for x in top} == best
+        found = {tuple(x)[:4]: (x.rivals, x.m) for x in pairs.confusable(spans, cut, "k", "u", "t").collect()}
+        assert found == {k: (n, pytest.approx(m)) for k, (n, m) in mass.items()}
