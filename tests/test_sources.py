@@ -238,3 +238,24 @@ def test_scans_hold_no_document_in_a_row(spark, tmp_path):
         finally:
             q_sources._document = write
         assert 0 < seen[0] < 500, kind
+
+
+def test_pairs_are_found_by_shared_frames(spark, monkeypatch):
+    """Objects that share too few frames never meet; long and short ones give the pairs of plain rules."""
+    import random
+
+    from framewright.graph import tables as graph_tables
+
+    r, o = random.Random(2), []
+    sets = {f"n{i}": sorted(r.sample(range(12), r.randint(1, 8))) for i in range(40)}
+    for k, f in sets.items():
+        o.append({"node_id": k, "start_frame": f[0], "end_frame": f[-1], "bboxes": {str(x): [0.0] * 4 for x in f}})
+    g = spark.createDataFrame([{"video_path": "v", "object_nodes": o}], schemas.GRAPH)
+    for most in (24, 4):
+        monkeypatch.setattr(graph_tables, "MOST_FRAMES", most)
+        for least in (1, 2, 3):
+            got = {(x.a, x.b): x.frames for x in graph_tables.pair_infos(g, least).collect()}
+            every = graph_tables.pair_infos(g, least).count()
+            both = {(a, b): sorted(set(sets[a]) & set(sets[b])) for a in sets for b in sets if a < b}
+            want = {k: v for k, v in both.items() if len(v) >= least}
+            assert got == want and every == len(want)
