@@ -376,3 +376,17 @@ def test_block_pairs(spark, monkeypatch):
         assert len(top) == len(best) and {tuple(x) for x in top} == best
         found = {tuple(x)[:4]: (x.rivals, x.m) for x in pairs.confusable(spans, cut, "k", "u", "t").collect()}
         assert found == {k: (n, pytest.approx(m)) for k, (n, m) in mass.items()}
+
+
+@pytest.mark.parametrize("kind", ["perc", "abs"])
+def test_negatives_by_label_are_those_by_pairs(spark, kind, monkeypatch):
+    """A label column gives what its pairs give, without the pairs; missing labels are no positives; ties go to the smaller id."""
+    r = random.Random(9)
+    e = spark.createDataFrame([(i, r.choice([0, 1, 2, None]), [float(r.randint(-2, 2)) for _ in range(4)]) for i in range(90)], "id long, label int, embedding array<double>")
+    q, d = e.withColumnRenamed("id", "query_id"), e.withColumnRenamed("id", "doc_id")
+    pos = q.select("query_id", "label").join(d.select("doc_id", "label"), "label")
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    for limit in (retrieve.BROADCAST_BYTES, 1):
+        monkeypatch.setattr(retrieve.score_blocks, "__defaults__", (limit,))
+        got = rows(retrieve.hard_negatives(q, d, "label", 4, -0.1 if kind == "abs" else 0.95, kind, block=16))
+        assert got and got == rows(retrieve.hard_negatives(q, d, pos, 4, -0.1 if kind == "abs" else 0.95, kind, block=200))
