@@ -16,9 +16,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Headers and number codes of the formats.
 SHARD_MAGIC, SHARD_MAGIC_OLD, SHARD_VERSION, SHARD_HEADER = 278895051, 20240520, 1, 256 * 4
@@ -75,13 +76,17 @@ def prefixes(patterns: list[str]) -> list[str]:
     return sorted({os.path.splitext(f)[0] for p in patterns for f in glob.glob(p) if f.endswith((".bin", ".idx"))})
 
 
+#: Tokens after which a shard is full, and those of sequences that are in one batch.
+SHARD_TOKENS, BATCH_TOKENS = 1 << 22, 1 << 20
+
+
 class _File(InputPartition):
     def __init__(self, path: str, lo: int = 0, hi: int = -1) -> None:
         self.path, self.lo, self.hi = path, lo, hi
 
 
 class TokenShards(DataSource):
-    """Read: (file, tokens), a row a shard. Write: array<int> column tokens, a shard a partition, with a .bos.idx of document starts."""
+    """Read: (file, tokens), a row a shard. Write: array<int> column tokens, with a .bos.idx of document starts; a partition's rows go into a new shard once one has shard_tokens."""
 
     @classmethod
     def name(cls) -> str:
@@ -105,26 +110,42 @@ class _ShardReader(DataSourceReader):
         files = sorted(glob.glob(os.path.join(self.path, "*.bin"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
         return [_File(f) for f in files]
 
-    def read(self, part) -> Iterator[tuple]:
+    def read(self, part) -> Iterator[pa.RecordBatch]:
         with open(part.path, "rb") as f:
-            yield os.path.basename(part.path), shard_tokens(f.read()).astype(np.int64).tolist()
+            tokens = shard_tokens(f.read()).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(part.path)]), pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens))], names=["file", "tokens"])
 
 
-class _ShardWriter(DataSourceWriter):
+class _ShardWriter(DataSourceArrowWriter):
     def __init__(self, options) -> None:
         self.path, self.vocabulary, self.bos = options["path"], int(options.get("vocabulary", 1 << 16)), options.get("bos")
-
-    def write(self, rows) -> WriterCommitMessage:
-        parts = [np.asarray(r.tokens, dtype=np.int64) for r in rows]
+        self.most = int(options.get("shard_tokens", SHARD_TOKENS))
+
+    def write(self, batches) -> WriterCommitMessage:
+        parts, n = [], 0
+        for b in batches:
+            for t in b.column("tokens"):
+                parts.append(_numbers(t))
+                n += len(parts[-1])
+                if n >= self.most:
+                    self._shard(parts)
+                    parts, n = [], 0
         if parts:
-            os.makedirs(self.path, exist_ok=True)
-            tokens = np.concatenate(parts)
-            name = os.path.join(self.path, f"{uuid.uuid4().hex}.bin")
-            _put(name, shard_bytes(tokens, self.vocabulary))
-            if self.bos is not None:
-                _put(name[:-4] + ".bos.idx", np.flatnonzero(tokens == int(self.bos)).astype(np.int32).tobytes())
+            self._shard(parts)
         return WriterCommitMessage()
 
+    def _shard(self, parts: list[np.ndarray]) -> None:
+        os.makedirs(self.path, exist_ok=True)
+        tokens = np.concatenate(parts)
+        name = os.path.join(self.path, f"{uuid.uuid4().hex}.bin")
+        _put(name, shard_bytes(tokens, self.vocabulary))
+        if self.bos is not None:
+            _put(name[:-4] + ".bos.idx", np.flatnonzero(tokens == int(self.bos)).astype(np.int32).tobytes())
+
+
+def _numbers(row: pa.ListScalar) -> np.ndarray:
+    return row.values.to_numpy(zero_copy_only=False)
+
 
 def _put(name: str, raw: bytes) -> None:
     """Whole files only: written aside and renamed."""
@@ -159,32 +180,46 @@ class _IndexReader(DataSourceReader):
             n = len(index_of(f.read())["lengths"])
         return [_File(self.path, i, min(n, i + self.rows)) for i in range(0, n, self.rows)]
 
-    def read(self, part) -> Iterator[tuple]:
+    def read(self, part) -> Iterator[pa.RecordBatch]:
         with open(part.path + ".idx", "rb") as f:
             x = index_of(f.read())
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            at, docs, modes, tokens = zip(*rows)
+            ends = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(docs, pa.int64()), pa.array(modes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))], names=["sequence", "document", "mode", "tokens"])
+
+        rows, n = [], 0
         size = np.dtype(x["dtype"]).itemsize
         with open(part.path + ".bin", "rb") as f:
             for i in range(part.lo, part.hi):
                 f.seek(int(x["pointers"][i]))
                 t = np.frombuffer(f.read(int(x["lengths"][i]) * size), dtype=x["dtype"])
                 d = int(np.searchsorted(x["documents"], i, "right")) - 1
-                yield i, d, None if x["modes"] is None else int(x["modes"][i]), t.astype(np.int64).tolist()
+                rows.append((i, d, None if x["modes"] is None else int(x["modes"][i]), t.astype(np.int64)))
+                n += len(t)
+                if n >= BATCH_TOKENS or len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows, n = [], 0
+        if rows:
+            yield batch(rows)
 
 
-class _IndexWriter(DataSourceWriter):
+class _IndexWriter(DataSourceArrowWriter):
     def __init__(self, options) -> None:
         self.path, self.kind = options["path"], np.dtype(options.get("dtype", "int32")).type
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches) -> WriterCommitMessage:
+        rows = ((d, _numbers(t)) for b in batches for d, t in zip(b.column("document").to_pylist(), b.column("tokens")))
         lengths, documents, last, n = [], [0], None, 0
         name = f"{self.path}-{uuid.uuid4().hex}"
         os.makedirs(os.path.dirname(name) or ".", exist_ok=True)
         with open(name + ".bin.part", "wb") as f:
-            for r in rows:
-                if last is not None and r.document != last:
+            for document, tokens in rows:
+                if last is not None and document != last:
                     documents.append(n)
-                last = r.document
-                t = np.asarray(r.tokens, dtype=self.kind)
+                last = document
+                t = np.asarray(tokens, dtype=self.kind)
                 f.write(t.tobytes())
                 lengths.append(len(t))
                 n += 1

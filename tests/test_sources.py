@@ -259,3 +259,13 @@ def test_pairs_are_found_by_shared_frames(spark, monkeypatch):
             both = {(a, b): sorted(set(sets[a]) & set(sets[b])) for a in sets for b in sets if a < b}
             want = {k: v for k, v in both.items() if len(v) >= least}
             assert got == want and every == len(want)
+
+
+def test_shards_are_bounded(spark, tmp_path):
+    """A partition's tokens go into several shards once one is full, and all are read back."""
+    d = spark.range(50).select(F.col("id").alias("document"), F.transform(F.sequence(F.lit(1), F.col("id") + 1), lambda x: x.cast("int")).alias("tokens"))
+    tokenstore.register(spark)
+    d.coalesce(1).write.format("token_shards").option("path", str(tmp_path / "s")).option("bos", 1).option("shard_tokens", 100).mode("append").save()
+    got = [r.tokens for r in spark.read.format("token_shards").load(str(tmp_path / "s")).collect()]
+    assert 5 < len(got) and max(map(len, got)) < 150
+    assert sorted(t for x in got for t in x) == sorted(k for i in range(50) for k in range(1, i + 2))
