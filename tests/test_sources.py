@@ -269,3 +269,17 @@ def test_shards_are_bounded(spark, tmp_path):
     got = [r.tokens for r in spark.read.format("token_shards").load(str(tmp_path / "s")).collect()]
     assert 5 < len(got) and max(map(len, got)) < 150
     assert sorted(t for x in got for t in x) == sorted(k for i in range(50) for k in range(1, i + 2))
+
+
+def test_large_graphs_are_normalised_in_parts(spark):
+    """Without edges and targets a graph's objects and actions are the same from parts; other graphs stay whole."""
+    from framewright.graph import tables as graph_tables
+
+    o = [{"node_id": f"n{i}", "start_frame": 0, "end_frame": 9, "bboxes": {"0": [0.0] * 4, "9": [1.0] * 4}} for i in range(50)]
+    a = [{"node_id": f"g{i}", "object_id": f"n{i}", "actions": [{"action_label": "walk", "start_frame": i % 4, "end_frame": 8}]} for i in range(50)]
+    g = spark.createDataFrame([{"video_path": "v", "object_nodes": o, "action_nodes": a, "edges": []}, random_graph(3)], schemas.GRAPH)
+    p = normalise.parts(g, 10)
+    assert p.count() == 6 and p.agg(F.max(F.size("object_nodes"))).collect()[0][0] < 50
+    for table in (graph_tables.objects, graph_tables.actions):
+        rows = lambda x: sorted(map(str, table(normalise.normalise(x, 2)).collect()))
+        assert rows(p) == rows(g)
