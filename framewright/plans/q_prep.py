@@ -278,7 +278,7 @@ def corrupt_uniform(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("corrupt_blocks")
 def corrupt_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    t = docs(spark, sf).select("doc_id", char_ids("text").alias("ids")).withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
+    t = docs(spark, sf).select("doc_id", char_ids("text").alias("ids")).withColumn("mask", F.when(F.col("ids").isNotNull(), F.array_repeat(F.lit(1), F.size("ids"))))
     c = sampling.corrupt_blocks(t, "doc_id", "ids", "mask", 999, 7, 32)
     return c.select("doc_id", F.size(F.filter("noise_mask", lambda x: x)).alias("noised"), F.size("noisy_ids").alias("n"))
 

@@ -6,8 +6,9 @@ needs no state. Draws differ from those of any generator, distributions don't.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,34 +132,74 @@ def corrupt_blocks(df: DataFrame, key: str, ids: str, mask: str, mask_id: int, s
     """noisy_ids, noise_mask: in each block round(m n) places are drawn, late ones rather than early ones while m is small.
 
     m is eps + (1 - eps) u of the block; without a block size the row is one
-    block with at least one place. Ranks are taken inside the row's arrays.
+    block with at least one place. Draws need a row's hashes and length only, so
+    no tokens travel to Python.
     """
-    import math
-
-    def named(value: Column, use: Callable[[Column], Column]) -> Column:
-        """use(value), with value worked out once and not at each of its places."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
-    n = F.size(ids)
-    width = F.lit(block) if block else F.greatest(n, F.lit(1))
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / width).cast("int") - 1, F.lit(0))), lambda b: b)
-
-    def noise(b: Column) -> Column:
-        lo = b * width
-        size = F.least(width, n - lo)
-        m = eps + (1 - eps) * _unit(F.col(key), F.lit(seed), b)
-        k = F.greatest(F.bround(m * size).cast("int"), F.lit(0 if block else 1))
-        slope = (1 - m) * math.log(2.0) / (half_life * width)
-        score = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.struct((slope * i - F.log(-F.log(_unit(F.col(key), F.lit(seed + 1), b, i)))).alias("z"), i.alias("i")))
-        least = lambda z: F.get(F.reverse(F.array_sort(z)), F.greatest(k, F.lit(1)) - 1)
-        drawn = named(score, lambda z: named(least(z), lambda low: F.transform(z, lambda x: x >= low)))
-        return F.when(n == 0, F.array().cast("array<boolean>")).when(k > 0, drawn).otherwise(F.array_repeat(F.lit(False), size))
-
-    d = df.withColumn("__at", F.flatten(F.transform(blocks, noise)))
+    import pyarrow as pa
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for own, places, sizes in batches:
+            h0, h1 = (x.to_numpy(zero_copy_only=False).view(np.uint64) for x in (own, places))
+            n = np.maximum(sizes.fill_null(0).to_numpy(zero_copy_only=False), 0)
+            at = 0
+            while at < len(n):  # some rows at a time
+                to = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), PLACES, "right")) + at)
+                offsets = np.r_[0, np.cumsum(n[at:to])].astype(np.int32)
+                drawn = [pa.array(x) for x in _drawn(h0[at:to], h1[at:to], n[at:to], block, eps, half_life)]
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(drawn) if drawn else pa.array([], pa.bool_()))
+                at = to
+
+    noise = F.arrow_udf(run, "array<boolean>", F.ArrowUDFType.SCALAR_ITER)
+    d = df.withColumn("__at", noise(F.xxhash64(F.col(key), F.lit(seed)), F.xxhash64(F.col(key), F.lit(seed + 1)), F.size(ids).cast("long")))
     d = d.withColumn("noise_mask", F.zip_with(mask, "__at", lambda m, h: (m.cast("int") != 0) & h)).drop("__at")
     return d.withColumn("noisy_ids", F.zip_with(ids, "noise_mask", lambda t, h: F.when(h, F.lit(mask_id)).otherwise(t)))
 
 
+#: Places of the rows that are handed to the JVM at once, and of the blocks that are drawn from at once.
+PLACES, DRAWS = 1 << 24, 1 << 15
+_P1, _P2, _P3, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _hashed(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """xxhash64 of whole numbers of 32 bits as in Spark, with a hash to go on from."""
+    h = (seed + _P5 + np.uint64(4)) ^ (x.astype(np.uint64) * _P1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * _P2 + _P3
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _share(h: np.ndarray) -> np.ndarray:
+    """_unit of hashes."""
+    return ((h & np.uint64((1 << 52) - 1)).astype(np.float64) + 0.5) / float(1 << 52)
+
+
+def _drawn(h0: np.ndarray, h1: np.ndarray, n: np.ndarray, block: int | None, eps: float, half_life: float) -> Iterator[np.ndarray]:
+    """Whether each place of the rows of n places is drawn, row after row, in parts."""
+    for rows in [slice(None)] if block else [slice(i, i + 1) for i in np.flatnonzero(n)]:
+        width = block or int(n[rows][0])
+        each = -(-n[rows] // width)
+        ends = np.cumsum(each)
+        step = max(1, DRAWS // width)
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, step):
+            k = np.arange(lo, min(lo + step, int(ends[-1])))
+            row = np.searchsorted(ends, k, "right")
+            b = k - (ends[row] - each[row])
+            size = np.minimum(width, n[rows][row] - b * width)
+            m = eps + (1 - eps) * _share(_hashed(b, h0[rows][row]))
+            many = np.maximum(np.rint(m * size).astype(np.int64), 0 if block else 1)
+            i = np.arange(width)
+            z = (((1 - m) * np.log(2.0) / (half_life * width))[:, None] * i) - np.log(-np.log(_share(_hashed(i, _hashed(b, h1[rows][row])[:, None]))))
+            there = i < size[:, None]
+            z[~there] = -np.inf
+            low = np.take_along_axis(np.sort(z, axis=1), np.minimum(width - many, width - 1)[:, None], axis=1)
+            hit = (z >= low) & (many > 0)[:, None] & there
+            for r in np.flatnonzero(hit.sum(axis=1) != many):  # equal numbers: later places first
+                hit[r] = False
+                hit[r, np.argsort(z[r], kind="stable")[width - many[r] :]] = True
+            yield hit[there]
+
+
 def vocabulary(df: DataFrame, ids: str, mask: str, target: int, draft: int, specials: tuple[int, ...] = ()) -> DataFrame:
     """(place, token): specials in their order, supervised tokens by falling count (smaller id first), then other ids; draft in all.
 

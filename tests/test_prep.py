@@ -250,3 +250,18 @@ def test_corruption_queries_take_whole_texts(spark, tmp_path):
     t = spark.createDataFrame([(k, [ord(c) for c in t], [1] * len(t)) for k, t in texts.items()], "doc_id long, ids array<int>, m array<int>")
     c = sampling.corrupt_blocks(t, "doc_id", "ids", "m", -1, 7, 32).collect()
     assert {r.doc_id: {i for i, h in enumerate(r.noise_mask) if h} for r in c} == drawn and all((x == -1) == h for r in c for x, h in zip(r.noisy_ids, r.noise_mask))
+
+
+def test_block_noise_without_blocks_and_without_tokens(spark):
+    """A row without a block size is one block with a place at least; draws run in no lambda of the JVM."""
+    t = spark.createDataFrame([(1, [5] * 3000, [1] * 3000), (2, [], []), (3, None, [1]), (4, [7], [1])], "id long, ids array<int>, m array<int>")
+    c = sampling.corrupt_blocks(t, "id", "ids", "m", 99, 1)
+    assert "ArrowEvalPython" in c._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r for r in c.collect()}
+    one = t.where("id = 1").select(((F.pmod(F.xxhash64("id", F.lit(1), F.lit(0)), F.lit(1 << 52)) + 0.5) / (1 << 52)).alias("m")).collect()[0].m
+    v = [r.v for r in t.where("id = 1").select(F.explode(F.sequence(F.lit(0), F.lit(2999))).alias("i"), "id").select(((F.pmod(F.xxhash64("id", F.lit(2), F.lit(0), "i"), F.lit(1 << 52)) + 0.5) / (1 << 52)).alias("v")).collect()]
+    m = 0.001 + 0.999 * one
+    z = [(1 - m) * math.log(2) / (0.25 * 3000) * i - math.log(-math.log(x)) for i, x in enumerate(v)]
+    want = set(sorted(range(3000), key=lambda i: (z[i], i), reverse=True)[: round(m * 3000)])
+    assert {i for i, h in enumerate(got[1].noise_mask) if h} == want
+    assert got[2].noise_mask == [] and got[3].noisy_ids is None and got[4].noisy_ids == [99]
