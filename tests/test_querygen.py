@@ -136,3 +136,27 @@ def test_queries_of_graphs_have_no_limit(spark, monkeypatch):
     told = registry.queries()["training_records"](spark, "").collect()
     assert len(every) > 20
     assert sorted(r.query_id for r in asked) == sorted(r.query_id for r in every) == sorted(r.queryid for r in told)
+
+
+def test_rivals_alike_are_one_with_a_weight():
+    """A graph of many equal objects: work goes with what differs, figures are those of all pairs."""
+    g = random_graph(3, 4)
+    for k in range(40):
+        o = dict(g["object_nodes"][0], node_id=f"copy_{k}", object_class="cat")
+        g["object_nodes"].append(o)
+    cfg = engine.Settings()
+    single, _ = engine.prepared(g, None, None, cfg)
+    like = lambda a, b: (len(a.lasting & b.lasting) / len(a.lasting | b.lasting) * engine.tiou(a.hull, b.hull)) ** 2
+    for c in single:
+        mass = sum(like(c, r) for r in single if r.names != c.names)
+        assert c.d_s == pytest.approx(mass / (1 + mass), abs=1e-12)
+    for t in (CATALOGUE[0], CATALOGUE[2]):
+        for c in single:
+            clues = c.clues(cfg.chain_length)
+            rows = [r.profile for r in single if r is not c and (t.unique_in_time or r.names != c.names)]
+            p = engine.problem(c, single, clues, t, cfg)
+            plain = solve.Problem(t, 1, p.kinds, p.slots, p.chains, [sum(1 << i for i, r in enumerate(rows) if x.fact not in r) for x in clues], len(rows))
+            assert p.rivals <= len(single.at) < len(single) and p.count(p.full) == len(rows)
+            assert [p.count(x) for x in p.cover] == [x.bit_count() for x in plain.cover]
+            for solver in (solve.exact, solve.greedy):
+                assert solver(p) == solver(plain) and (solver(p) is None or not single.twin(c, t, cfg))
