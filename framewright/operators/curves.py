@@ -67,7 +67,26 @@ def interpolated_average_precision(df: DataFrame, keys: list[str], score: str, h
     # both are read several times: matches may come from Python, ranks from sorts
     rows = settle(df.select(*dict.fromkeys([*keys, score, hit, *(order or [])])))
     ranked = running(rows, keys, score, [F.col(score).desc(), *(order or [])], {"rank": F.lit(1), "tp": F.col(hit).cast("long")})
-    hits = settle(ranked.where(F.col(hit)).withColumn("p", F.col("tp") / F.col("rank")).withColumn("far", F.col("rank").cast("double")))
+    return _best_ahead(settle(ranked.where(F.col(hit)).select(*keys, "rank", "tp")), keys, totals, total)
+
+
+def interpolated_average_precision_grid(df: DataFrame, keys: list[str], score: str, thresholds: str, totals: DataFrame, total: str, order: list | None = None) -> DataFrame:
+    """(keys, threshold, ap) where a row hits at every one of its `thresholds` (an array) and at no other.
+
+    A row's rank is the same at all of them, so rows are ranked once and only hits
+    are told by threshold. totals has a row for each key and threshold.
+    """
+    rows = settle(df.select(*dict.fromkeys([*keys, score, thresholds, *(order or [])])))
+    ranked = running(rows, keys, score, [F.col(score).desc(), *(order or [])], {"rank": F.lit(1)})
+    hits = settle(ranked.select(*keys, "rank", F.explode(thresholds).alias("threshold")))
+    each = [*keys, "threshold"]
+    ahead = hits.withColumn("back", -F.col("rank").cast("double"))  # the first rank has the highest score
+    return _best_ahead(settle(running(ahead, each, "back", ["rank"], {"tp": F.lit(1)}).select(*each, "rank", "tp")), each, totals, total)
+
+
+def _best_ahead(hits: DataFrame, keys: list[str], totals: DataFrame, total: str) -> DataFrame:
+    """(keys, ap) from hits (keys, rank, tp)."""
+    hits = hits.withColumn("p", F.col("tp") / F.col("rank")).withColumn("far", F.col("rank").cast("double"))
     # a running maximum from the last hit back, again by buckets
     b = bucketed(hits, keys, "far")
     top = b.groupBy(*keys, "__b").agg(F.max("p").alias("__top"))

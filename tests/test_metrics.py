@@ -390,3 +390,25 @@ def test_negatives_by_label_are_those_by_pairs(spark, kind, monkeypatch):
         monkeypatch.setattr(retrieve.score_blocks, "__defaults__", (limit,))
         got = rows(retrieve.hard_negatives(q, d, "label", 4, -0.1 if kind == "abs" else 0.95, kind, block=16))
         assert got and got == rows(retrieve.hard_negatives(q, d, pos, 4, -0.1 if kind == "abs" else 0.95, kind, block=200))
+
+
+def test_tubes_are_ranked_once_for_all_thresholds(spark):
+    """Hits of a guess are a range of thresholds: the same as taking every threshold by itself."""
+    r = random.Random(5)
+    tube = lambda s, e: [(f, float(f), 0.0, f + 20.0, 10.0) for f in range(s, e)]
+    span = lambda: (s := r.randint(0, 9), s + r.randint(1, 6))
+    truth = [(r.choice("ab"), r.choice([1, 2, None]), tube(*span())) for _ in range(40)]
+    guess = [(r.choice("abc"), r.choice([1, 2, None]), r.randint(0, 9) / 10, tube(*span())) for _ in range(60)]
+    t = spark.createDataFrame(truth, f"label string, video int, tube {detect.TUBE}")
+    g = spark.createDataFrame(guess, f"label string, video int, score double, tube {detect.TUBE}")
+    grid = (0.1, 0.3, 0.5, 0.7, 1.0)
+    got = {(x.label, x.video, x.ord, x.threshold): x.hit for x in detect.matched_tubes(t, g, grid).collect()}
+    want = {}
+    for key in {x[:2] for x in guess}:
+        own = sorted((x for x in guess if x[:2] == key), key=lambda x: (-x[2], x[3][0][0], len(x[3])))
+        other = sorted((x[2] for x in truth if x[:2] == key), key=lambda x: (x[0][0], len(x)))
+        iou = np.array([[detect.tube_iou(np.array(b, float), np.array(x[3], float)) for b in other] for x in own]).reshape(len(own), len(other))
+        for th in grid:
+            want |= {(*key, i, th): bool(h) for i, h in enumerate(detect.best_only(iou, th))}
+    assert got == want
+    assert detect._tube_hits(t, g, grid).count() == len(guess)
