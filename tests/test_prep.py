@@ -265,3 +265,16 @@ def test_block_noise_without_blocks_and_without_tokens(spark):
     want = set(sorted(range(3000), key=lambda i: (z[i], i), reverse=True)[: round(m * 3000)])
     assert {i for i, h in enumerate(got[1].noise_mask) if h} == want
     assert got[2].noise_mask == [] and got[3].noisy_ids is None and got[4].noisy_ids == [99]
+
+
+def test_tasks_of_shared_pairs_grow_with_the_pairs(spark, monkeypatch):
+    rows = [(g, i, f) for g in (1, 2) for f in range(12) for i in range(f % 5 + 2)] * 2
+    d = spark.createDataFrame(rows, "g int, item int, frame int")
+    want = {}
+    for g, a, f in set(rows):
+        for b in range(a + 1, f % 5 + 2):
+            want[g, a, b] = want.get((g, a, b), 0) + 1
+    monkeypatch.setattr(spans, "PAIRS", 5)
+    got = spans.shared_frame_pairs(d, ["g"], "item", "frame", 3)
+    assert {(r.g, r.a, r.b): r.shared for r in got.collect()} == {k: n for k, n in want.items() if n >= 3}
+    assert got.rdd.getNumPartitions() == -(-sum(want.values()) // 5) > 8
