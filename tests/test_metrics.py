@@ -412,3 +412,13 @@ def test_tubes_are_ranked_once_for_all_thresholds(spark):
             want |= {(*key, i, th): bool(h) for i, h in enumerate(detect.best_only(iou, th))}
     assert got == want
     assert detect._tube_hits(t, g, grid).count() == len(guess)
+
+
+def test_equal_answers_are_read_once(monkeypatch):
+    import pandas as pd
+
+    read, parse = [], answers.parse_tracks
+    monkeypatch.setattr(answers, "parse_tracks", lambda t: read.append(t) or parse(t))
+    texts = ["", None, "", '{"a": {"1": [0.1, 0.1, 0.2, 0.2]}}', ""]
+    assert list(answers.tracks.__wrapped__(pd.Series(texts))) == [parse(t) for t in texts]
+    assert len(read) == 3
